@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from .media import op4_media_columns
+from .mixing import OP6_ORACLE, op6_mixing
+from .packing import op5_packing
+from .quality import op8_quality_rules
 from .simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_media_columns": op4_media_columns,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
+    "op8_quality_rules": op8_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_ORACLE}
