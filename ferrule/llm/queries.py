@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op10_language_id
 from .media import op4_media_columns
 from .mixing import OP6_ORACLE, op6_mixing
 from .packing import op5_packing
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {"op6_mixing": OP6_ORACLE}
