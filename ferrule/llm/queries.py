@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from .langid import op10_language_id
+from .linededup import op7_line_dedup
 from .media import op4_media_columns
 from .mixing import OP6_ORACLE, op6_mixing
 from .packing import op5_packing
+from .pii import op3_personal_data
 from .quality import op8_quality_rules
 from .simhash import op1_simhash_near_dedup
+from .warc import OP9_ORACLE, op9_warc
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_personal_data": op3_personal_data,
     "op4_media_columns": op4_media_columns,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op6_mixing": OP6_ORACLE}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_ORACLE, "op9_warc": OP9_ORACLE}
