@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,8 +51,13 @@ class Workspace:
         df.write.option("compression", codec).parquet(where)
         return where, self.spark.read.schema(df.schema).parquet(where)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return self.write(df, name)[1]
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        return self.write(df, name, codec)[1]
+
+    def release(self) -> None:
+        """Let Spark delete shuffle files of finished steps: it does so once the driver's collector has met them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, where: str) -> None:
         """Delete a table that a later one replaces."""

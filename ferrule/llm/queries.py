@@ -10,10 +10,12 @@ from .packing import op5_packing
 from .pii import op3_personal_data
 from .quality import op8_quality_rules
 from .simhash import op1_simhash_near_dedup
+from .suffix import op2_suffix_dedup
 from .warc import OP9_ORACLE, op9_warc
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_personal_data": op3_personal_data,
     "op4_media_columns": op4_media_columns,
     "op5_packing": op5_packing,
