@@ -9,6 +9,9 @@ of two tokens, so they need no padding. Groups are packed where they are read: n
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 
 import numpy as np
@@ -24,35 +27,75 @@ MAX_SEGMENTS = 256
 END_ID = 1
 GROUP_TOKENS, GROUP_DOCS = 1 << 20, 4096
 #: Entries of the word cache of a worker, and the longest word that enters it.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
+
+
+#: Letters, numbers and white space of Latin-1 as the vocabulary's pre-tokenizer classes them; fixed values.
+LETTERS, NUMBERS, BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+PARTS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^{BLANKS}{LETTERS}{NUMBERS}]+")
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokenizer never joins text across ASCII white space and drops that space, so a
-    text's ids are those of its words in turn, and each word needs encoding once a worker.
+    Latin-1 texts are lower-cased and cut as the vocabulary's pre-tokenizer does, and a part's ids are
+    remembered; parts not yet seen are encoded together, and told apart by the ids that end a word. In other
+    texts the words between ASCII white space are encoded, which the pre-tokenizer never joins across.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if new := list(set(parts).difference(self.words)):
-            if len(self.words) > CACHE_WORDS:
-                self.words = {"": b""}
-                new = list(set(parts) - {""})
-            coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            known = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(new, coded, strict=True)}
-            self.words |= {w: b for w, b in known.items() if len(w) <= CACHE_CHARS}
-            if any(len(w) > CACHE_CHARS for w in new):
-                known = self.words | known
-                return b"".join([known[w] for w in parts])
-        return b"".join(map(self.words.__getitem__, parts))
+        if "<|" not in text and _is_latin(text):
+            parts, coded = PARTS.findall(text.lower()), self._parts
+        else:
+            parts, coded = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), self._words
+        known, later = self.known, None
+        if new := [w for w in dict.fromkeys(parts) if w not in known]:
+            made = coded(new)
+            room = CACHE_WORDS - len(known)
+            if room >= len(new) and all(len(w) <= CACHE_CHARS for w in new):
+                known.update(made)
+            else:
+                kept = [w for w in new if len(w) <= CACHE_CHARS][: max(0, room)]
+                known.update({w: made[w] for w in kept})
+                later = made
+        if later is None:
+            return b"".join(map(known.__getitem__, parts))
+        return b"".join([known[w] if w in known else later[w] for w in parts])
+
+    def _parts(self, new: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            return self._words(new)
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return {w: raw[a:b] for w, a, b in zip(new, at[:-1], at[1:], strict=True)}
+
+    def _words(self, new: list[str]) -> dict[str, bytes]:
+        return {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in new}
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+@functools.cache
+def tokenizer(path: str) -> WordTokenizer:
+    """One a worker, so that its memory of words serves all tasks."""
+    return WordTokenizer(path)
 
 
 def pack(sizes: list[int], prompts: list[int], max_tokens: int, max_segments: int, max_loss: int) -> list[tuple[int, int, int, int, int]]:
@@ -135,7 +178,7 @@ def pack_documents(
         return batch, base + 1 + max(p[3] for p in pieces)
 
     def run(batches):
-        encode, base = WordTokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
+        encode, base = tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
         group, held, end = [], 0, np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for doc, text, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
