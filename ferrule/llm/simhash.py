@@ -144,7 +144,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return docs.join(groups, "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n").select(docs.columns)
+    return docs.join(groups.hint("merge"), "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n").select(docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
