@@ -72,5 +72,9 @@ def add_columns(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return base.join(right, base[key].eqNullSafe(right["__key"]), "left").drop("__key")
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, fresh, table
 
 SEED = "mix-1"
 #: Without explicit weights a source weighs its characters to this power (1: as it is, 0: all alike).
@@ -61,29 +61,26 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     Columns named copy or shuffle_key in ``docs`` are replaced. An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "mixing")
-    rates = work.keep(source_rates(docs, weights, power), "rates").select(F.col("source").alias("__s"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
+    docs = docs.drop("copy", "shuffle_key")
+    s, draws, cdf, n = (fresh(docs, x) for x in ("__s", "__draws", "__cdf", "__n"))
+    rates = work.keep(source_rates(docs, weights, power), "rates").select(F.col("source").alias(s), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("__draws")),
+        F.sequence(F.lit(1), F.col(draws)),
         F.lit(0),
-        lambda n, j: n + F.size(F.filter("__cdf", lambda c: c <= _uniform(F.lit(seed), F.lit("n"), name, j.cast("string")))),
+        lambda total, j: total + F.size(F.filter(cdf, lambda c: c <= _uniform(F.lit(seed), F.lit("n"), name, j.cast("string")))),
     )
     copies = (
-        docs.drop("copy", "shuffle_key")
-        .join(rates, docs["source"].eqNullSafe(rates["__s"]))
-        .withColumn("__n", count)
-        .where("__n > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))))
-        .drop("__s", "__draws", "__cdf", "__n")
+        docs.join(rates, docs["source"].eqNullSafe(rates[s]))
+        .withColumn(n, count)
+        .where(F.col(n) > 0)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
+        .drop(s, draws, cdf, n)
     )
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("s"), name, F.col("copy").cast("string"))))
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 
 
-def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
-
-
 OP6_ORACLE = f"""
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS chars FROM documents GROUP BY source),
 totals AS (SELECT sum(chars) AS c, sum(pow(chars, {POWER})) AS w FROM sizes),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, bounded_batches, table
+from .common import Workspace, bounded_batches, fresh, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -70,8 +70,8 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     return len(parts), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(parts), len(lines)
 
 
-def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns and one ``__m`` struct with the measures, base_failed and any_failed."""
+def measured(docs: DataFrame, columns: list[str], name: str = "__m") -> DataFrame:
+    """The given columns and one struct of that name with the measures, base_failed and any_failed."""
     kinds = [(m, pa.int64()) for m in MEASURES] + [("base_failed", pa.bool_()), ("any_failed", pa.bool_())]
     struct = pa.struct(kinds)
 
@@ -84,12 +84,12 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
                 other = symbols > MAX_SYMBOLS_PER_WORD * n or dup > MAX_DUP_LINE_SHARE * lines
                 rows.append((n, chars, symbols, dup, repeat, base, base or other))
             out = pa.array([dict(zip([k for k, _ in kinds], r, strict=True)) for r in rows], struct)
-            yield pa.record_batch([*batch.columns[1:], out], [*batch.schema.names[1:], "__m"])
+            yield pa.record_batch([*batch.columns[1:], out], [*batch.schema.names[1:], name])
 
     bounded_batches(docs.sparkSession)
     mine = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES] + [T.StructField(m, T.BooleanType()) for m in ("base_failed", "any_failed")])
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("__m", mine)])
-    return docs.select(F.col("text").cast("string").alias("__text"), *columns).mapInArrow(run, schema)
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(name, mine)])
+    return docs.select(F.col("text").cast("string").alias(fresh(docs, "__text")), *columns).mapInArrow(run, schema)
 
 
 def host_verdicts(rows: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
@@ -129,10 +129,11 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIM
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that quality_rules keeps, with their columns; texts are read once and never shuffled with a small host table."""
     work = Workspace(docs.sparkSession, "quality")
-    rows = work.keep(measured(docs, docs.columns), "measured")
-    hosts = host_verdicts(rows.select(F.col(host).alias("__host"), "__m"), "__host", limit).where("host_ok").select(F.col("__host").alias("__h"))
+    m, h = fresh(docs, "__m"), fresh(docs, "__h")
+    rows = work.keep(measured(docs, docs.columns, m), "measured")
+    hosts = host_verdicts(rows.select(F.col(host).alias("__host"), F.col(m).alias("__m")), "__host", limit).where("host_ok").select(F.col("__host").alias(h))
     hosts = work.keep(hosts, "hosts")
-    return rows.where("NOT __m.base_failed").join(hosts, F.col(host).eqNullSafe(F.col("__h")), "left_semi").select(docs.columns)
+    return rows.where(~F.col(f"{m}.base_failed")).join(hosts, F.col(host).eqNullSafe(F.col(h)), "left_semi").select(docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

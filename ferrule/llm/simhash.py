@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, add_columns, bounded_batches, table
+from .common import Workspace, add_columns, bounded_batches, fresh, table
 from .components import components
 
 SEED = 42
@@ -143,8 +143,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    n = fresh(docs, "__n")
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return docs.join(groups.hint("merge"), "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n").select(docs.columns)
+    return docs.join(groups.hint("merge"), "doc_id", "left_semi").withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).drop(n).select(docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
