@@ -1,8 +1,14 @@
 """The pipeline's stages against what they must keep."""
 
+import re
 import tempfile
 
 import corpus_pipeline
+from ferrule.llm.queries import ORACLES, QUERIES
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_stages_in_order_and_their_columns(spark):
