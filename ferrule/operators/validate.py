@@ -13,7 +13,7 @@ CATEGORIES = ("unsupported_symbol", "unsupported_syntax", "inconsistent_columns"
 
 def legacy_validated(df: DataFrame) -> DataFrame:
     """validated() for rows that repeat their formula as nary, elements and amounts: those must agree."""
-    rows = validated(df)
+    rows = validated(df.withColumnRenamed("nary", "table_nary"))
     entries = F.zip_with("elements", "amounts", lambda s, n: F.struct(s.alias("symbol"), n.alias("amount")))
     rows = rows.withColumn("__same", F.array_join(F.transform(F.array_sort(entries), lambda t: F.concat(t["symbol"], t["amount"].cast("string"))), ""))
     parsed = with_composition(rows.select("*").withColumnsRenamed({c: f"__{c}" for c in ("formula_error", "terms", "formula", "species", "nary", "system")}), "__same")
@@ -22,7 +22,7 @@ def legacy_validated(df: DataFrame) -> DataFrame:
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(unknown, "unsupported_symbol")
         .when(F.exists("amounts", lambda n: n.isNull() | (n <= 0)), "invalid_stoichiometry")
-        .when((F.size("elements") != F.col("__nary")) | ~F.col("formula").eqNullSafe(F.col("__formula")), "inconsistent_columns")
+        .when((F.col("table_nary") != F.col("__nary")) | ~F.col("formula").eqNullSafe(F.col("__formula")), "inconsistent_columns")
     )
     names = ("formula_error", "terms", "formula", "species", "nary", "system")
     return parsed.withColumn("error", bad).drop("__same", *names).withColumnsRenamed({f"__{c}": c for c in names})
