@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, bounded_batches, table
+from .common import Workspace, bounded_batches, fresh, table
 
 MIN_CHARS = 150
 LIST_PART = 256
@@ -158,17 +158,22 @@ def removals(docs: DataFrame, work: Workspace, min_chars: int = MIN_CHARS, list_
     return found.select("key", F.explode("gone").alias("line")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
+def _counts(docs: DataFrame) -> tuple[str, str]:
+    return fresh(docs, "__lines"), fresh(docs, "__lost")
+
+
 def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, list_part: int = LIST_PART) -> DataFrame:
-    """The columns of ``docs``, text without the deleted lines, and __lines (before) and __gone (deleted).
+    """The columns of ``docs``, text without the deleted lines, and as the last two columns its lines before and the lines deleted.
 
     Later means a larger doc_id (a null one is the least), then a larger hash of the text; rows that agree in
     both are one document and lose the same lines. Blank lines align but never start a run. Null texts stay null.
     """
     bounded_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "lines")
-    gone = work.keep(removals(docs, work, min_chars, list_part), "gone").withColumnRenamed("key", "__key")
-    joined = docs.withColumn("__k", _key(docs)).join(gone, F.col("__k") == F.col("__key"), "left").drop("__k", "__key")
-    at = docs.columns.index("text")
+    mine, key, gone = (fresh(docs, x) for x in ("__k", "__key", "gone"))
+    found = work.keep(removals(docs, work, min_chars, list_part), "gone").withColumnsRenamed({"key": key, "gone": gone})
+    joined = docs.withColumn(mine, _key(docs)).join(found.hint("merge"), F.col(mine) == F.col(key), "left").drop(mine, key)
+    at, counts = docs.columns.index("text"), _counts(docs)
 
     def run(batches):
         for batch in batches:
@@ -183,23 +188,24 @@ def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, list_part: int =
                 lost.append(len(dropped or ()))
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.record_batch([*columns, pa.array(before, pa.int64()), pa.array(lost, pa.int64())], [*batch.schema.names[:-1], "__lines", "__gone"])
+            yield pa.record_batch([*columns, pa.array(before, pa.int64()), pa.array(lost, pa.int64())], [*batch.schema.names[:-1], *counts])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__gone", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
     return joined.mapInArrow(run, schema)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, list_part: int = LIST_PART) -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text for every row; an empty table gives no rows."""
-    return without_lines(docs.select("doc_id", "text"), min_chars, list_part).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
+    return without_lines(docs.select("doc_id", "text"), min_chars, list_part).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__lost").alias("n_removed"), "text")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, list_part: int = LIST_PART) -> DataFrame:
     """The documents with repeated blocks deleted; one that loses its last word goes. n_chars, where there is one, follows the text."""
-    kept = without_lines(docs, min_chars, list_part).where((F.col("__gone") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    lost = _counts(docs)[1]
+    kept = without_lines(docs, min_chars, list_part).where((F.col(lost) == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        kept = kept.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(F.col(lost) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return kept.select(docs.columns)
 
 
