@@ -92,3 +92,12 @@ def coverage(groups: DataFrame, scores: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count("n").alias("covered"), (100 * F.count("n") / F.count("*")).alias("percent"), F.min("lo").alias("score_min"), F.max("hi").alias("score_max"),
         F.count_if(F.col("n") > 1).alias("duplicate_canonical"),
     )
+
+
+def optimisation_summary(fits: DataFrame) -> DataFrame:
+    """Fits by design and policy: how many ended at the criterion or the iteration limit, and the ranges of iterations and objective."""
+    one = fits.select(*BRANCH, "termination", "iterations", "objective").distinct()
+    return one.groupBy("design", "policy").agg(
+        F.count_if(F.col("termination") == "projected_gradient").alias("converged"), F.count_if(F.col("termination") == "iteration_limit").alias("capped"),
+        F.min("iterations").alias("least_iterations"), F.max("iterations").alias("most_iterations"), F.min("objective").alias("least_objective"), F.max("objective").alias("most_objective"),
+    )

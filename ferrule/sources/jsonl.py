@@ -80,13 +80,3 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
             raise InvalidRecords(f"duplicate material_id: {twice['material_id']}")
         return rows.drop("fault")
     return rows
-
-
-def reconcile(table: DataFrame, lines: DataFrame) -> None:
-    """Row i of a records table must say what line i of the documents says; the first difference raises."""
-    columns = ["material_id", "composition", "theoretical", "source_ids", "normalization_issue"]
-    left = table.select(F.col("source_row").alias("at"), F.struct(*columns).alias("a"))
-    right = lines.select(F.col("line").alias("at"), F.struct(*columns).alias("b"))
-    odd = left.join(right, "at", "full").where(~F.col("a").eqNullSafe(F.col("b"))).agg(F.min("at")).first()[0]
-    if odd is not None:
-        raise InvalidRecords(f"row {odd} of the table differs from its document")
