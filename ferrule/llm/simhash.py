@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, add_columns, bounded_batches, fresh, table
@@ -139,13 +139,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, probe_above: int
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the least of their near-duplicate group; of repeated rows one stays."""
-    from pyspark.sql import Window
-
-    groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    n = fresh(docs, "__n")
+    """The documents whose doc_id is the least of their near-duplicate group; of repeated rows one stays. Rows without an id are not judged and stay."""
+    named, n = docs.where("doc_id IS NOT NULL"), fresh(docs, "__n")
+    groups = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return docs.join(groups.hint("merge"), "doc_id", "left_semi").withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).drop(n).select(docs.columns)
+    kept = named.join(groups.hint("merge"), "doc_id", "left_semi").withColumn(n, F.row_number().over(once)).where(F.col(n) == 1)
+    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

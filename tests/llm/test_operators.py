@@ -92,8 +92,8 @@ def test_simhash_links_lose_none(spark, probe_above):
 
 
 def test_simhash_keeps_one(spark):
-    kept = simhash.keep_one(table(spark, ["a b c d", "a b c d", "x y z w", "x y z w"], [4, 3, 9, 9]))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9] and kept.columns[:3] == ["doc_id", "text", "lang"]
+    kept = simhash.keep_one(table(spark, ["a b c d", "a b c d", "x y z w", "x y z w", "a b c d"], [4, 3, 9, 9, None]))
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 9] and kept.columns[:3] == ["doc_id", "text", "lang"]
 
 
 def slow_removed(texts, length):
