@@ -157,14 +157,22 @@ class Family:
         suffixes = self.levels[0][2]
         for _, _, level in self.levels[1:]:
             suffixes = suffixes.unionByName(level)
-        held = suffixes.join(codes.distinct(), "code", "left_semi")
-        sizes = held.groupBy("code").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-        return held.join(self.work.keep(sizes, "sizes"), "code")
+        sizes = suffixes.groupBy("code").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).join(codes.distinct(), "code", "left_semi")
+        return suffixes.join(self.work.keep(sizes, "sizes").hint("merge"), "code")
 
+    def drop(self) -> None:
+        """Delete the levels of a one-off run."""
+        for _, where, _ in self.levels:
+            self.work.drop(where)
+
+
+def by_text(candidates: DataFrame) -> DataFrame:
+    """(key, suffixes): the candidates of each text; as many as the text has anchors at most."""
+    return candidates.groupBy(F.col("text").alias("key")).agg(F.collect_list(F.struct("code", "at", "first", "last", "parts")).alias("suffixes"))
 
-def segments(docs: DataFrame, candidates: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+
+def segments(docs: DataFrame, lists: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(code, part, parts, doc, at, first, bytes): the text of all strings that a candidate suffix anchors; doc is the text's SHA-256."""
-    lists = candidates.groupBy("text").agg(F.collect_list(F.struct("code", "at", "first", "last", "parts")).alias("suffixes")).withColumnRenamed("text", "key")
     long = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("key"), "text")
     names = ["code", "part", "parts", "doc", "at", "first", "bytes"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
@@ -197,7 +205,7 @@ def segments(docs: DataFrame, candidates: DataFrame, length: int = LENGTH, gram:
             if rows:
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return long.join(lists, "key").select("text", "suffixes").mapInArrow(run, "code long, part int, parts int, doc binary, at int, first int, bytes binary")
+    return long.join(lists.hint("merge"), "key").select("text", "suffixes").mapInArrow(run, "code long, part int, parts int, doc binary, at int, first int, bytes binary")
 
 
 def shared(groups: np.ndarray, rows: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,9 +307,15 @@ def repeated_starts(docs: DataFrame, work: Workspace, length: int = LENGTH, gram
     family = Family(work)
     for batch in range(batches):
         family.add(suffix_array(docs.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == batch), length, gram))
-    around = work.keep(segments(docs, family.candidates(part), length, gram), "segments", "lz4")
+    listed, lists = work.write(by_text(family.candidates(part)), "candidates")
+    family.drop()
+    work.release()
+    placed, around = work.write(segments(docs, lists, length, gram), "segments")
+    work.drop(listed)
     work.release()
     found = work.keep(matches(around, length, gram), "matches")
+    work.drop(placed)
+    work.release()
     across = found.where("digest IS NOT NULL")
     again = across.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     return found.where("digest IS NULL").unionByName(across.where("doc IS NOT NULL").join(again, "digest", "left_semi").select(found.columns)).drop("digest")
@@ -344,7 +358,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                 spans.append(len(removed))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names)
 
-    joined = named.join(marks, F.col("doc") == F.col("__doc"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
+    joined = named.join(marks.hint("merge"), F.col("doc") == F.col("__doc"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
