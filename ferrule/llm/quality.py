@@ -137,4 +137,4 @@ def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))

@@ -6,6 +6,7 @@ from .langid import op10_language_id
 from .linededup import op7_line_dedup
 from .media import op4_media_columns
 from .mixing import OP6_ORACLE, op6_mixing
+from .oracles import OP2_ORACLE, OP8_ORACLE
 from .packing import op5_packing
 from .pii import op3_personal_data
 from .quality import op8_quality_rules
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op6_mixing": OP6_ORACLE, "op9_warc": OP9_ORACLE}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2_ORACLE, "op6_mixing": OP6_ORACLE, "op8_quality_rules": OP8_ORACLE, "op9_warc": OP9_ORACLE}
