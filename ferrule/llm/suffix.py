@@ -34,6 +34,7 @@ BATCHES = 3
 PART = 16_384
 #: String starts that are hashed at once, and suffixes compared at once.
 SLICE, HELD = 1 << 18, 16_384
+SALTS = 16
 
 _mix = np.random.RandomState(20_200).randint(1, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _odd = np.array([2_654_435_761, 2_246_822_519, 3_266_489_917, 668_265_263, 374_761_393, 2_869_860_233], np.uint32)
@@ -118,8 +119,12 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     bounded_batches(docs.sparkSession)
     long = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("key"), F.col("text"))
-    found = long.mapInArrow(run, "code long, text long, at int, first int, last int")
-    return found.repartition("code").dropDuplicates().sortWithinPartitions("code", "text", "at")
+    return _sorted(long.mapInArrow(run, "code long, text long, at int, first int, last int").withColumn("salt", F.pmod("text", F.lit(SALTS).cast("long"))))
+
+
+def _sorted(suffixes: DataFrame) -> DataFrame:
+    """Each suffix once, sorted; the suffixes of a code that very many texts share are dealt over SALTS tasks."""
+    return suffixes.repartition("code", "salt").dropDuplicates().sortWithinPartitions("code", "text", "at")
 
 
 class Family:
@@ -137,12 +142,11 @@ class Family:
         mine = counts.select("code")
         found = counts.where("n > 1").select("code")
         for _, _, level in self.levels:
-            found = found.unionByName(level.join(mine, "code", "left_semi").select("code").distinct())
+            found = found.unionByName(level.select("code").distinct().join(mine, "code", "left_semi"))
         self.matched.append(self.work.keep(found.distinct(), "matched"))
         while self.levels and self.levels[-1][0] == rank:
             _, below, level = self.levels.pop()
-            merged = level.unionByName(now).repartition("code").dropDuplicates().sortWithinPartitions("code", "text", "at")
-            after, now = self.work.write(merged, "level")
+            after, now = self.work.write(_sorted(level.unionByName(now)), "level")
             self.work.drop(where)
             self.work.drop(below)
             rank, where = rank + 1, after
@@ -158,7 +162,7 @@ class Family:
         for _, _, level in self.levels[1:]:
             suffixes = suffixes.unionByName(level)
         sizes = suffixes.groupBy("code").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).join(codes.distinct(), "code", "left_semi")
-        return suffixes.join(self.work.keep(sizes, "sizes").hint("merge"), "code")
+        return suffixes.drop("salt").join(self.work.keep(sizes, "sizes").hint("merge"), "code")
 
     def drop(self) -> None:
         """Delete the levels of a one-off run."""
