@@ -1,9 +1,13 @@
 """The pipeline's stages against what they must keep."""
 
+import random
 import re
 import tempfile
 
+import pytest
+
 import corpus_pipeline
+from ferrule.llm import nearcopies
 from ferrule.llm.queries import ORACLES, QUERIES
 
 
@@ -26,3 +30,32 @@ def test_stages_in_order_and_their_columns(spark):
     assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] > 0.5 * sizes[0]
     first, again = (sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).drop("sequence_id", "offset", "start", "length", "ids_crc32", "loss_tokens").distinct().collect())) for _ in range(2))
     assert first == again and {r[0] for r in first} == {r["doc_id"] for r in docs.collect()}
+
+
+@pytest.mark.parametrize(("long_list", "rounds"), [(16, 4), (2, 1), (1, 0)])
+def test_near_copies_match_brute_force(spark, long_list, rounds):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    passage, texts = r.choices(words, k=60), []
+    for size in (40, 90, 200):
+        base = r.choices(words, k=size)
+        for n in range(12):
+            copy = list(base)
+            for at in r.sample(range(size), max(1, n * size // 240)):
+                copy[at] = f"x{r.randint(0, 9**9)}"
+            texts.append(" ".join(copy))
+    texts += [" ".join(passage + r.choices(words, k=k)) for k in (2, 3, 5, 8, 20, 40) for _ in range(3)] + ["a b", "A  b", "", " ", None]
+
+    def parts(t):
+        found = (t or "").lower().split()
+        return {tuple(found[i : i + 5]) for i in range(len(found) - 4)} or {tuple(found)}
+
+    sets, root = [parts(t) for t in texts], list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} if rounds == 4 else {x["doc_id"] for x in nearcopies.keep_one(docs, long_list, rounds).collect()}
+    assert kept == set(root) and 10 < len(kept) < len(texts) - 15
