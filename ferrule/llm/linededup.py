@@ -1,11 +1,14 @@
 """Operator 7: line deduplication by pairwise alignment.
 
-Lines are hashed, and from each line the shortest run of lines that reaches MIN_CHARS characters is posted
-under one hash: no shorter common block is ever deleted, and no longer one can miss such a run. Each
-document is paired with the holder before it in every list, so lists of any length give one pair for each
-entry; lists longer than LIST_PART are cut into parts by a hash, whose first holders pair with the list's
-first. Pairs are aligned by patience diff over line hashes, and aligned common blocks of at least
-MIN_CHARS characters go from the later document. Texts are read only to write the result.
+Lines are hashed, and the shortest runs of lines that reach MIN_CHARS characters, from each line on and up to
+each line, are posted under their hashes: no shorter common block is ever deleted, and every line of a longer
+one lies in such a run of it. Each document is first paired with the holder before it in every list; lists
+longer than LIST_PART are cut into parts by a hash, whose first holders pair with the list's first. Pairs are
+aligned by patience diff over line hashes, and aligned common blocks of at least MIN_CHARS characters go from
+the later document. A run of which lines remain then meets further earlier holders in rounds, FIRST_ROUND of
+them and GROWTH times as many in each next round, until it is gone or all were met: the result is that of all
+pairs that share a run (a blank line at a block's end goes if a pair that was met takes it). Texts are read
+only to write the result.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from .common import Workspace, bounded_batches, fresh, table
 
 MIN_CHARS = 150
 LIST_PART = 256
+FIRST_ROUND, GROWTH = 4, 8
 
 Lines = list[int]
 
@@ -102,48 +106,68 @@ def line_table(docs: DataFrame) -> DataFrame:
     return made.groupBy("key").agg(F.first("lines").alias("lines"), F.first("chars").alias("chars"))
 
 
+def runs(chars: list[int], min_chars: int = MIN_CHARS) -> set[tuple[int, int]]:
+    """(i, j): the shortest runs i to j - 1 that reach min_chars, from each line on and up to each line that is not empty."""
+    found, j, size = set(), 0, 0
+    for i in range(len(chars)):
+        while size < min_chars and j < len(chars):
+            size += chars[j]
+            j += 1
+        if size < min_chars:
+            break
+        if chars[i]:
+            found.add((i, j))
+        size -= chars[i]
+    i, size = 0, 0
+    for j in range(len(chars)):
+        size += chars[j]
+        while size - chars[i] >= min_chars:
+            size -= chars[i]
+            i += 1
+        if size >= min_chars and chars[j]:
+            while not chars[i]:
+                i += 1
+            found.add((i, j + 1))
+    return found
+
+
 def postings(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(run, key): the hash of the shortest run of lines from each line on that reaches min_chars."""
+    """(run, key): the hashes of the document's runs; of a table with a column ``gone`` only those with a line that remains."""
 
     def run(batches):
         import numpy as np
         import xxhash
 
         for batch in batches:
-            keys, runs = [], []
-            for n, (lines, chars) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                raw, found, j, size = np.array(lines, "<i8").tobytes(), set(), 0, 0
-                for i in range(len(lines)):
-                    while size < min_chars and j < len(lines):
-                        size += chars[j]
-                        j += 1
-                    if size < min_chars:
-                        break
-                    if chars[i]:
-                        found.add(xxhash.xxh64_intdigest(raw[8 * i : 8 * j]) - (1 << 63))
-                    size -= chars[i]
+            keys, held = [], []
+            gone = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for n, (lines, chars, away) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), gone, strict=True)):
+                raw, away = np.array(lines, "<i8").tobytes(), set(away or ())
+                found = {xxhash.xxh64_intdigest(raw[8 * i : 8 * j]) - (1 << 63) for i, j in runs(chars, min_chars) if not away or any(chars[q] and q not in away for q in range(i, j))}
                 keys += [n] * len(found)
-                runs += found
-            yield pa.record_batch([pa.array(runs, pa.int64()), batch.column(0).take(pa.array(keys, pa.int64()))], ["run", "key"])
+                held += found
+            yield pa.record_batch([pa.array(held, pa.int64()), batch.column(0).take(pa.array(keys, pa.int64()))], ["run", "key"])
 
     schema = T.StructType([T.StructField("run", T.LongType()), T.StructField("key", lines.schema["key"].dataType)])
-    return lines.select("key", "lines", "chars").mapInArrow(run, schema)
+    return lines.select("key", "lines", "chars", *[c for c in lines.columns if c == "gone"]).mapInArrow(run, schema)
 
 
-def pairs(posted: DataFrame, list_part: int = LIST_PART) -> DataFrame:
-    """(later, earlier), each once: neighbours in the lists of runs that two documents or more hold."""
+def shared(posted: DataFrame) -> DataFrame:
+    """(run, key, n, least): the postings of runs that n > 1 documents hold, the first of them ``least``."""
     lists = posted.groupBy("run").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
-    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / list_part))
-    held = posted.join(lists, "run").withColumn("part", part)
+    return posted.join(lists, "run")
+
+
+def pairs(held: DataFrame, list_part: int = LIST_PART) -> DataFrame:
+    """(later, earlier), each once: neighbours in the lists."""
     before = F.lag("key").over(Window.partitionBy("run", "part").orderBy("key"))
+    held = held.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / list_part)))
     linked = held.select(F.col("key").alias("later"), F.coalesce(before, F.col("least")).alias("earlier"))
     return linked.where("earlier < later").distinct()
 
 
-def removals(docs: DataFrame, work: Workspace, min_chars: int = MIN_CHARS, list_part: int = LIST_PART) -> DataFrame:
-    """(key, gone): the positions of the lines that go from each document that loses any."""
-    lines = work.keep(line_table(docs), "lines")
-    linked = work.keep(pairs(work.keep(postings(lines, min_chars), "postings"), list_part), "pairs")
+def _removed(linked: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
+    """(key, line), each once: what the alignments of some pairs delete."""
     both = linked.join(lines.select(F.col("key").alias("later"), F.col("lines").alias("b"), F.col("chars")), "later").join(
         lines.select(F.col("key").alias("earlier"), F.col("lines").alias("a")), "earlier"
     )
@@ -155,7 +179,34 @@ def removals(docs: DataFrame, work: Workspace, min_chars: int = MIN_CHARS, list_
 
     schema = T.StructType([T.StructField("key", linked.schema["later"].dataType), T.StructField("gone", T.ArrayType(T.IntegerType()))])
     found = both.select(F.col("later").alias("key"), "a", "b", "chars").mapInArrow(run, schema).where(F.size("gone") > 0)
-    return found.select("key", F.explode("gone").alias("line")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    return found.select("key", F.explode("gone").alias("line")).distinct()
+
+
+def _by_document(gone: DataFrame) -> DataFrame:
+    return gone.distinct().groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+
+
+def removals(docs: DataFrame, work: Workspace, min_chars: int = MIN_CHARS, list_part: int = LIST_PART) -> DataFrame:
+    """(key, gone): the positions of the lines that go from each document that loses any."""
+    lines = work.keep(line_table(docs), "lines")
+    held = work.keep(shared(work.keep(postings(lines, min_chars), "postings")), "shared")
+    linked = work.keep(pairs(held, list_part), "pairs")
+    gone = work.keep(_removed(linked, lines, min_chars), "removed")
+    place = F.pmod(F.xxhash64("key", "run"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")  # a holder's place in its list, by hash
+    # runs that their documents still hold, and have an earlier holder
+    later, low, high, left = held.where("key > least").select("run", "key", "n"), 0, FIRST_ROUND, lines
+    while True:
+        left = left.join(later.select("key").distinct(), "key", "left_semi")
+        still = postings(left.drop("gone").join(_by_document(gone), "key", "left"), min_chars)
+        later = work.keep(later.join(still, ["run", "key"], "left_semi").where(F.col("n") > low), "later")
+        if not later.head(1):
+            return _by_document(gone)
+        holders = held.where((place >= low) & (place < high)).select("run", F.col("key").alias("earlier"))
+        met = later.select("run", F.col("key").alias("later")).join(holders, "run").where("earlier < later").select("later", "earlier").distinct()
+        fresh_pairs = work.keep(met.join(linked, ["later", "earlier"], "left_anti"), "pairs")
+        linked = linked.unionByName(fresh_pairs)
+        gone = gone.unionByName(work.keep(_removed(fresh_pairs, lines, min_chars), "removed"))
+        low, high = high, high * GROWTH
 
 
 def _counts(docs: DataFrame) -> tuple[str, str]:

@@ -372,3 +372,20 @@ def test_empty_tables(spark):
     made += [linededup.line_dedup(none), quality.quality_rules(none), langid.identify(none, none, langid.vocabulary_path())]
     made.append(warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")))
     assert [df.count() for df in made] == [0] * len(made)
+
+
+@pytest.mark.parametrize("least", [150, None])
+def test_line_dedup_agrees_with_all_pairs(spark, least):
+    least = least or linededup.MIN_CHARS
+    r = random.Random(11)
+    x, y, s = "x" * 200, "y" * 200, "s" * 100
+    groups = [[[x, "a"], [y, "b"], [y, x], [x, y]], [[x, s, "a"], [x, "q"], [x, s, "z"]]]
+    pool = [prose(300 + i, n) for i, n in enumerate([2, 4, 8, 12, 16, 30] * 3)] + [""]
+    groups.append([[r.choice(pool) for _ in range(r.randint(1, 8))] for _ in range(60)])
+    for group in groups:
+        want = []
+        for n, lines in enumerate(group):
+            gone = {q for before in group[:n] for q in linededup.common_blocks(before, lines, list(map(len, lines)), least)}
+            want.append("\n".join(t for i, t in enumerate(lines) if i not in gone))
+        got = linededup.line_dedup(table(spark, ["\n".join(g) for g in group]), least).orderBy("doc_id").collect()
+        assert [g["text"] for g in got] == want
