@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from .common import Workspace, bounded_batches, fresh, table
 
-MIN_CHARS = 150
+#: About one sentence.
+MIN_CHARS = 40
 LIST_PART = 256
 FIRST_ROUND, GROWTH = 4, 8
 

@@ -389,3 +389,10 @@ def test_line_dedup_agrees_with_all_pairs(spark, least):
             want.append("\n".join(t for i, t in enumerate(lines) if i not in gone))
         got = linededup.line_dedup(table(spark, ["\n".join(g) for g in group]), least).orderBy("doc_id").collect()
         assert [g["text"] for g in got] == want
+
+
+def test_line_dedup_takes_single_sentences(spark):
+    sentence = "All of this site's pages may be copied freely."
+    texts = [f"{prose(400 + i, 9)}\n{sentence}\nnext\n{prose(500 + i, 9)}" for i in range(6)]
+    rows = {r["doc_id"]: r for r in linededup.line_dedup(table(spark, texts)).collect()}
+    assert sentence in rows[0]["text"] and not any(sentence in rows[i]["text"] for i in range(1, 6))
