@@ -12,9 +12,11 @@ Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og
 HALOGENS = ("F", "Cl", "Br", "I", "At", "Ts")
 
 
+_KNOWN = frozenset(SYMBOLS)
+
+
 def validate_element(value) -> str:
-    if not isinstance(value, str):
-        raise ValueError("element symbols must be strings")
-    if value not in SYMBOLS:
-        raise ValueError(f"invalid element symbol: {value!r}")
-    return value
+    """The symbol itself, if it is one; anything else raises ValueError."""
+    if isinstance(value, str) and value in _KNOWN:
+        return value
+    raise ValueError(f"{value!r} is no element symbol")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
-from functools import reduce
-from math import gcd as _gcd
-from math import sqrt as _sqrt
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from math import gcd as gcd_of
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .elements import SYMBOLS
+from .elements import SYMBOLS, validate_element
 
 TOKEN = "([A-Z][a-z]?)([0-9]*)"
 SYNTAX = r"\A(?:[A-Z][a-z]?(?:[1-9][0-9]*)?)+\z"
@@ -96,12 +96,27 @@ def cosine(terms: Column, other: Column, equal: Column | None = None) -> Column:
     return value if equal is None else F.when(equal, F.lit(1.0)).otherwise(value)
 
 
+PARSED = ("formula_error", "terms", "formula", "species", "nary", "system")
+
+
 def with_composition(df: DataFrame, column: str = "composition") -> DataFrame:
     """Adds formula_error, terms, formula, species, nary and system; all but the error are null where it is not.
 
     Errors in order: not text (invalid_record), bad syntax (unsupported_syntax), an amount that is too large
     (invalid_record), an unknown symbol (unsupported_symbol), a total that is too large (invalid_record).
+
+    Each distinct text is parsed once and joined back: tables repeat their formulas many times over. Streams are
+    parsed row by row.
     """
+    if df.isStreaming:
+        return parse_each(df, column)
+    parsed = parse_each(df.select(F.col(column).alias("__text")).where("__text IS NOT NULL").distinct(), "__text")
+    joined = df.join(parsed, F.col(column) == F.col("__text"), "left").drop("__text")
+    return joined.withColumn("formula_error", F.when(F.col(column).isNull(), "invalid_record").otherwise(F.col("formula_error")))
+
+
+def parse_each(df: DataFrame, column: str = "composition") -> DataFrame:
+    """with_composition row by row, for tables of distinct texts."""
     f = F.col(column)
     known = F.array(*[F.lit(s) for s in SYMBOLS])
     spelled = F.coalesce(f.rlike(SYNTAX), F.lit(False))
@@ -125,33 +140,48 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def _amounts(source: str | Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """Symbol and amount of each part; what is no part of a formula raises."""
+    if isinstance(source, Mapping):
+        yield from source.items()
+        return
+    at = 0
+    for part in re.finditer(r"([A-Z][a-z]?)([1-9][0-9]*)?", source):
+        if part.start() != at:
+            break
+        at = part.end()
+        yield part[1], int(part[2] or 1)
+    if at != len(source):
+        raise ValueError(f"{source!r} is no simple formula: at character {at + 1} there is no element with a whole amount")
+
+
 class Composition:
     """A reduced composition on the driver, for arguments such as a reference formula."""
 
     def __init__(self, source: str | Mapping[str, int]):
-        pairs = self._read(source) if isinstance(source, str) else list(source.items())
-        counts: dict[str, int] = {}
-        for symbol, amount in pairs:
-            if symbol not in SYMBOLS:
-                raise ValueError(f"invalid element symbol: {symbol!r}")
-            if isinstance(amount, bool) or not isinstance(amount, int) or not 0 < amount <= LARGEST:
-                raise ValueError(f"amount for {symbol} must be a positive 64-bit integer")
-            counts[symbol] = counts.get(symbol, 0) + amount
-            if counts[symbol] > LARGEST:
-                raise ValueError(f"total amount for {symbol} exceeds the integer limit")
-        if not counts:
-            raise ValueError("composition must contain at least one element")
-        by = reduce(_gcd, counts.values())
-        self.terms = tuple((s, counts[s] // by) for s in sorted(counts))
-        self.formula = "".join(f"{s}{n}" for s, n in self.terms)
-        self.species = tuple(s for s, _ in self.terms)
-        self.norm = _sqrt(sum(n * n for _, n in self.terms))
-
-    @staticmethod
-    def _read(text: str) -> list[tuple[str, int]]:
-        if not re.fullmatch(r"(?:[A-Z][a-z]?(?:[1-9][0-9]*)?)+", text):
-            raise ValueError(f"invalid simple formula: {text!r}; use symbols with positive integer amounts")
-        return [(s, int(d or 1)) for s, d in re.findall(TOKEN, text)]
+        written: Counter[str] = Counter()
+        for symbol, amount in _amounts(source):
+            if type(amount) is not int or amount < 1:
+                raise ValueError(f"{symbol} has amount {amount!r}, which is no whole number above 0")
+            written[validate_element(symbol)] += amount
+        if not written:
+            raise ValueError("a composition has at least one element")
+        if (most := max(written.values())) > LARGEST:
+            raise ValueError(f"the amount {most} does not fit 64 bits")
+        shared = gcd_of(*written.values())
+        self.terms = tuple((symbol, n // shared) for symbol, n in sorted(written.items()))
+
+    @property
+    def formula(self) -> str:
+        return "".join(f"{symbol}{n}" for symbol, n in self.terms)
+
+    @property
+    def species(self) -> tuple[str, ...]:
+        return tuple(symbol for symbol, _ in self.terms)
+
+    @property
+    def norm(self) -> float:
+        return sqrt(sum(n * n for _, n in self.terms))
 
     def __eq__(self, other) -> bool:
         return isinstance(other, Composition) and self.terms == other.terms
@@ -171,5 +201,8 @@ class Composition:
         mine = dict(self.terms)
         return min(1.0, max(0.0, sum(mine.get(s, 0) * n for s, n in other.terms) / (self.norm * other.norm)))
 
-    def column(self) -> Column:
-        return F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(n).cast("long").alias("amount")) for s, n in self.terms])
+    def cosine(self, terms: Column, formula: Column) -> Column:
+        """Cosine similarity of a column of terms to this composition; its own formula has exactly 1."""
+        amounts = F.create_map(*[F.lit(x) for term in self.terms for x in term]).cast("map<string,bigint>")
+        shared = F.aggregate(terms, F.lit(0.0), lambda n, t: n + (t["amount"] * F.coalesce(F.try_element_at(amounts, t["symbol"]), F.lit(0))).cast("double"))
+        return F.when(formula == self.formula, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), shared / (norm(terms) * F.lit(self.norm)))))

@@ -11,8 +11,7 @@ PU_RANDOM = "eka-pu-random-v1"
 PU_TIE = "eka-pu-tie-v1"
 SPLIT = "eka-pu-split-v1"
 SYSTEM_SPLIT = "eka-pu-system-split-v2"
-#: Domain of the factor model's initial values: our own.
-FACTORS = "element-pair-factors-v1"
+FACTORS = "eka-element-pair-symnmf-v1"
 
 TIE_SEED = 20260901
 RANKING_SEED = 10_000

@@ -23,7 +23,7 @@ def pu_metrics(ranked: DataFrame, budgets: Sequence[int] = BUDGETS, keys: Sequen
     """
     keys, most = list(keys), max(integers(budgets, "budgets", 1))
     totals = ranked.groupBy(*keys).agg(F.count("*").alias("candidate_count"), F.count_if("heldout").alias("heldout_count"))
-    small = F.when(F.col("candidate_count") < most, F.raise_error(F.lit("budget exceeds candidate pool")).cast("long")).otherwise(F.col("candidate_count"))
+    small = F.when(F.col("candidate_count") < most, F.raise_error(F.lit("a budget is larger than its branch has candidates")).cast("long")).otherwise(F.col("candidate_count"))
     hits = ranked.select(*keys, "rank", "heldout").where(F.col("rank") <= most)
     at = with_budgets(hits, budgets).where("rank <= budget").groupBy(*keys, "budget").agg(F.count_if("heldout").alias("hits"))
     rows = at.join(totals.withColumn("candidate_count", small), keys)
@@ -61,7 +61,7 @@ def bench_metrics(ranking: DataFrame, candidates: DataFrame, training: DataFrame
     covered = each.select(*at, F.explode("species").alias("e")).groupBy(*at).agg(F.countDistinct("e").alias("covered")).withColumnRenamed("seed", "__seed")
     rows = flat.join(covered, (flat["method"] == covered["method"]) & (flat["budget"] == covered["budget"]) & flat["seed"].eqNullSafe(covered["__seed"])).drop(covered["method"]).drop(covered["budget"]).drop("__seed")
     rows = rows.join(F.broadcast(pool), F.lit(True)).join(F.broadcast(elements), F.lit(True))  # one row each
-    k = F.when(F.col("taken") < F.col("budget"), F.raise_error(F.lit("budget exceeds the pool")).cast("long")).otherwise(F.col("budget"))
+    k = F.when(F.col("taken") < F.col("budget"), F.raise_error(F.lit("a budget is larger than the pool of candidates")).cast("long")).otherwise(F.col("budget"))
     some = F.col("positives") > 0
     return rows.select(
         *at, "hits",

@@ -7,15 +7,15 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elements import SYMBOLS, validate_element
-from ..functions.formula import Composition, cosine, with_composition
+from ..functions.formula import Composition, with_composition
+from ..plans.workspace import Workspace
+from .numbering import numbered
 
 DEFAULT_THRESHOLD = 0.01
-#: Buckets of a distributed ranking.
-RANK_BUCKETS = 64
 
 
 class InvalidRecords(ValueError):
@@ -94,7 +94,7 @@ class SimilarityRanking(RankingMethod):
         self.reference = reference if isinstance(reference, Composition) else Composition(reference)
 
     def value(self, formula: Column, terms: Column, score: Column) -> Column:
-        return cosine(terms, self.reference.column(), formula == self.reference.formula)
+        return self.reference.cosine(terms, formula)
 
 
 def ranking_values(df: DataFrame, method: RankingMethod) -> DataFrame:
@@ -104,10 +104,10 @@ def ranking_values(df: DataFrame, method: RankingMethod) -> DataFrame:
 
 def rank_compositions(df: DataFrame, method: RankingMethod | None = None, check: bool = True) -> DataFrame:
     """Rows by value, then stored score, then formula; duplicates stay. Adds ranking_value and rank."""
-    valued = ranking_values(df, method or ScoreRanking())
+    valued = Workspace(df.sparkSession, "ranking").keep(ranking_values(df, method or ScoreRanking()), "values")
     if check:
         require_valid(valued.withColumn("__bad", score_error(F.col("ranking_value"))), "__bad")
-    return numbered(valued, "ranking_value", [F.desc("ranking_value"), F.desc("score"), F.asc("formula")])
+    return numbered(valued, [F.desc("ranking_value"), F.desc("score"), F.asc("formula")])
 
 
 def rank_by_score(df: DataFrame) -> DataFrame:
@@ -118,17 +118,6 @@ def rank_by_similarity(df: DataFrame, reference: str | Composition) -> DataFrame
     return rank_compositions(df, SimilarityRanking(reference))
 
 
-def numbered(df: DataFrame, value: str, order: list[Column], name: str = "rank") -> DataFrame:
-    """Global ranks without a single partition: rows are cut by approximate quantiles of the leading value, numbered within, and offset by the counts above."""
-    cuts = sorted(set(df.stat.approxQuantile(value, [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 0.005)))
-    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col(value))) if cuts else F.lit(0)
-    cut = df.withColumn("__cut", above)
-    counts = cut.groupBy("__cut").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    placed = cut.withColumn("__at", F.row_number().over(Window.partitionBy("__cut").orderBy(*order)))
-    return placed.join(F.broadcast(before), "__cut").withColumn(name, (F.col("__at") + F.col("__before")).cast("long")).drop("__cut", "__at", "__before")
-
-
 def query_compositions(
     table: DataFrame,
     elements: Iterable[str] | None = None,

@@ -6,17 +6,22 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions.elements import SYMBOLS
-from ..functions.formula import with_composition
+from ..functions.formula import parse_each
+from ..plans.workspace import Workspace
+from .numbering import numbered
+from .query import InvalidRecords
+from .splits import integers
 
 PU_METHODS = ("random", "popularity", "similarity")
 BENCH_METHODS = ("score", "popularity", "random")
-#: Vectors that one similarity block holds.
-BLOCK = 1024
+#: Vectors that one similarity block holds, and tasks over which a branch's blocks are dealt at least.
+BLOCK, SPREAD = 1024, 8
 BRANCH = ["design", "policy", "seed"]
 
 
@@ -56,34 +61,35 @@ def max_similarity(candidates: DataFrame, training: DataFrame, keys: Sequence[st
     """
     keys = list(keys)
     mine = _blocks(candidates, keys, "mine", F.struct("composition", "terms"))
-    rows = mine.join(_blocks(training, keys, "them", F.col("terms")), keys)
-    at = {s: i for i, s in enumerate(SYMBOLS)}
-
-    def dense(vectors) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((len(vectors), len(SYMBOLS)))
-        for n, terms in enumerate(vectors):
-            for t in terms:
-                out[n, at[t["symbol"]]] = t["amount"]
+    mine = mine.withColumn("__task", F.pmod(F.xxhash64(F.col("mine")[0]["composition"]), F.lit(SPREAD).cast("long")))
+    them = _blocks(training, keys, "them", F.col("terms")).withColumn("__task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    rows = mine.join(them, [*keys, "__task"])
+    symbols = pa.array(SYMBOLS)
+
+    def dense(terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((len(terms), len(SYMBOLS)))
+        symbol, amount = terms.flatten().flatten()
+        out[np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy()), pc.index_in(symbol, symbols).to_numpy()] = amount.to_numpy()
         return out, np.sqrt((out * out).sum(axis=1))
 
     def run(batches):
         for batch in batches:
             for n in range(len(batch)):
-                block, them = batch.column(len(keys))[n].as_py(), batch.column(len(keys) + 1)[n].as_py()
-                a, long_a = dense([x["terms"] for x in block])
-                b, long_b = dense(them)
+                name, terms = batch.column(len(keys))[n].values.flatten()
+                a, long_a = dense(terms)
+                b, long_b = dense(batch.column(len(keys) + 1)[n].values)
                 best = np.clip((a @ b.T) / (long_a[:, None] * long_b), 0.0, 1.0).max(axis=1)
-                same = [pa.array([batch.column(i)[n].as_py()] * len(block), batch.schema.types[i]) for i in range(len(keys))]
-                yield pa.record_batch([*same, pa.array([x["composition"] for x in block]), pa.array(best)], [*keys, "composition", "value"])
+                same = [pa.array([batch.column(i)[n].as_py()] * len(name), batch.schema.types[i]) for i in range(len(keys))]
+                yield pa.record_batch([*same, name, pa.array(best)], [*keys, "composition", "value"])
 
     schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "composition string", "value double"])
     return rows.select(*keys, "mine", "them").mapInArrow(run, schema).groupBy(*keys, "composition").agg(F.max("value").alias("value"))
 
 
 def split_sides(split: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates and training of a split with formula columns; formulas are parsed once, not once a branch."""
-    parsed = with_composition(split.select("composition").distinct()).select("composition", "terms", "species")
-    rows = split.join(parsed, "composition")
+    """Candidates and training of a split with formula columns; formulas are parsed once, not once a branch. The rows are written once for both."""
+    parsed = parse_each(split.select("composition").distinct()).select("composition", "terms", "species")
+    rows = Workspace(split.sparkSession, "sides").keep(split.join(parsed, "composition"), "rows")
     return rows.where("role = 'candidate'").drop("heldout"), rows.where("role = 'training'").drop("heldout")
 
 
@@ -108,8 +114,7 @@ def pu_rank(split: DataFrame, methods: Sequence[str] = PU_METHODS, tie_seed: int
     for p in parts[1:]:
         rows = rows.unionByName(p)
     rows = rows.withColumn("tie_key", hashing.key(hashing.PU_TIE, tie_seed, F.col("composition")))
-    order = Window.partitionBy(*BRANCH, "method").orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("random_key"), "tie_key", "composition")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long"))
+    return numbered(rows, [F.desc_nulls_last("score"), F.asc_nulls_last("random_key"), F.asc("tie_key"), F.asc("composition")], [*BRANCH, "method"])
 
 
 def labelled(ranking: DataFrame, split: DataFrame) -> DataFrame:
@@ -121,8 +126,20 @@ def labelled(ranking: DataFrame, split: DataFrame) -> DataFrame:
 def filtered(ranking: DataFrame, eligible: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A saved ranking kept to eligible candidates: original_rank stays, rank is numbered anew."""
     kept = ranking.withColumnRenamed("rank", "original_rank").join(eligible.select(*keys, "composition").distinct(), [*keys, "composition"], "left_semi")
-    order = Window.partitionBy(*keys, "method").orderBy("original_rank")
-    return kept.withColumn("rank", F.row_number().over(order).cast("long"))
+    return numbered(kept, [F.asc("original_rank")], [*keys, "method"])
+
+
+def check_bench(candidates: DataFrame, training: DataFrame, budgets: Sequence[int]) -> None:
+    """What a benchmark refuses: no training, repeated or shared compositions, and budgets beyond the pool."""
+    most = max(integers(budgets, "budgets", 1))
+    if not training.head(1):
+        raise InvalidRecords("there is no training")
+    both = candidates.select("composition", F.lit(1).alias("c"), F.lit(0).alias("t")).unionByName(training.select("composition", F.lit(0).alias("c"), F.lit(1).alias("t")))
+    again = both.groupBy("composition").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).where("c + t > 1").orderBy("composition").first()
+    if again:
+        raise InvalidRecords(f"{again['composition']} is {again['c']} times a candidate and {again['t']} times in training")
+    if (n := candidates.count()) < most:
+        raise InvalidRecords(f"a budget of {most} is more than the {n} candidates")
 
 
 def bench_rank(candidates: DataFrame, training: DataFrame, methods: Sequence[str] = BENCH_METHODS, seeds: Sequence[int] = (0, 1, 2)) -> DataFrame:
@@ -145,5 +162,4 @@ def bench_rank(candidates: DataFrame, training: DataFrame, methods: Sequence[str
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    order = Window.partitionBy("method", "seed").orderBy(F.desc_nulls_last("ranking_value"), F.asc_nulls_last("random_key"), "composition")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long"))
+    return numbered(rows, [F.desc_nulls_last("ranking_value"), F.asc_nulls_last("random_key"), F.asc("composition")], ["method", "seed"])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..plans.workspace import Workspace
+from .numbering import numbered
 
 POLICIES = ("original", "exclude_mixed", "unlabel_mixed")
 DESIGNS = ("composition", "system")
@@ -46,11 +48,16 @@ def composition_splits(groups: DataFrame, seeds: Sequence[int] = SEEDS, policies
     role is training or candidate and carries no label; heldout is for evaluation only.
     """
     pool = with_seeds(policy_groups(groups, policies).where("label <> 'unresolved'"), seeds)
-    branch = Window.partitionBy("policy", "seed", "label")
-    order = hashing.key(hashing.SPLIT, F.col("seed"), F.col("composition"))
-    ranked = pool.withColumn("__key", order).withColumn("__at", F.row_number().over(branch.orderBy("__key", "composition"))).withColumn("__n", F.count("*").over(branch))
-    held = (F.col("label") == "positive") & (F.col("__at") <= F.expr("__n div 5"))
-    return _roles(ranked.withColumn("heldout", held).withColumn("design", F.lit("composition")), (F.col("label") == "positive") & ~F.col("heldout"))
+    positive = F.col("label") == "positive"
+    ranked = _first_fifth(pool, hashing.key(hashing.SPLIT, F.col("seed"), F.col("composition")), "composition", ["policy", "seed", "label"])
+    return _roles(ranked.withColumn("heldout", positive & F.col("__first")).withColumn("design", F.lit("composition")), positive & ~F.col("heldout"))
+
+
+def _first_fifth(df: DataFrame, key: Column, tie: str, keys: list[str]) -> DataFrame:
+    """Adds __first: is the row among the first n div 5 of its keys by the hash key?"""
+    rows = Workspace(df.sparkSession, "splits").keep(numbered(df.withColumn("__key", key), [F.asc("__key"), F.asc(tie)], keys, "__place"), "placed")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    return rows.join(F.broadcast(sizes), keys).withColumn("__first", F.expr("__place <= __n div 5")).drop("__place", "__n", "__key")  # a row for each branch
 
 
 def _roles(df: DataFrame, training) -> DataFrame:
@@ -66,9 +73,8 @@ def universe(groups: DataFrame) -> DataFrame:
 def selected_systems(groups: DataFrame, seeds: Sequence[int] = SEEDS) -> DataFrame:
     """(seed, system): floor(S/5) systems by hash order."""
     each = with_seeds(universe(groups), seeds)
-    branch = Window.partitionBy("seed")
-    ranked = each.withColumn("__at", F.row_number().over(branch.orderBy(hashing.key(hashing.SYSTEM_SPLIT, F.col("seed"), F.col("system")), "system")))
-    return ranked.withColumn("__n", F.count("*").over(branch)).where("__at <= __n div 5").select("seed", "system")
+    ranked = _first_fifth(each, hashing.key(hashing.SYSTEM_SPLIT, F.col("seed"), F.col("system")), "system", ["seed"])
+    return ranked.where("__first").select("seed", "system")
 
 
 def system_splits(groups: DataFrame, seeds: Sequence[int] = SEEDS, policies: Sequence[str] = POLICIES) -> DataFrame:
