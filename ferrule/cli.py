@@ -1,15 +1,19 @@
-"""Command line: query, import, validate, benchmark, audit, split and experiment over the Spark operators."""
+"""Command line: query, import, validate, benchmark, audit, split, experiment, study and snapshot over the Spark operators."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+import tomllib
+from collections.abc import Sequence
+from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.formula import with_composition
-from .operators import audit, metrics, query, rankers, splits, validate
+from .operators import audit, metrics, query, rankers, splits, validate, verify
 from .plans import experiments
 from .sources import jsonl, scores, sinks, tsv
 
@@ -18,13 +22,24 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("ferrule").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Scores from a SQLite file, a TSV or a Parquet folder."""
+def load(spark: SparkSession, path: str, filters: query.QueryFilters | None = None) -> DataFrame:
+    """Scores from a SQLite file (which takes the filters), a TSV, or the Parquet of an import or a plain folder."""
     if path.endswith(".tsv"):
         return tsv.read_scored(spark, path)
     if path.endswith((".sqlite", ".db")):
-        return scores.read_scores(spark, path)
-    return spark.read.parquet(path)
+        return scores.read_scores(spark, path, filters)
+    found = Path(path, "compositions")
+    return spark.read.parquet(str(found) if found.is_dir() else path)
+
+
+def notes(path: str, nary: Sequence[int]) -> list[str]:
+    """What a reader should know of the arities asked of a file with a table for each arity."""
+    info = scores.database_info(path)
+    if info["schema"] != "legacy":
+        return []
+    absent = sorted(set(nary) - {n for _, n, _ in info["tables"]})
+    ionic = [n for _, n, only in info["tables"] if only and n in nary]
+    return [f"this file has no table of arity {n}" for n in absent] + [f"its table of arity {n} holds ionic compositions only" for n in ionic]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -54,6 +69,8 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--seeds", nargs="+", type=int, default=[0, 1, 2])
     a = sub.add_parser("audit")
     a.add_argument("--snapshot", required=True, help="JSON lines of records")
+    a.add_argument("--table", help="the same records as a TSV, which must agree row by row")
+    a.add_argument("--metadata", help="a TOML file whose fields, count and hash the records must meet")
     a.add_argument("--output", required=True)
     s = sub.add_parser("split")
     e = sub.add_parser("experiment")
@@ -62,6 +79,17 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--output", required=True)
         p.add_argument("--seeds", nargs="+", type=int, default=list(splits.SEEDS))
         p.add_argument("--budget", nargs="+", type=int, default=list(splits.BUDGETS))
+    y = sub.add_parser("study")
+    y.add_argument("name", choices=experiments.STUDIES)
+    for flag in ("groups", "output"):
+        y.add_argument(f"--{flag}", required=True)
+    y.add_argument("--seeds", nargs="+", type=int, default=list(splits.SEEDS))
+    y.add_argument("--budget", nargs="+", type=int, default=list(splits.BUDGETS))
+    n = sub.add_parser("snapshot")
+    n.add_argument("--documents", required=True, help="JSON lines of records")
+    n.add_argument("--output", required=True)
+    n.add_argument("--database-version", required=True)
+    e.add_argument("--bundle", help="a bundle of the split command; the splits derived here must be its own")
     e.add_argument("--designs", nargs="+", default=["composition"], choices=splits.DESIGNS)
     e.add_argument("--policies", nargs="+", default=["original"], choices=splits.POLICIES)
     e.add_argument("--methods", nargs="+", default=list(rankers.PU_METHODS), choices=experiments.METHODS)
@@ -76,14 +104,22 @@ def run(args: argparse.Namespace, to=None) -> int:
         if (args.rank == "similarity") != bool(args.reference):
             raise ValueError("--reference goes with --rank similarity")
         method = query.SimilarityRanking(args.reference) if args.reference else query.ScoreRanking()
-        table = load(spark, args.database)
+        filters = query.QueryFilters.of(args.elements, args.nary, args.threshold, not args.strict_threshold)
+        table = load(spark, args.database, filters)
         found = query.query_compositions(table, args.elements, args.nary, args.threshold, not args.strict_threshold, method, "elements" in table.columns)
+        for note in notes(args.database, args.nary) if args.database.endswith((".sqlite", ".db")) else []:
+            print(f"note: {note}", file=sys.stderr)
         say("# Composition, Score" + (", Similarity" if args.reference else ""))
         for r in found.orderBy("rank").toLocalIterator():
             say("%s   %.5f" % (r["formula"], r["score"]) + ("   %.5f" % r["ranking_value"] if args.reference else ""))
     elif args.command == "import":
-        say(sinks.import_scores(load(spark, args.input), args.database, args.source, args.duplicates))
+        if args.input.endswith(".tsv"):
+            say(sinks.import_tsv(spark, args.input, args.database, args.source, args.duplicates))
+        else:
+            say(sinks.import_scores(load(spark, args.input), args.database, args.source, args.duplicates))
     elif args.command == "validate":
+        if args.database.endswith((".sqlite", ".db")):
+            scores.quick_check(args.database)
         table = load(spark, args.database)
         rows = validate.legacy_validated(table) if "elements" in table.columns else query.validated(table)
         report = validate.audit(rows, strict=not args.report)
@@ -96,26 +132,34 @@ def run(args: argparse.Namespace, to=None) -> int:
         query.require_valid(training)
         pick = lambda df, *c: df.select(F.col("formula").alias("composition"), "species", "system", *c)
         candidates, training = pick(rows, "score", "outcome"), pick(training)
-        for df in (candidates, training):
-            if df.groupBy("composition").count().where("count > 1").first():
-                raise query.InvalidRecords("duplicate composition")
-        if candidates.join(training, "composition", "left_semi").first():
-            raise query.InvalidRecords("training and candidates overlap")
+        rankers.check_bench(candidates, training, args.budget)
         ranking = rankers.bench_rank(candidates, training, args.methods, args.seeds)
         measured = metrics.bench_metrics(ranking, candidates, training, args.budget)
         sinks.write_report({"candidates": ranking.orderBy("method", "seed", "rank"), "metrics": measured.orderBy("method", "seed", "budget")}, args.output, {"source": args.source})
     elif args.command == "audit":
-        rows = audit.with_reason(jsonl.read_jsonl(spark, args.snapshot).drop("line"))
+        documents = jsonl.read_jsonl(spark, args.snapshot)
+        if args.metadata:
+            verify.require_metadata(tomllib.loads(Path(args.metadata).read_text()), documents.count(), args.snapshot)
+        if args.table:
+            verify.require_agreement(tsv.read_tsv(spark, args.table, verify.RECORD), documents)
+        rows = audit.with_reason(documents.drop("line"))
         grouped = audit.groups(rows)
         summary = audit.summary(rows, grouped)
         sinks.write_report({"compositions": audit.as_text(grouped).orderBy("composition"), "excluded": audit.excluded(rows).orderBy("material_id"), "summary": summary}, args.output, {"schema_version": 1})
+    elif args.command == "snapshot":
+        say(sinks.write_snapshot(spark, args.documents, args.output, args.database_version))
     else:
         groups = audit.mixed(tsv.read_groups(spark, args.groups))
-        if args.command == "split":
+        if args.command == "study":
+            made = experiments.study(groups, args.name, args.seeds, args.budget)
+            experiments.write_experiment(made, args.output, {"study": args.name, "seeds": args.seeds, "budgets": args.budget})
+        elif args.command == "split":
             split = splits.composition_splits(groups, args.seeds, ("original",))
             splits.check_splits(split, args.budget)
             sinks.write_bundle(split, args.output, {"seeds": args.seeds, "budgets": args.budget})
         else:
+            if args.bundle:
+                verify.load_bundle(spark, args.bundle, splits.composition_splits(groups, args.seeds, ("original",)))
             made = experiments.experiment(groups, args.designs, args.policies, args.seeds, args.budget, args.methods)
             experiments.write_experiment(made, args.output, {"seeds": args.seeds, "budgets": args.budget})
     return 0
@@ -124,7 +168,7 @@ def run(args: argparse.Namespace, to=None) -> int:
 def main(argv: list[str] | None = None) -> int:
     try:
         return run(parser().parse_args(argv))
-    except (ValueError, OSError) as error:
+    except (ValueError, OSError, PySparkException) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2
 

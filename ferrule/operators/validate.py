@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,11 @@ def issues(rows: DataFrame, order: list[str], columns: list[str], most: int = 20
     return rows.where("error IS NOT NULL").orderBy(*order).limit(most).select(*order, *columns, F.col("error").alias("category"))
 
 
-def audit(rows: DataFrame, table: str | None = None, strict: bool = True) -> dict:
-    """Counts of all rows, bad rows, and bad rows by category and table. strict raises on the first bad category."""
+def audit(rows: DataFrame, table: str | None = None, strict: bool = True, order: Sequence[str] = ("composition", "score"), most: int = 20) -> dict:
+    """Counts of all rows, of bad rows by category and table, the first bad row of each category and the first ``most`` bad rows.
+
+    strict raises on the first bad category.
+    """
     if strict:
         require_valid(rows)
     counted = rows.groupBy(*([table] if table else []), "error").count().collect()
@@ -63,6 +68,8 @@ def audit(rows: DataFrame, table: str | None = None, strict: bool = True) -> dic
     for r in counted if table else []:
         out["tables"][r[table]] = out["tables"].get(r[table], 0) + r["count"]
         out["invalid_by_table"][r[table]] = out["invalid_by_table"].get(r[table], 0) + (r["count"] if r["error"] else 0)
+    out["examples"] = {r["category"]: r.asDict() for r in first_examples(rows, list(order), []).collect()} if bad else {}
+    out["issues"] = [r.asDict() for r in issues(rows, list(order), [], most).collect()] if bad else []
     return out
 
 
@@ -82,7 +89,7 @@ def imported(rows: DataFrame, row: str, policy: str = "error") -> DataFrame:
         raise ValueError("duplicate policy is error or keep")
     require_valid(rows)
     if policy == "error":
-        offence = rows.groupBy("formula").agg(F.count("*").alias("n"), F.max(row).alias("at")).where("n > 1").orderBy("at").first()
+        offence = duplicates(rows, F.col(row)).orderBy("second_row", "formula").first()
         if offence:
-            raise InvalidRecords(f"duplicate canonical composition {offence['formula']} at source row {offence['at']}")
+            raise InvalidRecords(f"source row {offence['second_row']} repeats {offence['formula']} of row {offence['first_row']}")
     return rows.select(F.col("formula").alias("composition"), "score", F.col("composition").alias("source_formula"), F.col(row).alias("source_row"))

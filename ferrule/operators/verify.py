@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tomllib
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from pathlib import Path
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import formula as fm
 from ..sources.sinks import verify
 from ..sources.tsv import read_tsv
+from .metrics import pu_metrics
+from .numbering import numbered
 from .query import InvalidRecords
 
 RECORD = ["material_id", "composition", "theoretical", "source_ids", "normalization_issue"]
@@ -33,8 +37,10 @@ def require_disjoint(left: DataFrame, right: DataFrame, key: str = "composition"
 
 
 def signature(text) -> F.Column:
-    """The reduced formula without asking whether its symbols are elements; the text itself where it has no syntax."""
-    return F.when(text.rlike(fm.SYNTAX), fm.formula(fm.reduced(fm.totals(fm.tokens(text))))).otherwise(text)
+    """The reduced formula without asking whether its symbols are elements; the text itself where it has no syntax or leaves 64 bits."""
+    terms = fm.totals(fm.tokens(text))
+    fits = text.rlike(fm.SYNTAX) & F.forall(fm.tokens(text), lambda t: t["amount"].isNotNull()) & F.forall(terms, lambda t: t["amount"].isNotNull())
+    return F.when(fits, fm.formula(fm.reduced(terms))).otherwise(text)
 
 
 def require_agreement(table: DataFrame, documents: DataFrame) -> None:
@@ -48,13 +54,36 @@ def require_agreement(table: DataFrame, documents: DataFrame) -> None:
         raise InvalidRecords(f"row {odd} of the table differs from its document")
 
 
-def require_metadata(values: Mapping) -> None:
-    """A snapshot's metadata must have every field with its own type, and a 64-digit hash."""
+def require_metadata(values: Mapping, count: int | None = None, path: str | None = None) -> None:
+    """A snapshot's metadata must have every field with its own type and a 64-digit hash, and fit the given count and file."""
     for name, kind in METADATA.items():
         if name not in values or not isinstance(values[name], kind) or (kind is int and isinstance(values[name], bool)):
             raise InvalidRecords(f"metadata: {name} must be {kind.__name__}")
-    if values["schema_version"] not in (1, 2) or values["record_count"] < 0 or len(values["records_sha256"]) != 64:
+    if values["schema_version"] not in (1, 2) or values["record_count"] < 0 or not re.fullmatch("[0-9a-f]{64}", values["records_sha256"]):
         raise InvalidRecords("metadata: unknown version, negative count or malformed hash")
+    if count is not None and count != values["record_count"]:
+        raise InvalidRecords(f"metadata: {values['record_count']} records are named, {count} were read")
+    if path is not None:
+        with open(path, "rb") as f:
+            if hashlib.file_digest(f, "sha256").hexdigest() != values["records_sha256"]:
+                raise InvalidRecords("metadata: the records have another hash")
+
+
+def require_invariant(ranking: DataFrame, keys: Sequence[str] = ("design", "seed", "method")) -> None:
+    """Candidates that excluding and unlabelling the mixed groups have in common must have equal scores and stand in the same order under both."""
+    keys = list(keys)
+    left = ranking.where("policy = 'exclude_mixed'").select(*keys, "composition", F.col("score").alias("a"), "rank")
+    right = ranking.where("policy = 'unlabel_mixed'").select(*keys, "composition", F.col("score").alias("b"), F.col("rank").alias("other"))
+    both = left.join(right, [*keys, "composition"])
+    placed = numbered(numbered(both, [F.asc("rank")], keys, "at"), [F.asc("other")], keys, "other_at")
+    odd = placed.where(~F.col("a").eqNullSafe(F.col("b")) | (F.col("at") != F.col("other_at"))).orderBy(*keys, "composition").first()
+    if odd:
+        raise InvalidRecords(f"{odd['composition']} has another score or place under another policy")
+
+
+def require_metrics(ranking: DataFrame, measured: DataFrame, budgets: Sequence[int]) -> None:
+    """A saved metrics table must be what its labelled ranking gives."""
+    require_same(measured, pu_metrics(ranking, budgets), "metrics")
 
 
 def load_bundle(spark: SparkSession, path: str, split: DataFrame) -> dict:
@@ -65,6 +94,9 @@ def load_bundle(spark: SparkSession, path: str, split: DataFrame) -> dict:
     for (seed,) in sorted(map(tuple, split.select("seed").distinct().collect())):
         mine = split.where(F.col("seed") == seed)
         parts = {"inputs/training": mine.where("role = 'training'"), "inputs/candidates": mine.where("role = 'candidate'"), "evaluation/heldout": mine.where("heldout")}
+        label = F.when(F.col("heldout"), "positive").otherwise("unlabelled").alias("label")
+        labels = read_tsv(spark, f"{path}/split-{seed:02d}/evaluation/labels.tsv", ["composition", "label"]).select("composition", "label")
+        require_same(labels, mine.where("role = 'candidate'").select("composition", label), f"split {seed}, labels")
         for name, rows in parts.items():
             require_same(read_tsv(spark, f"{path}/split-{seed:02d}/{name}.tsv", ["composition"]).select("composition"), rows.select("composition"), f"split {seed}, {name}")
     return manifest

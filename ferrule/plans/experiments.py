@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import analysis, metrics, pairmodel, rankers, splits
+from ..operators import analysis, metrics, pairmodel, rankers, splits, verify
 from ..sources.sinks import write_report
 
 METHODS = (*rankers.PU_METHODS, "pair_model")
@@ -63,5 +63,33 @@ def evaluation_only(groups: DataFrame, seeds: Sequence[int] = splits.SEEDS, budg
     return {"split": seen, "ranking": ranking, "metrics": metrics.pu_metrics(ranking, budgets)}
 
 
+#: Designs, policies and methods of the three studies that compare branches.
+STUDIES = {
+    "sensitivity": (("composition",), splits.POLICIES, rankers.PU_METHODS),
+    "system": (splits.DESIGNS, splits.POLICIES, rankers.PU_METHODS),
+    "pair": (splits.DESIGNS, ("original", "exclude_mixed"), ("popularity", "similarity", "pair_model")),
+}
+
+
+def study(groups: DataFrame, name: str, seeds: Sequence[int] = splits.SEEDS, budgets: Sequence[int] = splits.BUDGETS) -> dict[str, DataFrame]:
+    """The tables of an experiment and the study's comparisons: by policy, by design, ties, diagnostics, learned less baselines, and how fits ended."""
+    if name not in STUDIES:
+        raise ValueError(f"no study is called {name}")
+    designs, policies, methods = STUDIES[name]
+    out = experiment(groups, designs, policies, seeds, budgets, methods)
+    if {"exclude_mixed", "unlabel_mixed"} <= set(policies):
+        verify.require_invariant(out["ranking"])
+        out["sign_changes"] = analysis.sign_changes(out["paired_summary"], max(budgets))
+    out["change_by_policy"] = analysis.change_from(out["paired"], "policy", "original")
+    if len(designs) > 1:
+        out["change_by_design"] = analysis.change_from(out["paired"], "design", "composition")
+    out["ties"] = analysis.score_ties(out["ranking"], budgets)
+    if "pair_model" in methods:
+        for base in ("popularity", "similarity"):
+            out[f"learned_less_{base}"] = analysis.paired_summary(analysis.paired(out["metrics"], "pair_model", base))
+        out["fits"] = analysis.optimisation_summary(pairmodel.fit_branches(rankers.split_sides(out["split"])[1]))
+    return out
+
+
 def write_experiment(tables: Mapping[str, DataFrame], path: str, config: Mapping) -> None:
     write_report({k: v.orderBy(*[c for c in v.columns if v.schema[c].dataType.simpleString() not in ("double",)]) for k, v in tables.items() if k != "split"}, path, config)

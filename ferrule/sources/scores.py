@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
-from contextlib import closing
+from contextlib import closing, contextmanager
+from dataclasses import dataclass
 from pathlib import Path
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.query import QueryFilters
+
 MAGIC = b"SQLite format 3\x00"
 #: Tables of the one-table-an-arity layout: fixed values.
 LEGACY = {"data2": 2, "data3": 3, "data4ionic": 4, "data5ionic": 5}
@@ -17,14 +21,20 @@ STANDARD_SCHEMA = "composition string, score double"
 LEGACY_SCHEMA = "composition string, score double, nary int, elements array<string>, amounts array<bigint>"
 
 
-def open_readonly(path: str) -> sqlite3.Connection:
+@contextmanager
+def opened(path: str):
+    """A read-only connection; what SQLite finds wrong with the file is a ValueError."""
     file = Path(path)
     if not file.is_file():
         raise ValueError(f"not a regular file: {path}")
     with file.open("rb") as f:
         if f.read(16) != MAGIC:
             raise ValueError(f"not a SQLite file: {path}")
-    return sqlite3.connect(f"file:{quote(str(file.resolve()))}?mode=ro", uri=True)
+    try:
+        with closing(sqlite3.connect(f"file:{quote(str(file.resolve()))}?mode=ro", uri=True)) as connection:
+            yield connection
+    except sqlite3.Error as error:
+        raise ValueError(f"{path}: {error}") from error
 
 
 def quoted(name: str) -> str:
@@ -32,57 +42,101 @@ def quoted(name: str) -> str:
 
 
 def tables(connection: sqlite3.Connection) -> list[tuple[str, int | None]]:
-    """(name, arity) of the score tables; more than one standard table is ambiguous, an arity table must have its columns."""
+    """(name, arity) of the score tables: one standard table, or arity tables with their columns. Anything else is ambiguous."""
     names = [r[0] for r in connection.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite\\_%' ESCAPE '\\' ORDER BY name")]
-    found: list[tuple[str, int | None]] = []
+    legacy, standard = [], []
     for name in names:
         columns = {r[1].lower() for r in connection.execute(f"PRAGMA table_info({quoted(name)})")}
         if not {"composition", "score"} <= columns:
             continue
-        nary = LEGACY.get(name)
+        nary = LEGACY.get(name.lower())
         if nary and not {f"{c}{i}" for c in ("ele", "int") for i in range(1, nary + 1)} <= columns:
             raise ValueError(f"{name} lacks its element columns")
-        found.append((name, nary))
-    legacy = [t for t in found if t[1]]
-    standard = [t for t in found if not t[1]]
-    if legacy:
-        return legacy
-    if len(standard) != 1:
-        raise ValueError("no score table" if not standard else "several score tables")
-    return standard
+        (legacy if nary else standard).append((name, nary))
+    if len(standard) > 1 or (legacy and standard):
+        raise ValueError(f"several score tables: {', '.join(n for n, _ in legacy + standard)}")
+    if not legacy + standard:
+        raise ValueError("no score table")
+    return legacy or standard
 
 
 def database_info(path: str) -> dict:
     """Layout and tables (name, arity, ionic only) without reading a row."""
-    with closing(open_readonly(path)) as connection:
+    with opened(path) as connection:
         found = tables(connection)
-    return {"schema": "legacy" if found[0][1] else "standard", "tables": [(n, a, n.endswith("ionic")) for n, a in found]}
+    return {"schema": "legacy" if found[0][1] else "standard", "tables": [(n, a, n.lower().endswith("ionic")) for n, a in found]}
+
+
+def quick_check(path: str) -> None:
+    """Ask SQLite whether the file is sound."""
+    with opened(path) as connection:
+        found = connection.execute("PRAGMA quick_check").fetchone()[0]
+    if found != "ok":
+        raise ValueError(f"{path}: {found}")
 
 
+@dataclass
 class TablePartition(InputPartition):
-    def __init__(self, name: str, nary: int | None, low: int, high: int):
-        self.name, self.nary, self.low, self.high = name, nary, low, high
+    name: str
+    nary: int | None
+    low: int | None  # None: the whole table, which has no rowid
+    high: int | None
+
+
+@dataclass(frozen=True)
+class Pushed:
+    """What a scan leaves to SQLite. Scores that are null or no number always pass, so that a strict query meets them."""
+
+    threshold: float | None = None
+    inclusive: bool = True
+    nary: tuple[int, ...] | None = None
+    elements: tuple[str, ...] = ()
+
+    @classmethod
+    def read(cls, options) -> Pushed:
+        """From the data source's options, whose names ignore case."""
+        given = json.loads(options.get("pushed", "{}"))
+        nary = given.get("nary")
+        return cls(given.get("threshold"), given.get("inclusive", True), None if nary is None else tuple(nary), tuple(given.get("elements", ())))
+
+    def where(self, nary: int | None) -> tuple[str, list]:
+        parts, values = [], []
+        if self.threshold is not None:
+            parts.append(f"(score {'>=' if self.inclusive else '>'} ? OR score IS NULL)")  # text sorts after all numbers
+            values.append(self.threshold)
+        for element in self.elements if nary else ():
+            parts.append(f"? IN ({', '.join(f'ele{i}' for i in range(1, nary + 1))})")
+            values.append(element)
+        return " AND ".join(parts), values
 
 
 class ScoreReader(DataSourceReader):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+    def __init__(self, path: str, rows: int, pushed: Pushed):
+        self.path, self.rows, self.pushed = path, rows, pushed
 
     def partitions(self):
-        with closing(open_readonly(self.path)) as connection:
-            out = []
-            for name, nary in tables(connection):
-                low, high = connection.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(name)}").fetchone()
-                for at in range(low or 0, (high or -1) + 1, self.rows):
-                    out.append(TablePartition(name, nary, at, at + self.rows))
-            return out or [TablePartition(*tables(connection)[0], 0, 0)]
+        with opened(self.path) as connection:
+            found, out = tables(connection), []
+            for name, nary in found:
+                if nary and self.pushed.nary is not None and nary not in self.pushed.nary:
+                    continue
+                try:
+                    low, high = connection.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(name)}").fetchone()
+                except sqlite3.OperationalError:  # a table WITHOUT ROWID
+                    out.append(TablePartition(name, nary, None, None))
+                    continue
+                if low is not None:
+                    out += [TablePartition(name, nary, at, at + self.rows) for at in range(low, high + 1, self.rows)]
+            return out or [TablePartition(*found[0], 0, 0)]
 
     def read(self, partition):
         nary = partition.nary
         columns = ["composition", "score", *[f"{c}{i}" for c in ("ele", "int") for i in range(1, (nary or 0) + 1)]]
-        with closing(open_readonly(self.path)) as connection:
-            rows = connection.execute(f"SELECT {', '.join(columns)} FROM {quoted(partition.name)} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
-            for r in rows:
+        where, values = self.pushed.where(nary)
+        parts = [x for x in ("" if partition.low is None else "rowid >= ? AND rowid < ?", where) if x]
+        values = [*([] if partition.low is None else [partition.low, partition.high]), *values]
+        with opened(self.path) as connection:
+            for r in connection.execute(f"SELECT {', '.join(columns)} FROM {quoted(partition.name)}" + (f" WHERE {' AND '.join(parts)}" if parts else ""), values):
                 text = r[0] if isinstance(r[0], str) else None
                 score = float(r[1]) if isinstance(r[1], (int, float)) else None
                 if nary:
@@ -102,12 +156,17 @@ class ScoreSource(DataSource):
         return LEGACY_SCHEMA if database_info(self.options["path"])["schema"] == "legacy" else STANDARD_SCHEMA
 
     def reader(self, schema) -> ScoreReader:
-        return ScoreReader(self.options["path"], int(self.options.get("rows", "200000")))
+        return ScoreReader(self.options["path"], int(self.options.get("rows", "200000")), Pushed.read(self.options))
+
 
+def read_scores(spark: SparkSession, path: str, filters: QueryFilters | None = None) -> DataFrame:
+    """The file's score table. Filters go to SQLite: threshold to its rows, arity to its tables, elements to its element columns.
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    The query's own filters still apply, as a standard table has no arity or elements to filter by.
+    """
     spark.dataSource.register(ScoreSource)
-    return spark.read.format("sqlite_scores").option("path", path).load()
+    pushed = "{}" if filters is None else json.dumps({"threshold": filters.threshold, "inclusive": filters.inclusive, "nary": filters.nary, "elements": filters.elements})
+    return spark.read.format("sqlite_scores").option("path", path).option("pushed", pushed).load()
 
 
 def write_scores(rows: list[tuple], path: str) -> None:

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import shutil
+import uuid
 from collections.abc import Iterable, Mapping
 from contextlib import contextmanager
 from itertools import chain
@@ -14,9 +15,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formula import with_composition
+from ..functions.formula import Composition, with_composition
+from ..operators.numbering import numbered
 from ..operators.query import InvalidRecords, require_valid, validated
 from ..operators.validate import imported
+from ..plans.workspace import Workspace
+from .jsonl import read_jsonl
+from .lines import numbered_lines
+from .tsv import read_scored
+
+#: Rows that are hashed as one text.
+DIGEST_ROWS = 1 << 16
 
 
 @contextmanager
@@ -98,21 +107,83 @@ def verify(directory: str | Path, expected: Mapping[str, str], besides: Iterable
         raise InvalidRecords(f"bundle differs in {sorted(set(found.items()) ^ set(dict(expected).items()))[:3]}")
 
 
-def import_scores(table: DataFrame, path: str, source: str, policy: str = "error", row: str = "source_row") -> dict:
-    """Validate (composition, score, source_row), write Parquet with metadata, read it back and validate again."""
+@contextmanager
+def new_folder(spark: SparkSession, path: str):
+    """A folder of any file system that Spark writes, which must not exist yet; written beside its place and renamed when complete, removed on failure."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = system.makeQualified(target)
+    if system.exists(target) or (target.toUri().getScheme() == "file" and os.path.lexists(target.toUri().getPath())):
+        raise FileExistsError(path)
+    if not system.exists(target.getParent()):
+        raise FileNotFoundError(str(target.getParent()))
+    making = hadoop(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}.part")
+    try:
+        yield str(making)
+        if system.exists(target) or not system.rename(making, target):
+            raise FileExistsError(path)
+    finally:
+        system.delete(making, True)
+
+
+def records_digest(rows: DataFrame) -> str:
+    """SHA-256 of formula, tab, score and line end of every row by source_row.
+
+    Blocks of DIGEST_ROWS rows are hashed where they lie, then the blocks' hashes in the same way until one is left;
+    up to DIGEST_ROWS rows that is the plain hash of the text.
+    """
+    text = F.concat_ws("\t", "composition", F.col("score").cast("string"))
+    now = numbered(rows.select("source_row", F.concat(text, F.lit("\n")).alias("text")), [F.asc("source_row"), F.asc("text")], (), "at")
+    while True:
+        block = F.floor((F.col("at") - 1) / DIGEST_ROWS).alias("block")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
+        hashed = now.groupBy(block).agg(F.sha2(joined, 256).alias("text"))
+        hashed = Workspace(rows.sparkSession, "digest").keep(hashed.select((F.col("block") + 1).alias("at"), "text"), "blocks")
+        if hashed.count() <= 1:
+            found = hashed.first()
+            return found["text"] if found else hashlib.sha256(b"").hexdigest()
+        now = hashed
+
+
+def import_scores(table: DataFrame, path: str, source: str, policy: str = "error", row: str = "source_row", further: Mapping[str, str] | None = None) -> dict:
+    """Validate (composition, score, source_row) and write it as Parquet with metadata; the folder appears only when what was written validates again."""
     spark: SparkSession = table.sparkSession
-    rows = imported(validated(table), row, policy)
-    rows.write.mode("errorifexists").parquet(f"{path}/compositions")
-    back = spark.read.parquet(f"{path}/compositions")
-    require_valid(validated(back))
-    n = back.count()
-    order = F.sha2(F.concat_ws("\t", "composition", F.col("score").cast("string"), F.col("source_row").cast("string")), 256)
-    digest = back.select(F.conv(F.substring(order, 1, 15), 16, 10).cast("decimal(38,0)").alias("h")).agg(F.sum("h")).first()[0]
-    metadata = {"schema_version": "1", "source": source, "row_count": str(n), "duplicate_policy": policy, "records_checksum": str(digest or 0)}
-    spark.createDataFrame(sorted(metadata.items()), "key string, value string").coalesce(1).write.parquet(f"{path}/import_metadata")
+    if not source.strip():
+        raise ValueError("the source must be described")
+    with new_folder(spark, path) as making:
+        imported(validated(table), row, policy).write.parquet(f"{making}/compositions")
+        back = spark.read.parquet(f"{making}/compositions")
+        n = back.count()
+        if not n:
+            raise InvalidRecords("there are no records to import")
+        require_valid(validated(back))
+        metadata = {"schema_version": "1", "source": source, "row_count": str(n), "duplicate_policy": policy, "records_sha256": records_digest(back), **(further or {})}
+        spark.createDataFrame(sorted(metadata.items()), "key string, value string").coalesce(1).write.parquet(f"{making}/import_metadata")
     return metadata
 
 
+def import_tsv(spark: SparkSession, path: str, target: str, source: str, policy: str = "error") -> dict:
+    """Import a scored TSV; source_sha256 is the hash of the file's bytes."""
+    with open(path, "rb") as f:
+        digest = hashlib.file_digest(f, "sha256").hexdigest()
+    return import_scores(read_scored(spark, path), target, source, policy, further={"source_sha256": digest})
+
+
+def import_records(spark: SparkSession, records: Iterable, path: str, source: str, policy: str = "error") -> dict:
+    """Import records that the driver holds: pairs of a formula or Composition and a score."""
+    rows = []
+    for n, record in enumerate(records, 1):
+        if not isinstance(record, tuple) or len(record) != 2:
+            raise InvalidRecords(f"record {n} is no pair of formula and score")
+        formula, score = record
+        formula = formula.formula if isinstance(formula, Composition) else formula
+        if not isinstance(formula, str) or isinstance(score, bool) or not isinstance(score, (int, float)):
+            raise InvalidRecords(f"record {n} is no pair of formula and score")
+        rows.append((n, formula, float(score)))
+    return import_scores(spark.createDataFrame(rows, "source_row long, composition string, score double"), path, source, policy)
+
+
 def write_by_arity(table: DataFrame, path: str) -> None:
     """Score rows partitioned by arity, so that an arity filter reads only its folders."""
     rows = with_composition(table)
@@ -139,6 +210,35 @@ def write_bundle(split: DataFrame, path: str, manifest: Mapping) -> None:
         write_toml({**manifest, "files": inventory(root)}, root / "manifest.toml")
 
 
+def write_snapshot(spark: SparkSession, documents: str, path: str, database_version: str) -> dict:
+    """A synthetic snapshot from JSON lines: normalised records and documents in order of their ids, and metadata with count and hashes."""
+    if not database_version.strip():
+        raise ValueError("the database version must be given")
+    rows = read_jsonl(spark, documents).join(numbered_lines(spark, documents).select((F.col("line") + 1).alias("line"), "text"), "line").orderBy("material_id")
+    columns = ["material_id", "composition", "theoretical", "source_ids", "normalization_issue"]
+    with new_directory(path) as root:
+        records = write_tsv((tuple(r) for r in rows.select(columns).toLocalIterator()), columns, root / "records.tsv")
+        raw, n = hashlib.sha256(), 0
+        with open(root / "records.jsonl", "xb") as to:
+            for r in rows.select("text").toLocalIterator():
+                line = (r["text"].rstrip("\r") + "\n").encode()
+                raw.update(line)
+                to.write(line)
+                n += 1
+        if not n:
+            raise InvalidRecords("a snapshot has at least one record")
+        metadata = {"schema_version": 2, "database_version": database_version, "is_synthetic": True, "redistribution_status": "synthetic fixture", "record_count": n, "records_sha256": raw.hexdigest(), "table_sha256": records}
+        write_toml(metadata, root / "snapshot.toml")
+    return metadata
+
+
+def write_json(values, path: str | Path) -> None:
+    """A small report as JSON, keys in order."""
+    with open(path, "x") as to:
+        json.dump(values, to, indent=2, sort_keys=True)
+        to.write("\n")
+
+
 def write_report(tables: Mapping[str, DataFrame], path: str, config: Mapping) -> None:
     """Named result tables as TSV in a new directory, with config.toml holding the hash of each file."""
     with new_directory(path) as root:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formula import with_composition
 from ..operators.query import InvalidRecords
 from .lines import numbered_lines
 
@@ -60,11 +61,12 @@ def read_ranking(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Audited groups; the last cell may be empty, duplicate compositions raise."""
+    """Audited groups; the last cell may be empty, two groups of one canonical formula raise."""
     header = ["composition", "chemical_system", "label", "record_count", "experimental_records", "theoretical_records", "unknown_records", "material_ids", "source_ids"]
     rows = read_tsv(spark, path, header, filled=False)
     empty = rows.where(" OR ".join(f"{h} = ''" for h in header[:-1])).first()
-    twice = rows.groupBy("composition").count().where("count > 1").first()
+    named = with_composition(rows.select("composition")).select(F.coalesce("formula", "composition").alias("composition"))
+    twice = named.groupBy("composition").count().where("count > 1").first()
     if empty or twice:
         raise InvalidRecords("empty cell" if empty else f"duplicate group {twice['composition']}")
     counts = {h: F.col(h).cast("long") for h in header if h.endswith("_records") or h == "record_count"}

@@ -1,12 +1,14 @@
 """Checks between tables, bundles, generators and streams."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import audit, splits, verify
 from ferrule.operators.query import InvalidRecords
 from ferrule.plans import generators
-from ferrule.sources import sinks
+from ferrule.sources import sinks, tsv
 from ferrule.streaming import sorted_out
 
 
@@ -22,6 +24,30 @@ def test_agreement_up_to_reduction(spark):
         verify.require_disjoint(table, table.limit(1))
     with pytest.raises(InvalidRecords):
         verify.require_metadata({"schema_version": True})
+    big = "9" * 25
+    with pytest.raises(InvalidRecords):  # formulas beyond 64 bits are compared as text
+        verify.require_agreement(table.withColumn("composition", F.lit(f"Mg{big}")), lines(f"Li{big}", f"Mg{big}"))
+
+
+def test_metadata_fits_count_and_file(tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text("{}\n")
+    values = {"schema_version": 1, "database_version": "v", "is_synthetic": True, "redistribution_status": "none", "record_count": 1, "records_sha256": hashlib.sha256(b"{}\n").hexdigest()}
+    verify.require_metadata(values, 1, str(path))
+    for change, count in (({}, 2), ({"records_sha256": "0" * 64}, 1), ({"records_sha256": "x" * 64}, 1), ({"record_count": True}, 1)):
+        with pytest.raises(InvalidRecords):
+            verify.require_metadata(values | change, count, str(path))
+
+
+def test_groups_of_one_canonical_formula_are_duplicates(spark, tmp_path):
+    head = "composition\tchemical_system\tlabel\trecord_count\texperimental_records\ttheoretical_records\tunknown_records\tmaterial_ids\tsource_ids\n"
+    line = "{}\tLi-Na-O\tpositive\t1\t1\t0\t0\tm\t\n"
+    path = tmp_path / "g.tsv"
+    path.write_text(head + line.format("Li1Na1O1") + line.format("Li1Na1O2"))
+    assert tsv.read_groups(spark, str(path)).count() == 2
+    path.write_text(head + line.format("Li1Na1O1") + line.format("Na2Li2O2"))
+    with pytest.raises(InvalidRecords, match="duplicate"):
+        tsv.read_groups(spark, str(path))
 
 
 def test_bundle_round_trip_and_tampering(spark, tmp_path):
