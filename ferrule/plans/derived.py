@@ -60,6 +60,19 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validated(scored(spark, sf_dir)).where("error IS NULL")
 
 
+def legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored table as a file with a table for each arity has it: nary, elements and amounts repeat the formula, with faults of each kind."""
+    rows, o = scored(spark, sf_dir), F.col("l_orderkey")
+    elements = F.regexp_extract_all("composition", F.lit("([A-Z][a-z]?)"), F.lit(1))
+    amounts = F.transform(F.regexp_extract_all("composition", F.lit("[A-Z][a-z]?([0-9]*)"), F.lit(1)), lambda n: F.when(n == "", F.lit(1).cast("long")).otherwise(n.cast("long")))
+    first = lambda array, value: F.transform(array, lambda x, i: F.when(i == 0, value).otherwise(x))
+    return rows.select(
+        "l_orderkey", "l_linenumber", "composition", "score", F.when(o % 967 == 0, F.lit(6).cast("long")).otherwise(F.col("tab")).cast("int").alias("nary"),
+        F.when(o % 977 == 0, first(elements, F.lit(None).cast("string"))).otherwise(elements).alias("elements"),
+        F.when(o % 971 == 0, first(amounts, F.lit(0).cast("long"))).otherwise(amounts).alias("amounts"),
+    )
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(composition, system, label, mixed)."""
     return audit.mixed(audit.groups(audit.with_reason(records(spark, sf_dir))))
@@ -90,6 +103,9 @@ SCORED = f"""scored AS (
   FROM (SELECT *, l_quantity::BIGINT AS q, l_linenumber % 4 AS m FROM lineitem))"""
 
 
+LEGACY = """legacy AS (SELECT *, CASE WHEN l_orderkey % 977 = 0 THEN 'symbol' WHEN l_orderkey % 971 = 0 THEN 'amount' WHEN l_orderkey % 967 = 0 THEN 'arity' END AS wrong FROM scored)"""
+
+
 def canonical(name: str, table: str, column: str = "composition") -> str:
     """CTEs that end in ``name``(raw, formula, system, nary, species, norm) over the valid texts of a column."""
     known = ", ".join(repr(s) for s in SYMBOLS)

@@ -83,7 +83,7 @@ bpop AS (SELECT composition, sum(coalesce(n, 0))::DOUBLE / (len(any_value(specie
 bvals AS (
   SELECT 'score' AS method, NULL::BIGINT AS seed, composition, score AS stored_score, score AS ranking_value, NULL AS random_key, outcome FROM bcand
   UNION ALL SELECT 'popularity', NULL, composition, score, v, NULL, outcome FROM bcand JOIN bpop USING (composition)
-  UNION ALL SELECT 'random', seed, composition, score, NULL, {_key(hashing.BENCH_RANDOM, "seed", "composition")}, outcome FROM bcand, (SELECT unnest([0, 1])::BIGINT AS seed)),
+  UNION ALL SELECT 'random', seed, composition, score, NULL, {_key(hashing.BENCH_RANDOM, "seed", "composition")}, outcome FROM bcand, (SELECT unnest([0, 1, 2])::BIGINT AS seed)),
 branks AS (SELECT *, row_number() OVER (PARTITION BY method, seed ORDER BY ranking_value DESC NULLS LAST, random_key NULLS LAST, composition) AS rank FROM bvals)"""
 
 HALOGEN_LIST = ", ".join(repr(h) for h in HALOGENS)

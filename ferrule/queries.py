@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .functions import formula as fm
 from .operators import analysis, audit, metrics, pairmodel, query, rankers, splits, validate
 from .plans import oracles as sql
-from .plans.derived import AUDITED, CLEAN, SCORED, canonical, clean, groups, records, scored
+from .plans.derived import AUDITED, CLEAN, LEGACY, SCORED, canonical, clean, groups, legacy, records, scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-BUDGETS = (20, 50, 100)
+BUDGETS, SEEDS, BENCH_SEEDS = splits.BUDGETS, splits.SEEDS, (0, 1, 2)
 REFERENCE = "Al2Ti1O5"
 
 
@@ -107,6 +107,15 @@ def query_elements_arity_threshold(spark, sf):
     return _filtered(spark, sf, elements=["Al", "O"], nary=[4], threshold=0.3)
 
 
+@registered(
+    f"WITH {CLEAN} SELECT formula, score, row_number() OVER (ORDER BY score DESC, formula) AS rank FROM clean WHERE score > 0.3 AND list_contains(species, 'Al') AND list_contains(species, 'O')"
+)
+def query_strict(spark, sf):
+    """The strict form: it fails if any row above the threshold is invalid, before elements are filtered."""
+    table = clean(spark, sf).select("composition", "score")
+    return query.query_compositions(table, ["Al", "O"], threshold=0.3, inclusive=False).select("formula", "score", "rank")
+
+
 @registered(f"WITH {CLEAN} SELECT formula, score, row_number() OVER (ORDER BY score DESC, formula) AS rank FROM clean")
 def rank_score(spark, sf):
     return query.rank_compositions(clean(spark, sf), check=False).select("formula", "score", "rank")
@@ -166,14 +175,33 @@ def validate_first_examples(spark, sf):
     return validate.first_examples(_bad(spark, sf), ["l_orderkey", "l_linenumber"], ["composition"])
 
 
+@registered(f"WITH {CHECKED} SELECT l_orderkey, l_linenumber, composition, error AS category FROM checked WHERE error IS NOT NULL ORDER BY l_orderkey, l_linenumber LIMIT 20")
+def validate_issues(spark, sf):
+    """The first twenty faults, as a report lists them."""
+    return validate.issues(_bad(spark, sf), ["l_orderkey", "l_linenumber"], ["composition"], 20)
+
+
+CATEGORIES = f"""{SCORED}, {canonical("sc", "scored")}, {LEGACY}, judged AS (
+  SELECT l.*, CASE WHEN composition IS NULL THEN 'invalid_record' WHEN score IS NULL THEN 'invalid_score'
+    WHEN NOT regexp_full_match(composition, '(?:[A-Z][a-z]?(?:[1-9][0-9]*)?)+') THEN 'unsupported_syntax' WHEN composition = 'Dy1D2' THEN 'unsupported_symbol'
+    WHEN wrong = 'symbol' THEN 'unsupported_symbol' WHEN wrong = 'amount' THEN 'invalid_stoichiometry' WHEN wrong = 'arity' OR sc.nary <> tab THEN 'inconsistent_columns' END AS error
+  FROM legacy l LEFT JOIN sc ON l.composition = sc.raw)"""
+
+
+@registered(f"WITH {CATEGORIES} SELECT error AS category, count(*) AS n FROM judged WHERE error IS NOT NULL GROUP BY error")
+def validate_legacy_categories(spark, sf):
+    """All six categories, over a table that repeats its formulas as columns."""
+    return validate.category_counts(validate.legacy_validated(legacy(spark, sf)))
+
+
 @registered(f"WITH {CLEAN}, d AS (SELECT formula, list(l_orderkey ORDER BY l_orderkey) AS k FROM clean GROUP BY formula) SELECT formula, len(k)::BIGINT AS n, k[1] AS first_row, k[2] AS second_row FROM d WHERE len(k) > 1")
 def import_duplicates(spark, sf):
     return validate.duplicates(clean(spark, sf), F.col("l_orderkey"))
 
 
-@registered(f"WITH {CLEAN} SELECT formula AS composition, score, composition AS source_formula, l_orderkey AS source_row FROM clean WHERE tab = 3")
+@registered(f"WITH {CLEAN} SELECT formula AS composition, score, composition AS source_formula, l_orderkey AS source_row FROM clean")
 def import_keep(spark, sf):
-    return validate.imported(clean(spark, sf).where("tab = 3"), "l_orderkey", "keep")
+    return validate.imported(clean(spark, sf), "l_orderkey", "keep")
 
 
 # Audit
@@ -226,9 +254,9 @@ def split_composition_all_seeds(spark, sf):
     return splits.composition_splits(groups(spark, sf), policies=("original",))
 
 
-@registered(f"WITH {sql.splits(3)} SELECT {SPLIT_COLUMNS} FROM csplit")
+@registered(f"WITH {sql.splits(20)} SELECT {SPLIT_COLUMNS} FROM csplit")
 def split_composition_policies(spark, sf):
-    return splits.composition_splits(groups(spark, sf), range(3))
+    return splits.composition_splits(groups(spark, sf), SEEDS)
 
 
 @registered(
@@ -250,9 +278,9 @@ def system_selection(spark, sf):
     return splits.selected_systems(groups(spark, sf))
 
 
-@registered(f"WITH {sql.splits(3)} SELECT {SPLIT_COLUMNS} FROM ssplit")
+@registered(f"WITH {sql.splits(20)} SELECT {SPLIT_COLUMNS} FROM ssplit")
 def split_system(spark, sf):
-    return splits.system_splits(groups(spark, sf), range(3))
+    return splits.system_splits(groups(spark, sf), SEEDS)
 
 
 @registered(f"WITH {AUDITED}, {sql.POLICY} SELECT * FROM pg")
@@ -260,20 +288,20 @@ def policy_groups(spark, sf):
     return splits.policy_groups(groups(spark, sf))
 
 
-EVALUATION = f"""{sql.splits(3)}, esplit AS (SELECT c.design, p.policy, c.seed, c.composition, c.system, c.mixed, c.role, c.heldout AND (p.policy = 'original' OR NOT c.mixed) AS heldout
+EVALUATION = f"""{sql.splits(20)}, esplit AS (SELECT c.design, p.policy, c.seed, c.composition, c.system, c.mixed, c.role, c.heldout AND (p.policy = 'original' OR NOT c.mixed) AS heldout
   FROM csplit c, policies p WHERE c.policy = 'original' AND NOT (p.policy = 'exclude_mixed' AND c.mixed AND c.role = 'candidate'))"""
 
 
 @registered(f"WITH {EVALUATION} SELECT * FROM esplit")
 def evaluation_only_membership(spark, sf):
-    return splits.evaluation_only(splits.composition_splits(groups(spark, sf), range(3)))
+    return splits.evaluation_only(splits.composition_splits(groups(spark, sf), SEEDS))
 
 
 # Rankings and metrics
 
 
 def _split(spark, sf, policies=("original",)):
-    return splits.composition_splits(groups(spark, sf), range(3), policies)
+    return splits.composition_splits(groups(spark, sf), SEEDS, policies)
 
 
 def _labelled(spark, sf, policies=("original",), methods=rankers.PU_METHODS):
@@ -286,13 +314,13 @@ def _pu_ranking(method):
         return _labelled(spark, sf, methods=(method,)).select("seed", "rank", "composition", "score", "random_key", "tie_key", "observed_label")
 
     f.__name__ = f"pu_{method}"
-    return registered(f"WITH {sql.pu(3)} SELECT seed, rank, composition, score, random_key, tie_key, CASE WHEN heldout THEN 'positive' ELSE 'unlabelled' END AS observed_label FROM ranked WHERE method = '{method}'")(f)
+    return registered(f"WITH {sql.pu(20)} SELECT seed, rank, composition, score, random_key, tie_key, CASE WHEN heldout THEN 'positive' ELSE 'unlabelled' END AS observed_label FROM ranked WHERE method = '{method}'")(f)
 
 
 for _method in rankers.PU_METHODS:
     _pu_ranking(_method)
 
-ALL = sql.pu(3, "true")
+ALL = sql.pu(20, "true")
 METRICS = f"{ALL}, {sql.metrics(BUDGETS)}"
 
 
@@ -307,7 +335,7 @@ def pu_expected_hits_fraction(spark, sf):
     return rows.select("design", "policy", "seed", "budget", "random_expected_hits", "random_expected_hits_numerator", "random_expected_hits_denominator")
 
 
-@registered(f"WITH {sql.pu(3)} SELECT seed, method, rank, sum(heldout::BIGINT) OVER (PARTITION BY seed, method ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS running_hits FROM ranked")
+@registered(f"WITH {sql.pu(20)} SELECT seed, method, rank, sum(heldout::BIGINT) OVER (PARTITION BY seed, method ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS running_hits FROM ranked")
 def pu_running_hits(spark, sf):
     return metrics.running_hits(_labelled(spark, sf)).select("seed", "method", "rank", "running_hits")
 
@@ -320,7 +348,7 @@ def _bench(spark, sf):
     return joined.where(~trains), joined.where(trains)
 
 
-def _bench_ranking(method, seeds=(0, 1)):
+def _bench_ranking(method, seeds=BENCH_SEEDS):
     columns = ["seed", "rank", "composition", "stored_score", "ranking_value", "random_key", "outcome"]
 
     def f(spark, sf):
@@ -346,7 +374,7 @@ for _method in rankers.BENCH_METHODS:
 )
 def bench_metrics(spark, sf):
     candidates, training = _bench(spark, sf)
-    return metrics.bench_metrics(rankers.bench_rank(candidates, training, seeds=(0, 1)), candidates, training, (25, 50, 100))
+    return metrics.bench_metrics(rankers.bench_rank(candidates, training, seeds=BENCH_SEEDS), candidates, training, (25, 50, 100))
 
 
 @registered(f"WITH {sql.BENCH} SELECT DISTINCT system FROM bcand WHERE system NOT IN (SELECT system FROM btrain)")
@@ -362,7 +390,7 @@ def element_frequency(spark, sf):
 
 # Populations and diagnostics
 
-PAIRS = f"{sql.pu(3)}, pc AS (SELECT seed, list_filter(species, lambda e: e <> 'O') AS r FROM train), pairs AS (SELECT seed, r[1] AS element_a, r[2] AS element_b, count(*) AS n FROM pc GROUP BY ALL)"
+PAIRS = f"{sql.pu(20)}, pc AS (SELECT seed, list_filter(species, lambda e: e <> 'O') AS r FROM train), pairs AS (SELECT seed, r[1] AS element_a, r[2] AS element_b, count(*) AS n FROM pc GROUP BY ALL)"
 
 
 @registered(f"WITH {PAIRS} SELECT * FROM pairs")
@@ -378,10 +406,10 @@ def pair_targets(spark, sf):
 
 def _both(spark, sf):
     g = groups(spark, sf)
-    return splits.composition_splits(g, range(3)).unionByName(splits.system_splits(g, range(3)))
+    return splits.composition_splits(g, SEEDS).unionByName(splits.system_splits(g, SEEDS))
 
 
-BOTH = f"{sql.splits(3)}, split AS (SELECT * FROM csplit UNION ALL SELECT * FROM ssplit)"
+BOTH = f"{sql.splits(20)}, split AS (SELECT * FROM csplit UNION ALL SELECT * FROM ssplit)"
 SHARES = """conc AS (SELECT design, policy, seed, role, held, max(n) / sum(n) AS largest, sum(n) FILTER (r <= 5) / sum(n) AS top5 FROM (
   SELECT *, row_number() OVER (PARTITION BY design, policy, seed, role, held ORDER BY n DESC, system) AS r FROM (
     SELECT design, policy, seed, role, heldout AS held, system, count(*) AS n FROM split GROUP BY ALL)) GROUP BY ALL)"""
@@ -414,7 +442,7 @@ def population(spark, sf):
 
 
 @registered(
-    f"""WITH {sql.pu(3)}, subsets AS (SELECT seed, composition, score AS value, unnest(['all', CASE WHEN heldout THEN 'positive' ELSE 'unlabelled' END]) AS subset FROM ranked WHERE method = 'similarity'),
+    f"""WITH {sql.pu(20)}, subsets AS (SELECT seed, composition, score AS value, unnest(['all', CASE WHEN heldout THEN 'positive' ELSE 'unlabelled' END]) AS subset FROM ranked WHERE method = 'similarity'),
     l AS (SELECT seed, subset, list(value ORDER BY value) AS v, list_reduce(list(value ORDER BY composition), lambda a, b: a + b) AS total, count(*) AS n FROM subsets GROUP BY ALL)
     SELECT seed, subset, n, total / n AS mean, v[1] AS min, v[greatest(1, ceil(0.1::DOUBLE * n))::BIGINT] AS p10, v[greatest(1, ceil(0.5::DOUBLE * n))::BIGINT] AS median, v[greatest(1, ceil(0.9::DOUBLE * n))::BIGINT] AS p90, v[n] AS max,
       len(list_filter(v, lambda x: x >= 0.9)) / n AS fraction_ge_09, len(list_filter(v, lambda x: x >= 0.99)) / n AS fraction_ge_099 FROM l"""
@@ -470,7 +498,7 @@ def sign_change_decision(spark, sf):
 
 
 @registered(
-    f"""WITH {sql.pu(3)}, budgets AS (SELECT unnest({list(BUDGETS)})::BIGINT AS budget), tied AS (SELECT design, policy, seed, method, score, count(*) AS tie, min(rank) AS first_rank FROM ranked WHERE score IS NOT NULL GROUP BY ALL),
+    f"""WITH {sql.pu(20)}, budgets AS (SELECT unnest({list(BUDGETS)})::BIGINT AS budget), tied AS (SELECT design, policy, seed, method, score, count(*) AS tie, min(rank) AS first_rank FROM ranked WHERE score IS NOT NULL GROUP BY ALL),
     flat AS (SELECT design, policy, seed, method, count(*) AS distinct_scores, max(tie) AS largest_tie FROM tied GROUP BY ALL)
     SELECT design, policy, seed, method, budget, distinct_scores, largest_tie, tie AS cutoff_tie_size, budget - first_rank + 1 AS selected_from_cutoff_tie
     FROM tied JOIN budgets ON first_rank <= budget AND budget < first_rank + tie JOIN flat USING (design, policy, seed, method)"""
@@ -480,7 +508,7 @@ def score_ties(spark, sf):
 
 
 @registered(
-    f"""WITH {sql.pu(3)}, budgets AS (SELECT unnest([20, 100])::BIGINT AS budget), members AS (SELECT s.*, n.species FROM split s JOIN norms n USING (composition)),
+    f"""WITH {sql.pu(20)}, budgets AS (SELECT unnest([20, 100])::BIGINT AS budget), members AS (SELECT s.*, n.species FROM split s JOIN norms n USING (composition)),
     each AS (SELECT design, policy, seed, composition, role, heldout, g.kind AS kind, g.grp AS grp FROM (SELECT *, unnest(list_concat([
         {{'kind': 'chemical_system', 'grp': system}}, {{'kind': 'H_containing', 'grp': list_contains(species, 'H')::VARCHAR}}, {{'kind': 'halogen_containing', 'grp': list_has_any(species, [{sql.HALOGEN_LIST}])::VARCHAR}}, {{'kind': 'mixed_flags', 'grp': mixed::VARCHAR}}],
         list_transform(species, lambda e: {{'kind': 'element', 'grp': e}}))) AS g FROM members)),
@@ -498,7 +526,7 @@ def subgroup_breakdowns(spark, sf):
 
 
 @registered(
-    f"""WITH {sql.pu(3)}, kept AS (SELECT r.* FROM ranked r WHERE method = 'popularity' AND NOT mixed)
+    f"""WITH {sql.pu(20)}, kept AS (SELECT r.* FROM ranked r WHERE method = 'popularity' AND NOT mixed)
     SELECT seed, composition, rank AS original_rank, row_number() OVER (PARTITION BY seed ORDER BY rank) AS rank FROM kept"""
 )
 def filtered_rerank(spark, sf):
@@ -507,7 +535,29 @@ def filtered_rerank(spark, sf):
     return rankers.filtered(rankers.pu_rank(split, ("popularity",)), eligible, rankers.BRANCH).select("seed", "composition", "original_rank", "rank")
 
 
-# The factor model: iterative, so no SQL
+@registered(
+    f"""WITH {sql.pu(20)}, kept AS (SELECT r.* FROM ranked r WHERE method = 'popularity' AND NOT mixed),
+    again AS (SELECT seed, rank AS original_depth, row_number() OVER (PARTITION BY seed ORDER BY rank) AS budget FROM kept) SELECT * FROM again WHERE budget IN ({", ".join(map(str, BUDGETS))})"""
+)
+def depth_at_budget(spark, sf):
+    """How deep the original ranking was read to fill each budget from the eligible candidates."""
+    return filtered_rerank(spark, sf).where(F.col("rank").isin(*BUDGETS)).select("seed", F.col("original_rank").alias("original_depth"), F.col("rank").alias("budget"))
+
+
+DESIGNS = f"{sql.pu(20, source='(SELECT * FROM csplit UNION ALL SELECT * FROM ssplit)')}, {sql.metrics((20, 50))}, {sql.PAIRED}"
+
+
+@registered(
+    f"WITH {DESIGNS} SELECT p.design, policy, seed, budget, p.difference, o.difference AS base_difference, p.difference - o.difference AS change FROM paired p JOIN (SELECT * FROM paired WHERE design = 'composition') o USING (policy, seed, budget) WHERE p.design <> 'composition'"
+)
+def change_by_design(spark, sf):
+    """Whole systems held out, against single compositions; the smaller pools of that design bear smaller budgets."""
+    split = _both(spark, sf).where("policy = 'original'")
+    ranked = rankers.labelled(rankers.pu_rank(split, ("popularity", "similarity")), split)
+    return analysis.change_from(analysis.paired(metrics.pu_metrics(ranked, (20, 50))), "design", "composition")
+
+
+# The factor model: iterative, so no SQL; tests compare it with a plain loop over all pairs
 
 
 @registered()

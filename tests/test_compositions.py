@@ -1,5 +1,6 @@
 """Formulas, queries, validation, sources and sinks."""
 
+import hashlib
 import io
 import json
 import math
@@ -14,6 +15,7 @@ from ferrule.functions import formula as fm
 from ferrule.functions.elements import SYMBOLS
 from ferrule.functions.formula import Composition
 from ferrule.operators import query, validate
+from ferrule.operators.numbering import numbered
 from ferrule.sources import jsonl, scores, sinks, tsv
 
 BIG = "9223372036854775807"
@@ -88,10 +90,16 @@ def test_query_semantics(table, spark):
 
 def test_numbered_matches_a_global_window(spark):
     r = random.Random(1)
-    rows = [(r.choice([0.5, r.random()]), f"f{i:04d}") for i in range(3000)]
-    got = query.numbered(spark.createDataFrame(rows, "v double, f string"), "v", [F.desc("v"), F.asc("f")]).collect()
+    rows = [(r.choice([0.5, r.random()]), f"f{i:04d}", r.choice(["a", "b", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "v double, f string, k string")
+    order = [F.desc("v"), F.asc("f")]
     want = {x: i + 1 for i, x in enumerate(sorted(rows, key=lambda x: (-x[0], x[1])))}
-    assert all(want[(g["v"], g["f"])] == g["rank"] for g in got)
+    assert all(want[tuple(g)[:3]] == g["rank"] for g in numbered(df, order).collect())
+    for k in ("a", "b", None):
+        mine = {x: i + 1 for i, x in enumerate(sorted((x for x in rows if x[2] == k), key=lambda x: (-x[0], x[1])))}
+        assert {tuple(g)[:3]: g["place"] for g in numbered(df, order, ["k"], "place").where(F.col("k").eqNullSafe(F.lit(k))).collect()} == mine
+    plan = numbered(df, order)._jdf.queryExecution().toString()
+    assert "Window" not in plan and numbered(df.where("false"), order, ["k"]).count() == 0
 
 
 def test_custom_ranking_must_be_finite(table):
@@ -119,8 +127,38 @@ def test_sqlite_standard_and_legacy(spark, tmp_path):
     assert found == {"MgO": None, "Mg2O": "inconsistent_columns", "LiO": "unsupported_symbol", "LiF": "invalid_stoichiometry", "AlSiO": None}
     assert query.query_compositions(rows, ["Al"], legacy=True).count() == 1
     (tmp_path / "no.db").write_text("plain text that is no database")
-    with pytest.raises(ValueError):
-        scores.database_info(str(tmp_path / "no.db"))
+    (tmp_path / "torn.db").write_bytes(scores.MAGIC + b"x" * 500)
+    for name in ("no.db", "torn.db"):
+        with pytest.raises(ValueError):
+            scores.database_info(str(tmp_path / name))
+    scores.quick_check(path)
+    for filters in ({"threshold": 0.3, "inclusive": False, "nary": [3], "elements": ["Al"]}, {"threshold": 0.4}, {"nary": []}, {"elements": ["Mg"], "threshold": 0.0}):
+        wanted = query.QueryFilters.of(**filters)
+        pushed, plain = (query.filtered_scan(x, wanted, True).collect() for x in (scores.read_scores(spark, legacy, wanted), rows))
+        assert sorted(map(tuple, pushed)) == sorted(map(tuple, plain))
+    assert scores.read_scores(spark, legacy, query.QueryFilters.of(elements=["Al"], threshold=0.5)).count() == 1
+
+
+def test_sqlite_layouts_that_are_ambiguous_or_odd(spark, tmp_path):
+    def database(name, *statements):
+        with sqlite3.connect(tmp_path / name) as db:
+            for x in statements:
+                db.execute(x)
+        return str(tmp_path / name)
+
+    two = "CREATE TABLE {} (composition TEXT, ele1 TEXT, ele2 TEXT, int1 INTEGER, int2 INTEGER, score REAL)"
+    both = database("both.db", two.format("DATA2"), "CREATE TABLE scores (composition TEXT, score REAL)")
+    with pytest.raises(ValueError, match="several"):
+        scores.database_info(both)
+    assert scores.database_info(database("upper.db", two.format("DATA2"))) == {"schema": "legacy", "tables": [("DATA2", 2, False)]}
+    zero = database("zero.db", "CREATE TABLE t (composition TEXT, score REAL)", "INSERT INTO t (rowid, composition, score) VALUES (0, 'MgO', 0.5)")
+    keyed = database("keyed.db", "CREATE TABLE t (composition TEXT PRIMARY KEY, score REAL) WITHOUT ROWID", "INSERT INTO t VALUES ('MgO', 0.5), ('LiO', 'high')")
+    empty = database("empty.db", "CREATE TABLE t (composition TEXT, score REAL)")
+    assert [scores.read_scores(spark, x).count() for x in (zero, keyed, empty)] == [1, 2, 0]
+    assert scores.read_scores(spark, keyed, query.QueryFilters.of(threshold=0.9)).collect()[0]["score"] is None
+    assert cli.notes(database("ionic.db", two.format("data2"), "CREATE TABLE data4ionic (composition TEXT, score REAL, " + ", ".join(f"ele{i} TEXT, int{i} INTEGER" for i in range(1, 5)) + ")"), [3, 4]) == [
+        "this file has no table of arity 3", "its table of arity 4 holds ionic compositions only"
+    ]
 
 
 def test_tsv_is_strict(spark, tmp_path):
@@ -156,6 +194,25 @@ def test_import_and_sinks(spark, table, tmp_path):
         sinks.import_scores(rows, str(tmp_path / "one"), "test")
     made = sinks.import_scores(rows, str(tmp_path / "two"), "test", "keep")
     assert made["row_count"] == "7" and spark.read.parquet(str(tmp_path / "two/compositions")).count() == 7
+    assert not (tmp_path / "one").exists() and not [x for x in tmp_path.iterdir() if x.name.endswith(".part")]
+    for faulty in (rows.where("false"), rows.union(spark.createDataFrame([("Xx", 0.1, 99)], "composition string, score double, source_row long"))):
+        with pytest.raises(query.InvalidRecords):
+            sinks.import_scores(faulty, str(tmp_path / "none"), "test", "keep")
+        assert not (tmp_path / "none").exists()
+    with pytest.raises(FileExistsError):
+        sinks.import_scores(rows, str(tmp_path / "two"), "test", "keep")
+    with pytest.raises(ValueError):
+        sinks.import_scores(rows, str(tmp_path / "none"), " ", "keep")
+    named = sinks.import_records(spark, [("Mg2O2", 0.5), (Composition("LiO"), 1)], str(tmp_path / "records"), "test")
+    assert named["records_sha256"] == hashlib.sha256(b"Mg1O1\t0.5\nLi1O1\t1.0\n").hexdigest()
+    for bad in ([("MgO",)], [("MgO", True)], [("MgO", "1")], ["MgO"], []):
+        with pytest.raises(query.InvalidRecords):
+            sinks.import_records(spark, bad, str(tmp_path / "none"), "test")
+    repeats = spark.createDataFrame([(1, "MgO", 0.5), (2, "Mg2O2", 0.5), (3, "LiO", 0.5), (4, "LiO", 0.5), (10, "MgO", 0.5)], "source_row long, composition string, score double")
+    with pytest.raises(query.InvalidRecords, match="row 2 repeats Mg1O1 of row 1"):
+        validate.imported(query.validated(repeats), "source_row")
+    (tmp_path / "scored.tsv").write_text("composition\tscore\nMgO\t0.5\n")
+    assert sinks.import_tsv(spark, str(tmp_path / "scored.tsv"), str(tmp_path / "three"), "test")["source_sha256"] == hashlib.sha256((tmp_path / "scored.tsv").read_bytes()).hexdigest()
     sinks.write_by_arity(table, str(tmp_path / "by"))
     assert "nary=3" in str(list((tmp_path / "by").iterdir()))
     with sinks.new_directory(str(tmp_path / "new")) as d:
