@@ -2,68 +2,45 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch sent to Python; texts may be long, so batches stay small.
-BATCH_ROWS = 500
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..plans.workspace import Workspace  # noqa: F401
 
+#: Rows and bytes of an Arrow batch sent to Python; texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+#: A key is hot with more than one row in HOT_SHARE and more than HOT_LEAST; its rows go to HOT_SALTS tasks.
+HOT_SHARE, HOT_LEAST, HOT_SALTS = 1000, 256, 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="ferrule-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-class Workspace:
-    """Written intermediate tables in the shared folder: lineage ends there, so a lost executor re-reads instead of recomputing."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
 
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough that a batch of long texts fits a Python worker.
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> tuple[str, DataFrame]:
-        where = self.path(name)
-        df.write.option("compression", codec).parquet(where)
-        return where, self.spark.read.schema(df.schema).parquet(where)
+    The limits hold for the session, as Spark reads them when a plan runs; smaller ones that are set stay.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
-    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        return self.write(df, name, codec)[1]
 
-    def release(self) -> None:
-        """Let Spark delete shuffle files of finished steps: it does so once the driver's collector has met them."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+def join_unique(rows: DataFrame, unique: DataFrame, on: str, n: str, spread: str, how: str = "inner") -> DataFrame:
+    """Join with a table of one row a key, whose column n counts the key's rows in ``rows``; n is dropped.
 
-    def drop(self, where: str) -> None:
-        """Delete a table that a later one replaces."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    Keys with more than a thousandth of all rows, so a thousand at most, are broadcast by name, and their rows are
+    dealt over HOT_SALTS tasks by a hash of the column ``spread``. Null keys match nothing.
+    """
+    total = unique.agg(F.sum(n)).first()[0] or 0
+    hot = unique.where((F.col(n) * HOT_SHARE > total) & (F.col(n) > HOT_LEAST)).select(F.col(on).alias("__key"), F.lit(True).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), F.col(on) == F.col("__key"), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS).cast("long"))).otherwise(0)).drop("__key", "__hot")
+    salts = F.when((F.col(n) * HOT_SHARE > total) & (F.col(n) > HOT_LEAST), F.sequence(F.lit(0).cast("long"), F.lit(HOT_SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return marked.join(unique.withColumn("__salt", F.explode(salts)).drop(n).hint("merge"), [on, "__salt"], how).drop("__salt")
 
 
 def add_columns(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
