@@ -1,33 +1,36 @@
 """Operator 1: SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A fingerprint is eight bytes. Two fingerprints that differ in at most d bits share at least 8 - d of
-their positional bytes, so a pair has to reach that tally. Lists of one positional byte hold a 256th of
-all fingerprints, and tallying over them would emit pairs in the square of the corpus. The index therefore
-posts each distinct fingerprint under every choice of 8 - d positional bytes: a pair meets in a list
-exactly if its tally of shared positional bytes reaches the guaranteed minimum. The pair is kept in the
-first list it meets in, and its differing bits are then counted.
-
-Lists longer than ``probe_above`` are not paired: each entry looks up the few values within d bits of it
-in the list's free bytes, an equi-join whose rows grow with the list's length, not its square.
+A fingerprint is eight bytes. Two fingerprints that differ in at most d bits share at least 8 - d of their
+positional bytes. The list of one positional byte holds a 256th of all fingerprints, and pairs over it would
+grow in the square of the corpus, so the index posts every choice of GRAM positional bytes: a pair that shares
+s bytes meets in as many lists as GRAM bytes can be chosen from s. Meetings are tallied by pair, pairs that
+reach the guaranteed minimum (that of 8 - d shared bytes) stay, and their differing bits are then counted.
+
+Fingerprints of lists longer than ``long_list`` are crowded. Two of one such list are found through lists of
+variants: each is posted under itself and its one-bit changes (up to d / 2 of them), and a variant has at most
+65 fingerprints that close. A pair without a common long list has its whole tally in short lists, so none is lost.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, add_columns, bounded_batches, fresh, table
+from .common import Workspace, bounded_batches, join_unique, table
 from .components import components
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 2
-PROBE_ABOVE = 64
+#: Bytes of a posted gram: short enough for a tally, long enough that chance fills no list.
+GRAM = 5
+LONG_LIST = 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
@@ -69,59 +72,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _mask(positions: tuple[int, ...]) -> int:
-    return _signed(sum(0xFF << (8 * p) for p in positions))
+def _byte(position: int) -> Column:
+    return F.shiftrightunsigned("fp", 8 * position).bitwiseAND(F.lit(255).cast("long"))
 
 
-def _shares(x: Column, position: int) -> Column:
-    """1 if the byte at a position of the difference x is zero."""
-    return (x.bitwiseAND(F.lit(_signed(0xFF << (8 * position)))) == 0).cast("int")
+def postings(fps: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(key, fp): the choice of byte positions and the bytes there, in one long."""
+    keys = []
+    for n, positions in enumerate(combinations(range(8), gram)):
+        key = F.lit(n).cast("long")
+        for p in positions:
+            key = F.shiftleft(key, 8).bitwiseOR(F.col(f"b{p}"))
+        keys.append(key)
+    return fps.select("fp", *[_byte(p).alias(f"b{p}") for p in range(8)]).select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def links(fps: DataFrame, work: Workspace, max_bits: int = MAX_BITS, probe_above: int = PROBE_ABOVE) -> DataFrame:
+def links(fps: DataFrame, work: Workspace, max_bits: int = MAX_BITS, long_list: int = LONG_LIST, gram: int = GRAM) -> DataFrame:
     """(a, b), a < b: every pair of distinct fingerprints that differ in at most max_bits bits."""
-    least = 8 - max_bits
-    choices = list(combinations(range(8), least))
-    posted = F.explode(F.array(*[F.struct(F.lit(i).alias("list"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("key")) for i, c in enumerate(choices)]))
-    index = fps.select("fp").distinct().select("fp", posted.alias("p")).select("fp", "p.list", "p.key")
-    sizes = index.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = work.keep(index.join(sizes, ["list", "key"]), "index")
-
-    usual = shared.where(F.col("n") <= probe_above)
-    pairs = (
-        usual.select("list", "key", F.col("fp").alias("a"))
-        .join(usual.select("list", "key", F.col("fp").alias("b")), ["list", "key"])
-        .where("a < b")
-    )
-    flips = F.array(*[F.array(*[F.lit(_signed(m)) for m in _free_flips(c, max_bits)]) for c in choices])
-    long_lists = shared.where(F.col("n") > probe_above)
-    probes = long_lists.select("list", "key", F.col("fp").alias("a"), F.explode(F.element_at(flips, F.col("list") + 1)).alias("flip")).select(
-        "list", "key", "a", F.col("a").bitwiseXOR(F.col("flip")).alias("b")
-    )
-    probed = probes.where("a < b").join(long_lists.select("list", "key", F.col("fp").alias("b")), ["list", "key", "b"])
-
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    same = [_shares(x, p) for p in range(8)]
-    tally = sum(same[1:], same[0])
-    first = F.lit(None).cast("int")
-    for i, c in reversed(list(enumerate(choices))):
-        first = F.when(x.bitwiseAND(F.lit(_mask(c))) == 0, F.lit(i)).otherwise(first)
-    return (
-        pairs.select("a", "b", "list")
-        .unionByName(probed.select("a", "b", "list"))
-        .where(tally >= least)
-        .where(F.bit_count(x) <= max_bits)
-        .where(F.col("list") == first)
-        .select("a", "b")
-    )
-
-
-def _free_flips(kept: tuple[int, ...], max_bits: int) -> list[int]:
-    bits = [8 * p + i for p in range(8) if p not in kept for i in range(8)]
-    return [sum(1 << b for b in chosen) for k in range(1, max_bits + 1) for chosen in combinations(bits, k)]
-
-
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, probe_above: int = PROBE_ABOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    if not 0 <= max_bits <= 8 - gram or max_bits > 2:
+        raise ValueError("at most two bits, and no more than the bytes that a gram leaves out")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not made smaller, as postings are many times the fingerprints
+    posted = postings(fps.select("fp").repartition(tasks, "fp").distinct(), gram)
+    sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    index = work.keep(posted.join(sizes, "key"), "index")
+
+    short = index.where(F.col("n") <= long_list)
+    met = short.select("key", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")), "key").where("a < b")
+    tallied = met.groupBy("a", "b").agg(F.count("*").alias("tally")).where(F.col("tally") >= comb(8 - max_bits, gram))
+
+    crowded = index.where(F.col("n") > long_list).select("fp").distinct()
+    changes = F.array(*[F.lit(_signed(1 << i)) for i in range(64)], F.lit(0).cast("long"))
+    variants = crowded.repartition(tasks, "fp").select("fp", F.explode(changes).alias("change")).select("fp", F.col("fp").bitwiseXOR(F.col("change")).alias("variant"))
+    close = variants.select("variant", F.col("fp").alias("a")).join(variants.select("variant", F.col("fp").alias("b")), "variant").where("a < b")
+
+    pairs = tallied.select("a", "b").unionByName(close.select("a", "b"))
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, long_list: int = LONG_LIST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable over links).
 
     Null or word-free texts have fingerprint zero and are linked like any other. Repeated rows and ids
@@ -130,21 +118,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, probe_above: int
     """
     work = Workspace(docs.sparkSession, "simhash")
     fps = work.keep(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = work.keep(components(links(distinct, work, max_bits, probe_above), work), "roots")
-    rooted = add_columns(distinct, roots.select(F.col("node").alias("fp"), "root"), "fp").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the least of their near-duplicate group; of repeated rows one stays. Rows without an id are not judged and stay."""
-    named, n = docs.where("doc_id IS NOT NULL"), fresh(docs, "__n")
-    groups = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = named.join(groups.hint("merge"), "doc_id", "left_semi").withColumn(n, F.row_number().over(once)).where(F.col(n) == 1)
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    distinct = work.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    roots = work.keep(components(links(distinct, work, max_bits, long_list), work), "roots")
+    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    least = work.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "least")
+    named = work.keep(join_unique(rooted, least, "root", "m", "fp").select("fp", "n", "component_id"), "named")
+    return join_unique(fps, named, "fp", "n", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
