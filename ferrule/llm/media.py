@@ -23,6 +23,8 @@ from .common import bounded_batches, table
 BLOCK = 192
 RATE = 8000
 FRAME, HOP = 256, 128
+#: The region that a peak tops, and the first bin above the taper's leak of the mean.
+TIME_AROUND, BINS_AROUND, LOWEST_BIN = 2, 16, 2
 #: Peaks that a peak is paired with, and the farthest in frames.
 FAN, REACH = 3, 63
 #: Frames transformed at once, so that long texts need bounded memory.
@@ -50,28 +52,45 @@ def load(media: bytes) -> bytes:
         return of.readframes(of.getnframes())
 
 
-def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and frequency bins of the spectral peaks: the loudest bin of a frame that is louder than both neighbouring frames."""
+def _highest(values: np.ndarray, around: int, axis: int) -> np.ndarray:
+    """The greatest value within so many places to either side."""
+    pad = [(0, 0), (0, 0)]
+    pad[axis] = (around, around)
+    values, width = np.pad(values, pad, constant_values=-1.0), 1
+    n, part = values.shape[axis] - 2 * around, lambda v, a, b: v[a:b] if axis == 0 else v[:, a:b]
+    while 2 * width <= 2 * around + 1:
+        last = values.shape[axis]
+        values = np.maximum(part(values, 0, last - width), part(values, width, last))
+        width *= 2
+    rest = 2 * around + 1 - width
+    return np.maximum(part(values, 0, n), part(values, rest, rest + n))
+
+
+def frames_of(samples: bytes) -> np.ndarray:
+    """Overlapping frames that cover every sample; the last is filled up with the last sample, as silence would be a jump."""
     signal = np.frombuffer(samples, np.uint8).astype(np.float64) - 128.0
-    if len(signal) < FRAME:
-        signal = np.pad(signal, (0, FRAME - len(signal)))
-    frames = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
-    taper = np.hanning(FRAME)
-    bins, loud = [], []
-    for at in range(0, len(frames), FRAMES_AT_ONCE):
-        block = frames[at : at + FRAMES_AT_ONCE]
-        spectrum = np.abs(np.fft.rfft((block - block.mean(axis=1, keepdims=True)) * taper, axis=1))[:, 2:]
-        top = spectrum.argmax(axis=1)
-        bins.append(top + 2)
-        loud.append(spectrum[np.arange(len(top)), top])
-    bins, loud = np.concatenate(bins), np.concatenate(loud)
-    around = np.pad(loud, 1, constant_values=-1.0)
-    at = np.flatnonzero((loud > QUIET) & (loud >= around[:-2]) & (loud > around[2:]))
-    return at, bins[at]
+    count = 1 + max(0, -(-(len(signal) - FRAME) // HOP))
+    signal = np.pad(signal, (0, FRAME + (count - 1) * HOP - len(signal)), mode="edge")
+    return np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
+
+
+def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Frames and bins of the spectral peaks: no cell within TIME_AROUND frames and BINS_AROUND bins is louder. Equal ones are all peaks."""
+    frames, taper = frames_of(samples), np.hanning(FRAME)
+    at, bins = [], []
+    for lo in range(0, len(frames), FRAMES_AT_ONCE):
+        begin, hi = max(0, lo - TIME_AROUND), min(len(frames), lo + FRAMES_AT_ONCE)
+        block = frames[begin : hi + TIME_AROUND]
+        loud = np.abs(np.fft.rfft((block - block.mean(axis=1, keepdims=True)) * taper, axis=1))[:, LOWEST_BIN:]
+        top = (loud > QUIET) & (loud == _highest(_highest(loud, BINS_AROUND, 1), TIME_AROUND, 0))
+        t, f = np.nonzero(top[lo - begin : hi - begin])
+        at.append(t + lo)
+        bins.append(f + LOWEST_BIN)
+    return np.concatenate(at), np.concatenate(bins)
 
 
 def landmarks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Time-coded arrays: the first peak's frame, and first bin, second bin and distance as one code."""
+    """Time-coded arrays: the first peak's frame, and first bin, second bin and distance as one code; peaks are paired in order of frame and bin."""
     at, bins = peaks(samples)
     times, codes = [], []
     for k in range(1, FAN + 1):
@@ -118,8 +137,8 @@ def features(media: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """The digests of features() and ``feature``: time:code in hex, comma-joined, by time and then code.
 
-    Null and empty texts give a payload of one block of spaces, whose feature is empty. Each input row
-    gives one row, repeated ones too; other columns are ignored. An empty table gives no rows.
+    Null and empty texts give a payload of one block of spaces, whose feature is empty. Each input row gives one
+    row, repeated ones too; a null doc_id stays null; other columns are ignored. An empty table gives no rows.
     """
     pairs = F.array_join(F.zip_with("times", "codes", lambda t, c: F.concat(F.lower(F.hex(t)), F.lit(":"), F.lower(F.hex(c)))), ",")
     return features(to_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", pairs.alias("feature"))
