@@ -26,12 +26,13 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER) -> DataFrame:
+def source_rates(docs: DataFrame, work: Workspace, weights: dict[str, float] | None = None, power: float = POWER) -> DataFrame:
     """(source, rate, draws, cdf): the target repetition rate and the distribution of one of its draws.
 
     With explicit weights a source without one has rate 0. Sources without characters have rate 1.
     """
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars"))
+    sizes = work.keep(sizes, "sizes")
     if weights is None:
         weight = F.pow("chars", F.lit(power))
     else:
@@ -54,16 +55,16 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, seed: str = SEED) -> DataFrame:
-    """The columns of ``docs`` and ``copy`` (1 on) and ``shuffle_key``; rows are dealt and ordered by that key within partitions.
+    """The columns of ``docs`` and two more, ``copy`` (1 on) and ``shuffle_key``; rows are dealt and ordered by that key within partitions.
 
     A document's count depends on seed, doc_id and its source's rate alone: repeated rows get equal counts.
     A null source is a source of its own, a null doc_id hashes as ``null``, a null text has no characters.
-    Columns named copy or shuffle_key in ``docs`` are replaced. An empty table gives no rows.
+    Where ``docs`` has a column of such a name, it stays and the new one gets underscores. An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "mixing")
-    docs = docs.drop("copy", "shuffle_key")
+    copy, shuffle_key = fresh(docs, "copy"), fresh(docs, "shuffle_key")
     s, draws, cdf, n = (fresh(docs, x) for x in ("__s", "__draws", "__cdf", "__n"))
-    rates = work.keep(source_rates(docs, weights, power), "rates").select(F.col("source").alias(s), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
+    rates = work.keep(source_rates(docs, work, weights, power), "rates").select(F.col("source").alias(s), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col(draws)),
@@ -74,11 +75,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
         docs.join(rates, docs["source"].eqNullSafe(rates[s]))
         .withColumn(n, count)
         .where(F.col(n) > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
         .drop(s, draws, cdf, n)
     )
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("s"), name, F.col("copy").cast("string"))))
-    return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    keyed = copies.withColumn(shuffle_key, F.md5(F.concat_ws(":", F.lit(seed), F.lit("s"), name, F.col(copy).cast("string"))))
+    return keyed.repartition(F.col(shuffle_key)).sortWithinPartitions(shuffle_key)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
