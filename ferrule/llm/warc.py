@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, table
+from .common import Workspace, bounded_batches, join_unique, table
 
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
@@ -103,13 +103,14 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
 
 
-def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, work: Workspace, folder: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive, n_records) for the archives that the tasks write; running it writes them."""
     mine = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     mine = mine.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    first = mine.where(F.col("size") >= revisit_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first")).withColumnRenamed("sha1", "__sha1").withColumnRenamed("size", "__size")
-    marked = mine.join(first, (F.col("sha1") == F.col("__sha1")) & (F.col("size") == F.col("__size")), "left")
-    revisit = F.col("__sha1").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    mine = mine.withColumn("same", F.concat_ws(":", "sha1", F.col("size").cast("string")))
+    first = mine.where(F.col("size") >= revisit_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).withColumn("met", F.lit(True))
+    marked = join_unique(mine, work.keep(first, "first"), "same", "n", "page_id", "left")
+    revisit = F.col("met").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = marked.select("page_id", "url", "payload", F.unhex("sha1").alias("digest"), F.when(revisit, F.col("first")).alias("first"), revisit.alias("revisit"))
 
     def run(batches):
@@ -158,12 +159,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write every page, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null html is an empty payload, a null url becomes about:blank. Among equal payloads the smallest page_id is
+    Null html is an empty payload, a null or empty url becomes about:blank, and CR and LF, which a header line cannot
+    hold, are left out of a url (they are in none of the returned columns). Among equal payloads the smallest page_id is
     the response, and so is each repeated row of it; a null page_id is one only if all of them are null. Other
     columns are ignored; an empty table gives no rows.
     """
     work = Workspace(pages.sparkSession, "warc")
-    archives = work.keep(write_archives(pages, f"{work.root}/archives", revisit_bytes, archive_bytes), "archives")
+    archives = work.keep(write_archives(pages, work, f"{work.root}/archives", revisit_bytes, archive_bytes), "archives")
     return read_archives(archives.repartition(max(1, min(10_000, archives.count())), "archive"))
 
 
