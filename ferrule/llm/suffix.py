@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, table
+from .common import Workspace, bounded_batches, join_unique, table
 
 LENGTH = 200
 GRAM = 64
@@ -34,7 +34,8 @@ BATCHES = 3
 PART = 16_384
 #: String starts that are hashed at once, and suffixes compared at once.
 SLICE, HELD = 1 << 18, 16_384
-SALTS = 16
+#: Texts that a task remembers, so as to take equal ones once.
+HELD_TEXTS = 1 << 20
 
 _mix = np.random.RandomState(20_200).randint(1, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _odd = np.array([2_654_435_761, 2_246_822_519, 3_266_489_917, 668_265_263, 374_761_393, 2_869_860_233], np.uint32)
@@ -95,36 +96,43 @@ def _anchors(pieces, length: int, gram: int):
     return text, anchor[first] + shift, start[first] + shift, start[last] + shift, codes
 
 
+def _long_texts(docs: DataFrame, length: int) -> DataFrame:
+    """(key, more, text) of the texts that have a string: two 64-bit hashes name a text."""
+    return docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("key"), F.xxhash64(F.lit("more"), "text").alias("more"), "text")
+
+
 def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(code, text, at, first, last): the sparse suffix array of a batch, sorted within hash partitions of code.
+    """(code, key, more, at, first, last): the sparse suffix array of a batch, sorted within partitions.
 
-    text is a 64-bit hash, at the suffix's position, and first to last are the starts of the strings it anchors.
-    A task takes equal texts once; what several tasks took is reduced when the array is sorted.
+    key and more name the text, at is the suffix's position, and first to last are the starts of the strings it
+    anchors. A task takes equal texts once; what several tasks took is reduced when the array is sorted.
     """
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            keys, texts = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    keys.append(key)
+            names, texts = [], []
+            for name, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
+                if name not in seen:
+                    seen.add(name)
+                    names.append(name)
                     texts.append(text.encode())
+            if len(seen) > HELD_TEXTS:
+                seen.clear()
             text, at, first, last, codes = anchors(texts, length, gram)
+            names = np.array(names, np.int64).reshape(-1, 2)[text]
             yield pa.record_batch(
-                [pa.array(codes), pa.array(np.array(keys, np.int64)[text]), pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                ["code", "text", "at", "first", "last"],
+                [pa.array(codes), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
+                ["code", "key", "more", "at", "first", "last"],
             )
 
     bounded_batches(docs.sparkSession)
-    long = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("key"), F.col("text"))
-    return _sorted(long.mapInArrow(run, "code long, text long, at int, first int, last int").withColumn("salt", F.pmod("text", F.lit(SALTS).cast("long"))))
+    return _sorted(_long_texts(docs, length).mapInArrow(run, "code long, key long, more long, at int, first int, last int"))
 
 
 def _sorted(suffixes: DataFrame) -> DataFrame:
-    """Each suffix once, sorted; the suffixes of a code that very many texts share are dealt over SALTS tasks."""
-    return suffixes.repartition("code", "salt").dropDuplicates().sortWithinPartitions("code", "text", "at")
+    """Each suffix once, sorted; dealt by code, text and position, so that a code that very many suffixes share fills no task."""
+    return suffixes.repartition("code", "key", "at").dropDuplicates().sortWithinPartitions("code", "key", "at")
 
 
 class Family:
@@ -162,7 +170,7 @@ class Family:
         for _, _, level in self.levels[1:]:
             suffixes = suffixes.unionByName(level)
         sizes = suffixes.groupBy("code").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).join(codes.distinct(), "code", "left_semi")
-        return suffixes.drop("salt").join(self.work.keep(sizes, "sizes").hint("merge"), "code")
+        return suffixes.join(self.work.keep(sizes, "sizes").hint("merge"), "code")
 
     def drop(self) -> None:
         """Delete the levels of a one-off run."""
@@ -171,18 +179,17 @@ class Family:
 
 
 def by_text(candidates: DataFrame) -> DataFrame:
-    """(key, suffixes): the candidates of each text; as many as the text has anchors at most."""
-    return candidates.groupBy(F.col("text").alias("key")).agg(F.collect_list(F.struct("code", "at", "first", "last", "parts")).alias("suffixes"))
+    """(key, more, suffixes): the candidates of each text; as many as the text has anchors at most."""
+    return candidates.groupBy("key", "more").agg(F.collect_list(F.struct("code", "at", "first", "last", "parts")).alias("suffixes"))
 
 
 def segments(docs: DataFrame, lists: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(code, part, parts, doc, at, first, bytes): the text of all strings that a candidate suffix anchors; doc is the text's SHA-256."""
-    long = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("key"), "text")
+    """(code, part, parts, doc, at, first, bytes) for each distinct text: the text of all strings that a candidate suffix anchors; doc is the text's SHA-256."""
+    long = _long_texts(docs, length).groupBy("key", "more").agg(F.first("text").alias("text"))  # copies leave before the shuffle
     names = ["code", "part", "parts", "doc", "at", "first", "bytes"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
-        seen: set[bytes] = set()
         for batch in batches:
             lists = batch.column(1)
             ends = np.diff(lists.offsets.to_numpy()).cumsum()
@@ -192,14 +199,8 @@ def segments(docs: DataFrame, lists: DataFrame, length: int = LENGTH, gram: int
                 span, low = range(low, high), high
                 raw = text.encode()
                 doc = hashlib.sha256(raw).digest()
-                if doc in seen:
-                    continue
-                seen.add(doc)
                 for i in span:
-                    a, f = int(at[i]), int(first[i])
-                    if xxhash.xxh64_intdigest(raw[a : a + gram]) - (int(code[i]) & (1 << 64) - 1):
-                        continue  # another text with this hash
-                    n = int(parts[i])
+                    a, f, n = int(at[i]), int(first[i]), int(parts[i])
                     part = xxhash.xxh32_intdigest(doc + a.to_bytes(8, "little")) % n if n > 1 else 0
                     rows.append((int(code[i]), part, n, doc, a, f, raw[f : int(last[i]) + length]))
                     size += len(rows[-1][-1])
@@ -209,7 +210,7 @@ def segments(docs: DataFrame, lists: DataFrame, length: int = LENGTH, gram: int
             if rows:
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return long.join(lists.hint("merge"), "key").select("text", "suffixes").mapInArrow(run, "code long, part int, parts int, doc binary, at int, first int, bytes binary")
+    return long.join(lists.hint("merge"), ["key", "more"]).select("text", "suffixes").mapInArrow(run, "code long, part int, parts int, doc binary, at int, first int, bytes binary")
 
 
 def shared(groups: np.ndarray, rows: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +331,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
 
     Every byte goes that a string of ``length`` bytes covers which also starts anywhere else, in the same text or
     another. Null texts are empty. Equal texts are found by digest and go whole if long enough, so repeated rows
-    do too. Texts shorter than ``length`` stay. Other columns are ignored; an empty table gives no rows.
+    do too. Texts shorter than ``length`` stay. A null doc_id stays null; other columns are ignored; an empty table
+    gives no rows.
     """
     if gram & (gram - 1) or not 1 <= gram <= min(length, 64):
         raise ValueError("gram must be a power of two, at most 64 and at most length")
@@ -340,9 +342,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     starts = repeated_starts(mine.select("text"), work, length, gram, batches, part)
     named = mine.withColumn("doc", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     copies = named.where(F.octet_length("text") >= length).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")
-    whole = copies.select("doc", F.lit(0).alias("first"), F.lit((1 << 31) - 1).alias("last"))
-    marks = starts.unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    marks = work.keep(marks, "marks").withColumnRenamed("doc", "__doc")
+    whole = copies.select("doc", F.lit(0).alias("first"), F.lit((1 << 31) - 1).alias("last"), "n")
+    marks = starts.withColumn("n", F.lit(1).cast("long")).unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"), F.max("n").alias("n"))
+    marks = work.keep(marks, "marks")
     work.release()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
 
@@ -362,7 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                 spans.append(len(removed))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names)
 
-    joined = named.join(marks.hint("merge"), F.col("doc") == F.col("__doc"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
+    joined = join_unique(named, marks, "doc", "n", "doc_id", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
