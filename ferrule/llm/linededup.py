@@ -1,6 +1,6 @@
 """Operator 7: line deduplication by pairwise alignment.
 
-Lines are hashed, and the shortest runs of lines that reach MIN_CHARS characters, from each line on and up to
+Lines are hashed, and what documents share is found through lists of hashes that are as rare as needed: the shortest runs of lines that reach MIN_CHARS characters, from each line on and up to
 each line, are posted under their hashes: no shorter common block is ever deleted, and every line of a longer
 one lies in such a run of it. Each document is first paired with the holder before it in every list; lists
 longer than LIST_PART are cut into parts by a hash, whose first holders pair with the list's first. Pairs are
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, bounded_batches, fresh, table
+from .common import Workspace, bounded_batches, fresh, join_unique, table
 
 #: About one sentence.
 MIN_CHARS = 40
@@ -153,10 +153,10 @@ def postings(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.select("key", "lines", "chars", *[c for c in lines.columns if c == "gone"]).mapInArrow(run, schema)
 
 
-def shared(posted: DataFrame) -> DataFrame:
+def shared(posted: DataFrame, work: Workspace) -> DataFrame:
     """(run, key, n, least): the postings of runs that n > 1 documents hold, the first of them ``least``."""
     lists = posted.groupBy("run").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
-    return posted.join(lists, "run")
+    return join_unique(posted, work.keep(lists.withColumn("rows", F.col("n")), "lists"), "run", "rows", "key")
 
 
 def pairs(held: DataFrame, list_part: int = LIST_PART) -> DataFrame:
@@ -190,7 +190,7 @@ def _by_document(gone: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, work: Workspace, min_chars: int = MIN_CHARS, list_part: int = LIST_PART) -> DataFrame:
     """(key, gone): the positions of the lines that go from each document that loses any."""
     lines = work.keep(line_table(docs), "lines")
-    held = work.keep(shared(work.keep(postings(lines, min_chars), "postings")), "shared")
+    held = work.keep(shared(work.keep(postings(lines, min_chars), "postings"), work), "shared")
     linked = work.keep(pairs(held, list_part), "pairs")
     gone = work.keep(_removed(linked, lines, min_chars), "removed")
     place = F.pmod(F.xxhash64("key", "run"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")  # a holder's place in its list, by hash
@@ -223,7 +223,8 @@ def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, list_part: int =
     bounded_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "lines")
     mine, key, gone = (fresh(docs, x) for x in ("__k", "__key", "gone"))
-    found = work.keep(removals(docs, work, min_chars, list_part), "gone").withColumnsRenamed({"key": key, "gone": gone})
+    found = Workspace(docs.sparkSession, "lines-gone").keep(removals(docs, work, min_chars, list_part), "gone").withColumnsRenamed({"key": key, "gone": gone})
+    work.drop(work.root)  # the result reads nothing else
     joined = docs.withColumn(mine, _key(docs)).join(found.hint("merge"), F.col(mine) == F.col(key), "left").drop(mine, key)
     at, counts = docs.columns.index("text"), _counts(docs)
 
