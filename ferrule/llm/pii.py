@@ -1,40 +1,57 @@
 """Operator 3: personal data by patterns and a skip-chain conditional random field.
 
 Patterns find the base spans. Tokens with a digit or an at sign are then the nodes of a field; other words
-are certainly outside, and cut the chain. A node's own potential comes from its shape, neighbours share a
-chain potential, and repeated or similar tokens of a document, however far apart, share a skip potential.
-Base spans are observed. Loopy message passing gives each remaining node its marginal, and a run of nodes
-that are one kind with enough probability is a further span. The potentials are log ratios of counts over
-all documents' base spans, which Spark adds up.
+are certainly outside, and cut the chain. A node's own potential is log-linear in what can be said of the token
+(ATTRIBUTES), neighbours share a chain potential, and repeated or similar tokens of a document, however far
+apart, share a skip potential. Base spans and assigned secrets are observed. Loopy message passing gives each
+remaining node its marginal, and what is one kind with enough probability is a further span.
+
+The field is fitted by penalised pseudo-likelihood: each label in turn is hidden and explained by the token and
+the labels around it, and once by those labels alone, as the patterns would leave nothing to explain. Spark adds up the cases of all documents in a bounded table of cells; labels weigh alike,
+however many outside tokens the corpus has. Unmatched tokens that repeat or resemble a matched one are not
+counted, as their label is what the field is to find.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
+from bisect import bisect_right
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import Workspace, bounded_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = len(KINDS) + 1  # 0: outside
-#: Buckets of token shapes; shapes that share one share a potential.
-SHAPES = 4096
-SMOOTH = 0.5
-STRONGEST = 4.0
+#: Labels: outside, the kinds, and secrets such as keys, which are counted apart from the kinds' spans.
+SECRET = len(KINDS) + 1
+LABELS, UNKNOWN = SECRET + 1, SECRET + 1
+#: What is said of a token, with the number of values: digits, letters, dots, at sign, checksum, address parts, plus, dashes or brackets, assignment.
+ATTRIBUTES = (9, 3, 5, 2, 2, 2, 2, 2, 2)
+CELLS = int(np.prod(ATTRIBUTES))
+DIGIT_STEPS = (1, 4, 7, 10, 14, 16, 17, 20)
+#: Weight that each label's cases have together at most, and the penalty of squared weights.
+EVIDENCE, RIDGE = 1000.0, 0.1
+NEWTON_STEPS = 40
+#: Own log odds of a kind over outside are kept within these, so that one certain repeat decides.
+AGAINST, FOR = 2.5, 4.0
 ROUNDS, DAMP = 12, 0.5
 THRESHOLD = 0.95
-#: Characters between tokens that still make them neighbours.
-NEAR = 2
+#: Characters between tokens that still make them neighbours, and letters and digits that make repeats meaningful.
+NEAR, ALIKE = 2, 7
+#: Characters of a secret at least, and how far before it its name is looked for.
+SECRET_CHARS, NAME_REACH = 16, 24
 
+NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|credential|(?:api|access|private)[_ -]?key)\W{0,4}[=:]\W{0,4}$", re.IGNORECASE)
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+ADDRESS = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A word with a digit or an at sign; the possessive run keeps the search linear in long words.
@@ -83,105 +100,213 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def describe(word: str, assigned: bool) -> int:
+    """The cell of a token: its attributes as one number."""
+    digits = re.sub(r"[^0-9]", "", word)
+    letters = 2 if (found := re.search(r"[^\W\d_]", word)) and digits and len(word) >= SECRET_CHARS else 1 if found else 0
+    values = (
+        bisect_right(DIGIT_STEPS, len(digits)), letters, min(4, word.count(".")), "@" in word,
+        14 <= len(digits) <= 19 and not letters and luhn(digits), bool(ADDRESS.fullmatch(word)) and all(map(_small, word.split("."))),
+        word.startswith("+"), any(c in word for c in "-()"), assigned,
+    )
+    cell = 0
+    for value, size in zip(values, ATTRIBUTES, strict=True):
+        cell = cell * size + int(value)
+    return cell
+
+
+def alike(word: str) -> list[str]:
+    """Keys that repeated and similar tokens share: the token without case, all its digits, and its last seven."""
+    digits = re.sub(r"[^0-9]", "", word)
+    out = ["t" + word.lower()] if sum(map(str.isalnum, word)) >= ALIKE else []
+    if len(digits) >= ALIKE and not re.search(r"[^\W\d_]", word):
+        out += ["d" + digits, "s" + digits[-ALIKE:]]
+    return out
+
+
 class Nodes:
-    """The field of one text: tokens, their observed labels (-1: none), and both kinds of edges."""
+    """The field of one text: tokens, their cells, observed labels (-1: none), hidden ones, and both kinds of edges.
+
+    A skip edge goes from each token to the last one before it that shares a key.
+    """
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
-        self.spans, self.shapes, keys = [], [], []
+        self.spans, self.cells, keys, labels = [], [], [], []
         for m in ACTIVE.finditer(text):
             word = m[0]
             begin = m.start() + len(word) - len(word.lstrip(TRIM))
             word = word.strip(TRIM)
             if word:
+                secret = len(word) >= SECRET_CHARS and bool(NAMED.search(text[max(0, begin - NAME_REACH) : begin]))
                 self.spans.append((begin, begin + len(word)))
-                self.shapes.append(shape(word))
-                keys.append(same_key(word))
-        self.seen = np.full(len(self.spans), -1)
+                self.cells.append(describe(word, secret))
+                keys.append(alike(word))
+                labels.append(SECRET if secret else -1)
         at = 0
         for begin, kind, end in base:
             while at < len(self.spans) and self.spans[at][1] <= begin:
                 at += 1
             i = at
             while i < len(self.spans) and self.spans[i][0] < end:
-                if self.seen[i] < 0:
-                    self.seen[i] = kind + 1
+                if labels[i] < 0:
+                    labels[i] = kind + 1
                 i += 1
-        chain = [(i - 1, i) for i in range(1, len(self.spans)) if self.spans[i][0] - self.spans[i - 1][1] <= NEAR]
+        self.seen = np.array(labels, np.int64)
+        self.chain = [(i - 1, i) for i in range(1, len(self.spans)) if self.spans[i][0] - self.spans[i - 1][1] <= NEAR]
         last: dict[str, int] = {}
-        skip = []
-        for i, key in enumerate(keys):  # each occurrence to the one before it
-            if key in last and last[key] != i - 1:
-                skip.append((last[key], i))
-            last[key] = i
-        self.chain, self.skip = chain, skip
+        skip = {}
+        for i, mine in enumerate(keys):
+            for key in mine:
+                if key in last:
+                    skip[last[key], i] = None
+                last[key] = i
+        self.skip = list(skip)
+        first = {key: i for i, mine in reversed(list(enumerate(keys))) if labels[i] >= 0 for key in mine}
+        self.hidden = np.array([labels[i] < 0 and any(k in first for k in mine) for i, mine in enumerate(keys)], bool)
 
 
-def shape(word: str) -> int:
-    """Bucket of a token's shape: runs of digits with their length, runs of letters, and signs as they are."""
-    short = re.sub(r"[0-9]{1,64}", lambda m: f"d{len(m[0])}", re.sub(r"[^\W\d_]+", "a", word[:128]))
-    return zlib.crc32(short[:48].encode()) % SHAPES
+TABLE = "doc_id long, base array<int>, spans array<int>, cells array<int>, seen array<int>, hidden array<boolean>, chain array<int>, skip array<int>"
 
 
-def same_key(word: str) -> str:
-    """Equal for repeated and similar tokens: the digits of a number however it is written, else the lower-cased token."""
-    digits = re.sub(r"[^0-9]", "", word)
-    return digits if len(digits) >= 7 else word.lower()
+def node_table(docs: DataFrame) -> DataFrame:
+    """TABLE: base spans and field of every row of (doc_id, text); texts are not read again."""
+    types = [pa.int64()] + [pa.list_(pa.int32())] * 4 + [pa.list_(pa.bool_())] + [pa.list_(pa.int32())] * 2
+    names = [c.split()[0] for c in TABLE.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                base = base_spans(text) if text else []
+                nodes = Nodes(text or "", base)
+                flat = [list(chain.from_iterable(x)) for x in (base, nodes.spans, nodes.chain, nodes.skip)]
+                rows.append((doc, flat[0], flat[1], nodes.cells, nodes.seen.tolist(), nodes.hidden.tolist(), flat[2], flat[3]))
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, types, strict=True)], names)
+
+    return docs.mapInArrow(run, TABLE)
+
 
+def _pairs(flat: list[int]) -> np.ndarray:
+    return np.array(flat, np.int64).reshape(-1, 2)
 
-def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels by shape, and by pair along chain and skip edges, over all documents; unmatched tokens count as outside."""
-    wide = LABELS * LABELS
+
+def cases(table: DataFrame) -> np.ndarray:
+    """(case, label, n) of all documents: a case is the cell and the labels before, after and across skip edges (UNKNOWN: none).
+
+    There are at most CELLS x (LABELS + 1)^3 x LABELS of them, whatever the corpus; the driver takes that table.
+    """
+    wide = LABELS + 1
 
     def run(batches):
-        total = np.zeros(SHAPES * LABELS + 2 * wide, np.int64)
+        total = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                nodes = Nodes(text, base_spans(text))
-                labels = np.maximum(nodes.seen, 0)
-                np.add.at(total, np.array(nodes.shapes, np.int64) * LABELS + labels, 1)
-                for k, edges in enumerate((nodes.chain, nodes.skip)):
-                    for i, j in edges:
-                        total[SHAPES * LABELS + k * wide + labels[i] * LABELS + labels[j]] += 1
-        used = np.flatnonzero(total)
-        if len(used):
-            yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["cell", "n"])
-
-    total = np.zeros(SHAPES * LABELS + 2 * wide)
-    for r in docs.where("text IS NOT NULL").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        total[r["cell"]] = r["n"]  # at most one row for each cell of fixed tables
-    shapes, chain, skip = np.split(total, [SHAPES * LABELS, SHAPES * LABELS + wide])
-    return shapes.reshape(-1, LABELS), chain.reshape(LABELS, LABELS), skip.reshape(LABELS, LABELS)
-
-
-def potentials(shapes: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log potentials: label given shape, and how much more often than by chance two labels meet along an edge."""
-    prior = shapes.sum(axis=0) + SMOOTH
-    prior /= prior.sum()
-    own = shapes + SMOOTH * LABELS * prior
-    own = np.log(own / own.sum(axis=1, keepdims=True))
-
-    def lift(pairs):
-        pairs = pairs + SMOOTH
-        pairs = pairs / pairs.sum()
-        return np.clip(np.log(pairs / (pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0))), -STRONGEST, STRONGEST)
-
-    skip = lift(skip + skip.T)
-    return own, lift(chain), skip
-
-
-def marginals(nodes: Nodes, model) -> np.ndarray:
+            for cells, seen, hidden, near, far in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                labels = np.maximum(np.array(seen), 0)
+                labels[np.array(hidden, bool)] = UNKNOWN
+                around = np.full((3, len(labels)), UNKNOWN)
+                near, far = _pairs(near), _pairs(far)
+                around[0, near[:, 1]] = labels[near[:, 0]]
+                around[1, near[:, 0]] = labels[near[:, 1]]
+                around[2, far[:, 0]] = labels[far[:, 1]]
+                around[2, far[:, 1]] = labels[far[:, 0]]
+                case = ((np.array(cells) * wide + around[0]) * wide + around[1]) * wide + around[2]
+                total.update((case * LABELS + labels)[labels != UNKNOWN].tolist())
+        if total:
+            yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cell", "n"])
+
+    some = table.where(F.size("cells") > 0).select("cells", "seen", "hidden", "chain", "skip")
+    found = some.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
+    return np.array([(r["cell"] // LABELS, r["cell"] % LABELS, r["n"]) for r in found], np.int64).reshape(-1, 3)
+
+
+def attributes(cells: np.ndarray) -> np.ndarray:
+    """One column for each value of each attribute."""
+    columns = []
+    for size in reversed(ATTRIBUTES):
+        columns.insert(0, np.eye(size)[cells % size])
+        cells = cells // size
+    return np.concatenate(columns, axis=1)
+
+
+def fit(counted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own (cell x label), chain and skip potentials of the greatest penalised pseudo-likelihood, by Newton's method."""
+    wide, square = sum(ATTRIBUTES), LABELS * LABELS
+    size = wide * LABELS + 2 * square + 1  # the last: one kind at both ends of a skip edge, whichever it is
+    theta = np.zeros(size)
+    if len(counted):
+        weight = counted[:, 2].astype(float)
+        totals = np.bincount(counted[:, 1], weight, LABELS)
+        weight *= np.minimum(1.0, EVIDENCE / np.maximum(totals, 1.0))[counted[:, 1]]
+        case, rest = np.unique(counted[:, 0], return_inverse=True)
+        amounts = np.zeros((len(case), LABELS))
+        np.add.at(amounts, (rest, counted[:, 1]), weight)
+        width = LABELS + 1
+        before, after, far = case // width**2 % width, case // width % width, case % width
+        own = attributes(case // width**3)
+        linked = np.flatnonzero((before < LABELS) | (after < LABELS) | (far < LABELS))  # once more without the token itself
+        own = np.concatenate([own, np.zeros((len(linked), wide))])
+        before, after, far, amounts = (np.concatenate([x, x[linked]]) for x in (before, after, far, amounts))
+
+        def features(rows: slice) -> np.ndarray:
+            """case x label x parameter"""
+            n = len(own[rows])
+            out = np.zeros((n, LABELS, size))
+            at = np.arange(n)
+            for label in range(LABELS):
+                out[:, label, label * wide : (label + 1) * wide] = own[rows]
+                for known, first, cell in ((before[rows], wide * LABELS, lambda x: x * LABELS + label), (after[rows], wide * LABELS, lambda x: label * LABELS + x)):
+                    met = known < LABELS
+                    np.add.at(out, (at[met], label, first + cell(known[met])), 1.0)
+                met = far[rows] < LABELS
+                for cell in (far[rows][met] * LABELS + label, label * LABELS + far[rows][met]):  # the table is symmetric
+                    np.add.at(out, (at[met], label, wide * LABELS + square + cell), 0.5)
+                out[:, label, -1] = (far[rows] == label) & (label > 0)
+            return out
+
+        def measure(theta: np.ndarray, slopes: bool = True):
+            loss, slope, curve = 0.5 * RIDGE * theta @ theta, RIDGE * theta, RIDGE * np.eye(size)
+            for lo in range(0, len(own), 256):
+                rows = slice(lo, lo + 256)
+                x, y = features(rows), amounts[rows]
+                logits = x @ theta
+                logits -= np.logaddexp.reduce(logits, axis=1, keepdims=True)
+                loss -= (y * logits).sum()
+                if slopes:
+                    p, n = np.exp(logits), y.sum(axis=1)
+                    mean = np.einsum("cl,clf->cf", p, x)
+                    slope = slope + n @ mean - np.einsum("cl,clf->f", y, x)
+                    scaled = x * np.sqrt(n[:, None] * p)[:, :, None]
+                    scaled = scaled.reshape(-1, size)
+                    mean = mean * np.sqrt(n)[:, None]
+                    curve = curve + scaled.T @ scaled - mean.T @ mean
+            return loss, slope, curve
+
+        for _ in range(NEWTON_STEPS):
+            loss, slope, curve = measure(theta)
+            step = np.linalg.solve(curve, slope)
+            scale = 1.0
+            while scale > 1e-6 and measure(theta - scale * step, slopes=False)[0] > loss - 1e-4 * scale * slope @ step:
+                scale /= 2
+            theta = theta - scale * step
+            if slope @ step < 1e-6:
+                break
+    own = attributes(np.arange(CELLS)) @ theta[: wide * LABELS].reshape(LABELS, wide).T
+    odds = np.clip(own - own[:, :1], -AGAINST, FOR)
+    along, across = theta[wide * LABELS : -1].reshape(2, LABELS, LABELS)
+    return odds, along, (across + across.T) / 2 + theta[-1] * np.diag(np.arange(LABELS) > 0)
+
+
+def marginals(cells: np.ndarray, seen: np.ndarray, near: np.ndarray, far: np.ndarray, model) -> np.ndarray:
     """Label probabilities of each node by loopy belief propagation; observed nodes are certain."""
-    own, chain, skip = model
-    local = own[nodes.shapes].copy()
-    seen = np.flatnonzero(nodes.seen >= 0)
-    local[seen] = -30.0
-    local[seen, nodes.seen[seen]] = 0.0
-    edges = nodes.chain + nodes.skip
-    if edges:
-        pair = np.array(edges)
-        tables = np.concatenate([np.repeat(chain[None], len(nodes.chain), 0), np.repeat(skip[None], len(nodes.skip), 0)])
-        source = np.concatenate([pair[:, 0], pair[:, 1]])
-        target = np.concatenate([pair[:, 1], pair[:, 0]])
+    own, along, across = model
+    local = own[cells].copy()
+    known = np.flatnonzero(seen >= 0)
+    local[known] = -60.0
+    local[known, seen[known]] = 0.0
+    pair = np.concatenate([near, far])
+    if len(pair):
+        tables = np.concatenate([np.repeat(along[None], len(near), 0), np.repeat(across[None], len(far), 0)])
+        source, target = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([pair[:, 1], pair[:, 0]])
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(pair)) + len(pair), np.arange(len(pair))])
         sent = np.zeros((len(source), LABELS))
@@ -200,24 +325,21 @@ def marginals(nodes: Nodes, model) -> np.ndarray:
     return local / local.sum(axis=1, keepdims=True)
 
 
-def further_spans(text: str, base: list[tuple[int, int, int]], model, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Spans that the field adds: runs of neighbouring unobserved nodes of one likely kind."""
-    nodes = Nodes(text, base)
-    if not (nodes.seen < 0).any():
+def further_spans(spans: np.ndarray, cells: np.ndarray, seen: np.ndarray, near: np.ndarray, far: np.ndarray, model, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+    """(start, label - 1, end) of what the field adds: unobserved nodes of one likely label; the parts of a phone number are one span."""
+    if not (seen < 0).any():
         return []
-    odds = marginals(nodes, model)
-    near = {j for _, j in nodes.chain}
-    out, before = [], None
-    for i, (begin, end) in enumerate(nodes.spans):
-        kind = int(odds[i].argmax())
-        if nodes.seen[i] >= 0 or not kind or odds[i, kind] < threshold:
-            before = None
-            continue
-        if before == kind and i in near:
-            out[-1] = (out[-1][0], kind - 1, end)
+    odds = marginals(cells, seen, near, far, model)
+    best = odds.argmax(axis=1)
+    likely = (seen < 0) & (best > 0) & (odds[np.arange(len(best)), best] >= threshold)
+    joined, out, before = set(near[:, 1].tolist()), [], -1
+    for i in np.flatnonzero(likely).tolist():
+        kind = int(best[i]) - 1
+        if kind == KINDS.index("phone") and i - 1 == before and i in joined and out[-1][1] == kind:
+            out[-1] = (out[-1][0], kind, int(spans[i, 1]))
         else:
-            out.append((begin, kind - 1, end))
-        before = kind
+            out.append((int(spans[i, 0]), kind, int(spans[i, 1])))
+        before = i
     return out
 
 
@@ -226,28 +348,37 @@ def _joined(spans) -> str:
 
 
 def personal_data(docs: DataFrame, train_on: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added, for every row.
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), and for every row n_added (spans that
+    the field adds), n_secret (secrets, assigned to a name or found by the field; not among the spans) and n_found (all).
 
-    Null and empty texts have no spans. Repeated rows are searched one by one; other columns are ignored; an
-    empty table gives no rows. Spans of different kinds may overlap; the field never adds to an observed token.
+    Null and empty texts have no spans. Repeated rows are searched one by one, a null doc_id stays null; other columns
+    are ignored; an empty table gives no rows. Spans of different kinds may overlap; the field never adds to an
+    observed token.
     """
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(potentials(*counts(docs if train_on is None else train_on)))
-    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
+    work = Workspace(docs.sparkSession, "pii")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    nodes = work.keep(node_table(docs.select(columns)), "nodes")
+    model = docs.sparkSession.sparkContext.broadcast(fit(cases(nodes if train_on is None else work.keep(node_table(train_on.select(columns)), "training"))))
+    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_secret", "n_found"]
+    types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 3
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                base = base_spans(text) if text else []
-                more = further_spans(text, base, model.value, threshold) if text else []
+            for doc, flat, spans, cells, seen, near, far in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                base = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
+                seen = np.array(seen, np.int64)
+                more = further_spans(_pairs(spans), np.array(cells, np.int64), seen, _pairs(near), _pairs(far), model.value, threshold)
+                added = [x for x in more if x[1] < len(KINDS)]
+                secrets = int((seen == SECRET).sum()) + len(more) - len(added)
                 kinds = [k for _, k, _ in base]
-                rows.append((doc, *[kinds.count(k) for k in range(len(KINDS))], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more)), len(more)))
-            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, types, strict=True)], names)
+                digest = hashlib.sha256(_joined(base).encode()).hexdigest()
+                rows.append((doc, *[kinds.count(k) for k in range(len(KINDS))], digest, _joined(sorted(base + added)), len(added), secrets, len(base) + len(more) + int((seen == SECRET).sum())))
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), types, strict=True)], names)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, types, strict=True))
+    return nodes.select("doc_id", "base", "spans", "cells", "seen", "chain", "skip").mapInArrow(run, schema)
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
