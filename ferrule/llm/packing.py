@@ -73,7 +73,7 @@ class WordTokenizer:
         return b"".join([known[w] if w in known else later[w] for w in parts])
 
     def _parts(self, new: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ids = self._encode(" ".join(new))
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(new):
             return self._words(new)
@@ -81,7 +81,10 @@ class WordTokenizer:
         return {w: raw[a:b] for w, a, b in zip(new, at[:-1], at[1:], strict=True)}
 
     def _words(self, new: list[str]) -> dict[str, bytes]:
-        return {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in new}
+        return {w: self._encode(w).tobytes() for w in new}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
 
 
 def _is_latin(text: str) -> bool:
@@ -151,7 +154,7 @@ def pack_documents(
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     ``prompt`` gives the leading tokens of a document that bear no loss (default none). A null or empty text
-    has the end id alone. Repeated rows are packed as documents of their own; other columns are ignored.
+    has the end id alone. Repeated rows are packed as documents of their own, a null doc_id stays null; other columns are ignored.
     Sequences are numbered within a task, whose number stands in the upper bits. An empty table gives no rows.
     """
     limit = max_tokens if max_loss is None else max_loss
