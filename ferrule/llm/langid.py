@@ -4,17 +4,17 @@ The vocabulary is a fixed public one. A word's probability in a language is the
 into pieces, of the product of the pieces' probabilities, computed by the forward algorithm; a text's is the
 product over its words. Piece probabilities are learned by expectation maximisation over word counts: Spark
 counts the words of all training texts by language, and each round spreads the distinct words over tasks,
-runs forward and backward passes, and adds up expected piece counts.
+runs forward and backward passes, and adds up expected piece counts. Long words, such as sentences of a language
+written without spaces, are summed in the same way with logarithms, as their probabilities leave a float's range.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections import Counter
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +27,24 @@ ROUNDS = 2
 #: Expected counts added to every piece of a language, and the probability of a character outside the vocabulary.
 SMOOTH = 0.1
 UNKNOWN_CHAR = 1e-7
-#: Distinct words that a worker holds at once, and the longest that it remembers.
-HELD_WORDS, HELD_CHARS = 400_000, 48
-WORDS_AT_ONCE = 2000
+#: Distinct words that a worker holds at once, and the longest that it remembers and sums without logarithms.
+HELD_WORDS, HELD_CHARS = 400_000, 32
+WORDS_AT_ONCE = 4000
+#: Characters of texts that a task counts at once.
+HELD_TEXT = 1 << 26
+#: Positions x languages of long words that are summed at once; a single word may have more.
+CELLS_AT_ONCE = 1 << 20
 MARK, LEAST = "▁", 1e-300
-LETTER = re.compile(r"[^\W\d_]")
+#: Candidates for letters; numerals such as ² and Ⅷ are among them and not letters.
+WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+#: Multiplier of the 64-bit hashes that find pieces, and bits of the table that says which hashes may be a piece's.
+HASH_ODD, MAYBE_BITS = np.uint64(0x9E3779B97F4A7C15), 21
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -43,84 +56,169 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(dict.fromkeys(pieces))}
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def _slot(hashed: np.ndarray) -> np.ndarray:
+    return ((hashed ^ (hashed >> np.uint64(32))) * HASH_ODD) >> np.uint64(64 - MAYBE_BITS)
+
+
+@functools.cache
+def _seed(n: int) -> np.uint64:
+    """What a seed of n comes to in the hash of n characters."""
+    return np.uint64(n * pow(int(HASH_ODD), n, 1 << 64) % (1 << 64))
+
+
+class Arcs:
+    """The arcs of some words' lattices, word by word: word, begin, to and piece; and the words' marked lengths."""
+
+    def __init__(self, word, begin, to, piece, sizes):
+        self.word, self.begin, self.to, self.piece, self.sizes = word, begin, to, piece, sizes
+
+    def steps(self, position: np.ndarray, down: bool = False):
+        """(position, arcs there, the first of each word among them), upwards or down."""
+        key = position.max(initial=0) - position if down else position
+        order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
+        at, word = position[order], self.word[order]
+        other = np.flatnonzero(np.diff(at, prepend=-1) != 0)
+        fresh = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+        ends = [*other[1:].tolist(), len(at)]
+        cuts = [0, *np.searchsorted(fresh, ends).tolist()]
+        for n, (lo, hi) in enumerate(zip(other.tolist(), ends, strict=True)):
+            yield int(at[lo]), order[lo:hi], fresh[cuts[n] : cuts[n + 1]] - lo
+
+
 class Segmenter:
-    """Sums over segmentations of marked words, for all languages at once."""
+    """Sums over segmentations of marked words, for all languages at once. Pieces are found by 64-bit hashes of a word's parts."""
 
     def __init__(self, pieces: dict[str, int], probs: np.ndarray):
         self.pieces, self.langs = pieces, probs.shape[1]
         self.probs = np.vstack([probs, np.full((1, self.langs), UNKNOWN_CHAR)])  # the last: a character outside the vocabulary
         self.lengths = np.array([*map(len, pieces), 1])
-        self.finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for piece, k in pieces.items():
-            self.finder.add_word(piece, k)
-        self.finder.make_automaton()
-
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, from, to and piece of every arc of the words' lattices, by to and word."""
+        self.hashes: list[tuple[np.ndarray, np.ndarray]] = []  # by length: sorted hashes and their pieces
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)
+        for length in range(1, max(map(len, pieces), default=0) + 1):
+            mine = np.array([k for p, k in pieces.items() if len(p) == length], np.int64)
+            text = "".join(p for p in pieces if len(p) == length)
+            hashed = np.full(len(mine), length, np.uint64)
+            for column in _codes(text).reshape(len(mine), length).T:
+                hashed = hashed * HASH_ODD + column
+            order = np.argsort(hashed)
+            self.hashes.append((hashed[order], mine[order]))
+            self.maybe[_slot(hashed)] = True
+
+    def arcs(self, words: list[str]) -> Arcs:
         joined = MARK + MARK.join(words)
-        sizes = np.array([len(w) + 1 for w in words])
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         begins = np.cumsum(sizes) - sizes
-        found = np.fromiter(chain.from_iterable(self.finder.iter(joined)), np.int64).reshape(-1, 2)
-        last, piece = found[:, 0], found[:, 1]
-        alone = np.zeros(len(joined), bool)
-        alone[last[self.lengths[piece] == 1]] = True
+        codes, rest = _codes(joined), np.repeat(begins + sizes, sizes) - np.arange(len(joined))
+        at, hashed, alone = np.arange(len(joined)), np.zeros(len(joined), np.uint64), np.zeros(len(joined), bool)
+        starts, pieces = [], []
+        for length, (known, mine) in enumerate(self.hashes, 1):
+            if length > 1:
+                inside = rest[at] >= length
+                at, hashed = at[inside], hashed[inside]
+            hashed = hashed * HASH_ODD + codes[at + (length - 1)]
+            marked = hashed + _seed(length)
+            some = np.flatnonzero(self.maybe[_slot(marked)])
+            if len(some) and len(known):
+                place = np.minimum(np.searchsorted(known, marked[some]), len(known) - 1)
+                same = known[place] == marked[some]
+                starts.append(at[some[same]])
+                pieces.append(mine[place[same]])
+                if length == 1:
+                    alone[starts[0]] = True
         other = np.flatnonzero(~alone)
-        last, piece = np.concatenate([last, other]), np.concatenate([piece, np.full(len(other), len(self.pieces))])
-        word = np.repeat(np.arange(len(words)), sizes)[last]
-        to = last + 1 - begins[word]
-        begin = to - self.lengths[piece]
-        order = np.lexsort((word, to))
-        order = order[begin[order] >= 0]
-        return word[order], begin[order], to[order], piece[order]
-
-    def _sums(self, words: list[str], arcs) -> np.ndarray:
+        start = np.concatenate([*starts, other])
+        piece = np.concatenate([*pieces, np.full(len(other), len(self.pieces))])
+        order = np.argsort(start, kind="stable")
+        start, piece = start[order], piece[order]
+        word = np.repeat(np.arange(len(words)), sizes)[start]
+        begin = start - begins[word]
+        return Arcs(word, begin, begin + self.lengths[piece], piece, sizes)
+
+    def _forward(self, arcs: Arcs) -> np.ndarray:
         """Forward sums: word x position x language."""
-        word, begin, end, piece = arcs
-        sums = np.zeros((len(words), max(map(len, words)) + 2, self.langs))
+        sums = np.zeros((len(arcs.sizes), int(arcs.sizes.max()) + 1, self.langs))
         sums[:, 0] = 1.0
-        weight = self.probs[piece]
-        for lo, hi in _runs(end):
-            made = sums[word[lo:hi], begin[lo:hi]] * weight[lo:hi]
-            first = np.flatnonzero(np.diff(word[lo:hi], prepend=-1))
-            sums[word[lo:hi][first], end[lo]] = np.add.reduceat(made, first, axis=0)
+        weight = self.probs[arcs.piece]
+        for at, order, first in arcs.steps(arcs.to):
+            word = arcs.word[order]
+            made = sums[word, arcs.begin[order]] * weight[order]
+            sums[word[first], at] = np.add.reduceat(made, first, axis=0)
         return sums
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
-        sums = self._sums(words, self.arcs(words))
-        last = sums[np.arange(len(words)), [len(w) + 1 for w in words]]
-        return np.log(np.maximum(last, LEAST))
-
-    def forward_long(self, word: str) -> np.ndarray:
-        """The same for one word of any length: only the last positions are kept, and they are rescaled as they shrink."""
-        word, total, width = MARK + word, np.zeros(self.langs), max(map(len, self.pieces), default=1)
-        recent = [np.ones(self.langs)]
-        for j in range(1, len(word) + 1):
-            now = np.zeros(self.langs)
-            for back in range(1, min(width, j) + 1):
-                k = self.pieces.get(word[j - back : j], len(self.pieces) if back == 1 else None)
-                if k is not None:
-                    now = now + recent[-back] * self.probs[k]
-            recent = [*recent[-width + 1 :], now] if width > 1 else [now]
-            if j % 16 == 0:
-                scale = np.maximum(now, LEAST)
-                recent, total = [x / scale for x in recent], total + np.log(scale)
-        return total + np.log(np.maximum(recent[-1], LEAST))
+        arcs = self.arcs(words)
+        return np.log(np.maximum(self._forward(arcs)[np.arange(len(words)), arcs.sizes], LEAST))
+
+    def _forward_logs(self, arcs: Arcs) -> np.ndarray:
+        sums = np.full((len(arcs.sizes), int(arcs.sizes.max()) + 1, self.langs), -np.inf)
+        sums[:, 0] = 0.0
+        weight = np.log(self.probs)[arcs.piece]
+        for at, order, first in arcs.steps(arcs.to):
+            word = arcs.word[order]
+            sums[word[first], at] = np.logaddexp.reduceat(sums[word, arcs.begin[order]] + weight[order], first, axis=0)
+        return sums
+
+    def forward_long(self, words: list[str]) -> np.ndarray:
+        """The same as forward for words of any length."""
+        out = np.zeros((len(words), self.langs))
+        for some in self._long_batches(words):
+            arcs = self.arcs([words[i] for i in some])
+            out[some] = self._forward_logs(arcs)[np.arange(len(some)), arcs.sizes]
+        return out
+
+    def _long_batches(self, words: list[str]):
+        """Places of words of like length, of CELLS_AT_ONCE cells together or one word."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order:
+            n = 1
+            while n < len(order) and (n + 1) * (len(words[order[n]]) + 2) * self.langs <= CELLS_AT_ONCE:
+                n += 1
+            yield order[:n]
+            order = order[n:]
 
     def expected(self, words: list[str], counts: np.ndarray, into: np.ndarray) -> None:
         """Add the expected number of uses of each piece, for words seen so often in each language."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero(lengths <= HELD_CHARS)
+        short = short[np.argsort(lengths[short], kind="stable")]  # like lengths together
+        for lo in range(0, len(short), WORDS_AT_ONCE):
+            some = short[lo : lo + WORDS_AT_ONCE].tolist()
+            self._expected([words[i] for i in some], counts[some], into)
+        long = np.flatnonzero(lengths > HELD_CHARS).tolist()
+        for some in self._long_batches([words[i] for i in long]):
+            some = [long[i] for i in some]
+            self._expected_long([words[i] for i in some], counts[some], into)
+
+    def _expected(self, words: list[str], counts: np.ndarray, into: np.ndarray) -> None:
         arcs = self.arcs(words)
-        word, begin, end, piece = arcs
-        sums = self._sums(words, arcs)
+        sums = self._forward(arcs)
         back = np.zeros_like(sums)
-        at = np.arange(len(words)), np.array([len(w) + 1 for w in words])
-        back[at] = counts / np.maximum(sums[at], LEAST)
-        weight, order = self.probs[piece], np.lexsort((word, -begin))
-        w, b, e, x = word[order], begin[order], end[order], weight[order]
-        for lo, hi in _runs(b):
-            first = np.flatnonzero(np.diff(w[lo:hi], prepend=-1))
-            back[w[lo:hi][first], b[lo]] += np.add.reduceat(back[w[lo:hi], e[lo:hi]] * x[lo:hi], first, axis=0)
-        uses = sums[word, begin] * weight * back[word, end]
+        ends = np.arange(len(words)), arcs.sizes
+        back[ends] = counts / np.maximum(sums[ends], LEAST)
+        weight = self.probs[arcs.piece]
+        for at, order, first in arcs.steps(arcs.begin, down=True):
+            word = arcs.word[order]
+            back[word[first], at] += np.add.reduceat(back[word, arcs.to[order]] * weight[order], first, axis=0)
+        self._add(arcs.piece, sums[arcs.word, arcs.begin] * weight * back[arcs.word, arcs.to], into)
+
+    def _expected_long(self, words: list[str], counts: np.ndarray, into: np.ndarray) -> None:
+        arcs = self.arcs(words)
+        sums = self._forward_logs(arcs)
+        back = np.full_like(sums, -np.inf)
+        ends = np.arange(len(words)), arcs.sizes
+        back[ends] = np.log(np.maximum(counts, LEAST)) - sums[ends]
+        weight = np.log(self.probs)[arcs.piece]
+        for at, order, first in arcs.steps(arcs.begin, down=True):
+            word = arcs.word[order]
+            back[word[first], at] = np.logaddexp.reduceat(back[word, arcs.to[order]] + weight[order], first, axis=0)
+        self._add(arcs.piece, np.exp(sums[arcs.word, arcs.begin] + weight + back[arcs.word, arcs.to]), into)
+
+    def _add(self, piece: np.ndarray, uses: np.ndarray, into: np.ndarray) -> None:
         for lang in range(self.langs):
             into[:, lang] += np.bincount(piece, uses[:, lang], len(into) + 1)[:-1]
 
@@ -135,8 +233,9 @@ class WordScores:
         """(position, log probabilities) of every text that has words."""
         rows, kept = self.rows, len(self.rows)
         new = [w for w in set().union(*filter(None, texts)) if w not in rows]
-        long = {w: self.segmenter.forward_long(w) for w in new if len(w) > HELD_CHARS}
-        new = [w for w in new if len(w) <= HELD_CHARS]
+        long = [w for w in new if len(w) > HELD_CHARS]
+        new = sorted((w for w in new if len(w) <= HELD_CHARS), key=len)  # like lengths together
+        far = dict(zip(long, self.segmenter.forward_long(long), strict=True))
         while len(self.logs) < kept + len(new):
             self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
         for lo in range(0, len(new), WORDS_AT_ONCE):
@@ -147,9 +246,9 @@ class WordScores:
         for n, words in enumerate(texts):
             if words is not None:
                 total = np.zeros(self.segmenter.langs)
-                if long:
-                    total += sum((long[w] for w in words if w in long), np.zeros(self.segmenter.langs))
-                    words = [w for w in words if w not in long]
+                if far:
+                    total += sum((far[w] for w in words if w in far), np.zeros(self.segmenter.langs))
+                    words = [w for w in words if w not in far]
                 yield n, total + self.logs.take(np.fromiter(map(rows.__getitem__, words), np.int64, len(words)), axis=0).sum(axis=0)
         for w in new[max(0, HELD_WORDS - kept) :]:
             del rows[w]
@@ -166,21 +265,17 @@ def _word_scores(token: str, model) -> WordScores:
     return _scorers[token]
 
 
-def _runs(values: np.ndarray) -> list[tuple[int, int]]:
-    edges = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)] if len(values) else [0]
-    return list(zip(edges[:-1], edges[1:], strict=True))
-
-
 def is_held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
-    """(word, counts): how often each word of at most HELD_CHARS characters occurs in each language's texts."""
+    """(word, counts): how often each word occurs in each language's texts."""
     number = {x: i for i, x in enumerate(langs)}
 
     def run(batches):
         held: dict[int, Counter] = {i: Counter() for i in number.values()}
+        size = 0
 
         def out():
             for i, c in held.items():
@@ -190,9 +285,11 @@ def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[number[lang]].update(w for w in text.split() if len(w) <= HELD_CHARS)
-            if sum(map(len, held.values())) > HELD_WORDS:
+                held[number[lang]].update(text.split())
+                size += len(text)
+            if sum(map(len, held.values())) > HELD_WORDS or size > HELD_TEXT:
                 yield from out()
+                size = 0
         yield from out()
 
     counted = docs.select("lang", "text").mapInArrow(run, "word string, lang int, n long")
@@ -236,8 +333,9 @@ def identify(docs: DataFrame, train_on: DataFrame, vocabulary_path: str, rounds:
     """(doc_id, lang_pred, score) for every row of ``docs``; score is the predicted language's posterior.
 
     A null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned.
-    Ties go to the first language by name. Repeated rows are scored alike, empty tables give no rows, other
-    columns are ignored. Words are cut at white space; a word of any length is summed whole.
+    Ties go to the first language by name. Repeated rows are scored alike, a null doc_id stays null (op10 takes it as
+    not held out), empty tables give no rows, other columns are ignored. Words are cut at white space; a word of any
+    length is counted and summed whole.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -251,7 +349,7 @@ def identify(docs: DataFrame, train_on: DataFrame, vocabulary_path: str, rounds:
     def run(batches):
         scores = _word_scores(token, model) if langs else None
         for batch in batches:
-            texts = [t.split() if langs and t and LETTER.search(t) else None for t in batch.column(1).to_pylist()]
+            texts = [t.split() if langs and t and has_letter(t) else None for t in batch.column(1).to_pylist()]
             totals = scores.totals(texts) if langs else []
             preds, odds = [UNKNOWN_LANGUAGE] * len(texts), np.zeros(len(texts))
             for n, total in totals:

@@ -32,8 +32,8 @@ def test_stages_in_order_and_their_columns(spark):
     assert first == again and {r[0] for r in first} == {r["doc_id"] for r in docs.collect()}
 
 
-@pytest.mark.parametrize(("long_list", "rounds"), [(16, 4), (2, 1), (1, 0)])
-def test_near_copies_match_brute_force(spark, long_list, rounds):
+@pytest.mark.parametrize(("first_round", "growth"), [(16, 8), (1, 2)])
+def test_near_copies_match_brute_force(spark, first_round, growth):
     r = random.Random(7)
     words = [f"w{i}" for i in range(400)]
     passage, texts = r.choices(words, k=60), []
@@ -57,5 +57,41 @@ def test_near_copies_match_brute_force(spark, long_list, rounds):
                 low, high = sorted((root[a], root[b]))
                 root = [low if x == high else x for x in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} if rounds == 4 else {x["doc_id"] for x in nearcopies.keep_one(docs, long_list, rounds).collect()}
+    made = corpus_pipeline.near_duplicates(spark, docs, "") if first_round == 16 else nearcopies.keep_one(docs, first_round, growth)
+    kept = {x["doc_id"] for x in made.collect()}
     assert kept == set(root) and 10 < len(kept) < len(texts) - 15
+
+
+def _prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randint(0, 500)}" for _ in range(n))
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, an empty and a very long text, repeated and tied rows, two texts under one id, and columns named like the operators' own."""
+    twin, other, sentence = _prose(1, 80), _prose(2, 80), "This line is licensed to be copied by all who read it."
+    texts = [(1, twin), (2, twin), (2, other), (2, other), (None, _prose(3, 60)), (None, _prose(3, 60)), (7, None), (8, ""), (9, _prose(4, 30_000)), (10, "few words")]
+    texts += [(20 + i, f"{_prose(40 + i, 40)}\n{sentence}\n{_prose(80 + i, 40)}") for i in range(6)]
+    rows = [(i, t, None if n == 3 else "en", None if n % 5 == 0 else f"s{n % 2}", n, 1000 + n, f"k{n}", n) for n, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy long, shuffle_key string, n int")
+    columns, counts = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        where = f"{tempfile.mkdtemp()}/{name}"
+        stage(spark, docs, "").write.parquet(where)
+        docs = spark.read.parquet(where)
+        now = docs.collect()
+        counts.append(len(now))
+        assert docs.columns == columns and {r["copy"] for r in now} <= {r["copy"] for r in before}
+        if name == "quality_rules":
+            assert {r["doc_id"] for r in before} - {r["doc_id"] for r in now} == {7, 8, 10}
+        if name == "line_dedup":
+            assert sum(sentence in (r["text"] or "") for r in now) == 1 and {r["doc_id"] for r in now} >= {9, *range(20, 26)}
+        if name == "simhash_near_dedup":
+            assert len(now) == len({r["text"] for r in now}) == len({r["text"] for r in before})
+        if name == "mixing":
+            assert {(r["copy"], r["shuffle_key"]) for r in now} <= {(1000 + n, f"k{n}") for n in range(len(rows))}
+    pieces = corpus_pipeline.packing(spark, docs, "").collect()
+    assert sum(r["start"] == 0 for r in pieces) == counts[-1] > 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), "").count() == 0, name
