@@ -14,7 +14,7 @@ from ferrule.operators import audit, metrics, pairmodel, rankers, splits
 from ferrule.plans import experiments
 from ferrule.queries import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.01"
+SMALLEST, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -219,15 +219,24 @@ def _same(a, b):
     return math.isclose(a, b, rel_tol=1e-9) if isinstance(a, float) else a == b
 
 
+def _rows(spark, name, sf_dir):
+    mine = QUERIES[name](spark, sf_dir)
+    return mine.columns, sorted((tuple(r[c] for c in sorted(mine.columns)) for r in mine.collect()), key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_its_oracle(spark, name):
-    con = duckdb.connect()
+    con, sf_dir = duckdb.connect(), SMALLEST
+    try:
+        columns, got = _rows(spark, name, sf_dir)
+    except Exception as error:  # the smallest tables have fewer candidates than some budgets ask for
+        assert "budget is larger" in str(error)
+        sf_dir = SF
+        columns, got = _rows(spark, name, sf_dir)
     for t in ("part", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    mine = QUERIES[name](spark, SF)
-    got = sorted((tuple(r[c] for c in sorted(mine.columns)) for r in mine.collect()), key=repr)
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cursor = con.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
     want = sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in cursor.fetchall()), key=repr)
-    assert sorted(names) == sorted(mine.columns) and len(got) == len(want)
+    assert sorted(names) == sorted(columns) and len(got) == len(want)
     assert all(_same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
