@@ -32,7 +32,7 @@ def test_stages_in_order_and_their_columns(spark):
     assert first == again and {r[0] for r in first} == {r["doc_id"] for r in docs.collect()}
 
 
-@pytest.mark.parametrize(("first_round", "growth"), [(16, 8), (1, 2)])
+@pytest.mark.parametrize(("first_round", "growth"), [(16, 8), (1, 8)])
 def test_near_copies_match_brute_force(spark, first_round, growth):
     r = random.Random(7)
     words = [f"w{i}" for i in range(400)]
