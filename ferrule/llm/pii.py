@@ -35,8 +35,9 @@ LABELS, UNKNOWN = SECRET + 1, SECRET + 1
 ATTRIBUTES = (9, 3, 5, 2, 2, 2, 2, 2, 2)
 CELLS = int(np.prod(ATTRIBUTES))
 DIGIT_STEPS = (1, 4, 7, 10, 14, 16, 17, 20)
-#: Weight that each label's cases have together at most, and the penalty of squared weights.
-EVIDENCE, RIDGE = 1000.0, 0.1
+#: Weight that each label's cases have together at most, the penalty of squared weights, and the weight that two
+#: occurrences of one kind have beforehand, from which (as from zero, the others) the penalty counts.
+EVIDENCE, RIDGE, SAME = 1000.0, 0.1, 6.0
 NEWTON_STEPS = 40
 #: Own log odds of a kind over outside are kept within these, so that one certain repeat decides.
 AGAINST, FOR = 2.5, 4.0
@@ -232,7 +233,9 @@ def fit(counted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Own (cell x label), chain and skip potentials of the greatest penalised pseudo-likelihood, by Newton's method."""
     wide, square = sum(ATTRIBUTES), LABELS * LABELS
     size = wide * LABELS + 2 * square + 1  # the last: one kind at both ends of a skip edge, whichever it is
-    theta = np.zeros(size)
+    before_all = np.zeros(size)
+    before_all[-1] = SAME
+    theta = before_all.copy()
     if len(counted):
         weight = counted[:, 2].astype(float)
         totals = np.bincount(counted[:, 1], weight, LABELS)
@@ -264,7 +267,8 @@ def fit(counted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             return out
 
         def measure(theta: np.ndarray, slopes: bool = True):
-            loss, slope, curve = 0.5 * RIDGE * theta @ theta, RIDGE * theta, RIDGE * np.eye(size)
+            moved = theta - before_all
+            loss, slope, curve = 0.5 * RIDGE * moved @ moved, RIDGE * moved, RIDGE * np.eye(size)
             for lo in range(0, len(own), 256):
                 rows = slice(lo, lo + 256)
                 x, y = features(rows), amounts[rows]
