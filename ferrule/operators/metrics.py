@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import gcd
+from .numbering import running_sum
 from .rankers import BRANCH
 from .splits import BUDGETS, POLICIES, integers, policy_groups, selected_systems, universe
 
@@ -42,8 +43,7 @@ def pu_metrics(ranked: DataFrame, budgets: Sequence[int] = BUDGETS, keys: Sequen
 
 def running_hits(ranked: DataFrame, keys: Sequence[str] = (*BRANCH, "method")) -> DataFrame:
     """Adds the held-out count down to each rank."""
-    order = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("running_hits", F.sum(F.col("heldout").cast("long")).over(order))
+    return running_sum(ranked, [F.asc("rank")], keys, F.col("heldout").cast("long"), "running_hits")
 
 
 def bench_metrics(ranking: DataFrame, candidates: DataFrame, training: DataFrame, budgets: Sequence[int]) -> DataFrame:

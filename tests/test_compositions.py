@@ -15,7 +15,7 @@ from ferrule.functions import formula as fm
 from ferrule.functions.elements import SYMBOLS
 from ferrule.functions.formula import Composition
 from ferrule.operators import query, validate
-from ferrule.operators.numbering import numbered
+from ferrule.operators.numbering import numbered, running_sum
 from ferrule.sources import jsonl, scores, sinks, tsv
 
 BIG = "9223372036854775807"
@@ -98,6 +98,10 @@ def test_numbered_matches_a_global_window(spark):
     for k in ("a", "b", None):
         mine = {x: i + 1 for i, x in enumerate(sorted((x for x in rows if x[2] == k), key=lambda x: (-x[0], x[1])))}
         assert {tuple(g)[:3]: g["place"] for g in numbered(df, order, ["k"], "place").where(F.col("k").eqNullSafe(F.lit(k))).collect()} == mine
+    sums, so_far = {}, {}
+    for x in sorted(rows, key=lambda x: (-x[0], x[1])):
+        sums[x] = so_far[x[2]] = so_far.get(x[2], 0) + len(x[1].strip("f0"))
+    assert {tuple(g)[:3]: g["sum"] for g in running_sum(df, order, ["k"], F.length(F.expr("trim(BOTH 'f0' FROM f)")).cast("long"), "sum").collect()} == sums
     plan = numbered(df, order)._jdf.queryExecution().toString()
     assert "Window" not in plan and numbered(df.where("false"), order, ["k"]).count() == 0
 
