@@ -24,7 +24,7 @@ BLOCK = 192
 RATE = 8000
 FRAME, HOP = 256, 128
 #: The region that a peak tops, and the first bin above the taper's leak of the mean.
-TIME_AROUND, BINS_AROUND, LOWEST_BIN = 2, 16, 2
+TIME_AROUND, BINS_AROUND, LOWEST_BIN = 1, 8, 2
 #: Peaks that a peak is paired with, and the farthest in frames.
 FAN, REACH = 3, 63
 #: Frames transformed at once, so that long texts need bounded memory.

@@ -259,7 +259,7 @@ def slow_feature(samples):
     signal += [signal[-1]] * (256 + (count - 1) * 128 - len(signal))
     frames = np.array([signal[128 * i : 128 * i + 256] for i in range(count)])
     loud = np.abs(np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * np.hanning(256), axis=1))
-    found = [(t, f) for t in range(count) for f in range(2, 129) if loud[t, f] > 1e-3 and loud[t, f] == loud[max(0, t - 2) : t + 3, max(2, f - 16) : f + 17].max()]
+    found = [(t, f) for t in range(count) for f in range(2, 129) if loud[t, f] > 1e-3 and loud[t, f] == loud[max(0, t - 1) : t + 2, max(2, f - 8) : f + 9].max()]
     pairs = [(t, (f << 14) | (g << 6) | (u - t)) for i, (t, f) in enumerate(found) for u, g in found[i + 1 : i + 4] if u - t <= 63]
     return ",".join(f"{t:x}:{c:x}" for t, c in sorted(pairs))
 
