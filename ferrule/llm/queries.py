@@ -10,6 +10,7 @@ from .oracles import OP2_ORACLE, OP8_ORACLE
 from .packing import op5_packing
 from .pii import op3_personal_data
 from .quality import op8_quality_rules
+from .resampling import OP11_ORACLE, op11_importance_resampling
 from .simhash import op1_simhash_near_dedup
 from .suffix import op2_suffix_dedup
 from .warc import OP9_ORACLE, op9_warc
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2_ORACLE, "op6_mixing": OP6_ORACLE, "op8_quality_rules": OP8_ORACLE, "op9_warc": OP9_ORACLE}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2_ORACLE, "op6_mixing": OP6_ORACLE, "op8_quality_rules": OP8_ORACLE, "op9_warc": OP9_ORACLE, "op11_importance_resampling": OP11_ORACLE}

@@ -12,7 +12,8 @@ from ferrule.llm.queries import ORACLES, QUERIES
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
+    assert numbers == list(range(1, len(numbers) + 1)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_stages_in_order_and_their_columns(spark):
