@@ -134,13 +134,19 @@ def weighted(rows: DataFrame, gain: np.ndarray, id_col: str, seed: int = SEED) -
     return rows.select(id_col, "__buckets", *others).mapInArrow(run, schema)
 
 
-def ranked(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", grams: int = GRAMS, buckets: int = BUCKETS, seed: int = SEED, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs' columns but text, n_features, weight, score and rank: 1, 2, 3 ... over the drawn documents, null for the rest.
+def ranked(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The id, n_features, weight, score and rank: 1, 2, 3 ... over the drawn documents, null for the rest.
+
+    Settings are grams, buckets, seed, min_words and percent. Other columns of both tables are ignored, whatever their names.
 
     Null and empty texts have no features and weight 0, and are never drawn while min_words is above 0. Repeated rows
     are drawn one by one; ties go to the smaller id, then to fewer features, a null id last. An empty target leaves
     the corpus' own rarity to decide, and an empty table gives no rows. Texts of any length are taken whole.
     """
+    return _ranked(docs.select(id_col, "text"), target, id_col, **settings)
+
+
+def _ranked(docs: DataFrame, target: DataFrame, id_col: str, grams: int = GRAMS, buckets: int = BUCKETS, seed: int = SEED, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     if not 0 <= percent <= 100 or grams < 1 or buckets < 1:
         raise ValueError("percent is 0 to 100, and there is at least one bucket and one word in a feature")
     work = Workspace(docs.sparkSession, "resampling")
@@ -152,21 +158,20 @@ def ranked(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", grams: in
     order = [F.desc("score"), F.asc_nulls_last(id_col), F.asc("__features")]
     placed = numbered(scored.where(fits), order, (), "__rank").withColumn("rank", F.when(F.col("__rank") <= n, F.col("__rank"))).drop("__rank")
     rest = scored.where(~fits).withColumn("rank", F.lit(None).cast("long"))
-    return placed.unionByName(rest).withColumnRenamed("__features", "n_features").drop("__words")
+    return placed.unionByName(rest).select(*[c for c in docs.columns if c != "text"], F.col("__features").alias("n_features"), "weight", "score", "rank")
 
 
 def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """The drawn documents with all their columns; settings as for ``ranked``."""
     work = Workspace(docs.sparkSession, "resample")
     whole = work.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")  # written, so that a row keeps its number
-    slim = whole.select("__row", F.col(id_col).alias("__id"), F.col("text").cast("string").alias("text"))
-    drawn = ranked(slim, target, "__id", **settings).where("rank IS NOT NULL").select("__row")
+    slim = whole.select("__row", F.col(id_col).alias("__doc"), "text")
+    drawn = _ranked(slim, target, "__doc", **settings).where("rank IS NOT NULL").select("__row")
     return whole.join(drawn, "__row", "left_semi").select(docs.columns)
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ranked(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 #: The 256 entries of the cyclic redundancy check's table, and the check of a list of bytes, in DuckDB's SQL.

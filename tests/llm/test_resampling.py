@@ -58,7 +58,7 @@ def tables(spark, docs, target):
 def test_ranks_match_plain_loops(spark, grams, buckets, percent):
     docs, target = fixture()
     left, right = tables(spark, docs, target)
-    found = resampling.ranked(left.select("doc_id", "text"), right, grams=grams, buckets=buckets, percent=percent)
+    found = resampling.ranked(left, right, grams=grams, buckets=buckets, percent=percent)
     assert found.columns == ["doc_id", "n_features", "weight", "score", "rank"]
     assert sorted(map(tuple, found.collect()), key=str) == plain(docs, target, grams, buckets, percent=percent)
 
@@ -86,8 +86,8 @@ def test_drawn_documents_keep_their_columns(spark):
 def test_empty_tables(spark):
     docs, target = fixture(5)
     left, right = tables(spark, docs, target)
-    assert resampling.ranked(left.limit(0).select("doc_id", "text"), right).collect() == []
-    alone = resampling.ranked(left.select("doc_id", "text"), right.limit(0)).collect()
+    assert resampling.ranked(left.limit(0), right).collect() == []
+    alone = resampling.ranked(left, right.limit(0)).collect()
     assert sorted(map(tuple, alone), key=str) == plain(docs, [])
     with pytest.raises(ValueError, match="percent"):
         resampling.ranked(left, right, percent=101)
