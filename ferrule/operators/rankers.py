@@ -4,24 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..functions.elements import SYMBOLS
 from ..functions.formula import parse_each
 from ..plans.workspace import Workspace
+from .nearest import nearest
 from .numbering import numbered
 from .query import InvalidRecords
 from .splits import integers
 
 PU_METHODS = ("random", "popularity", "similarity")
 BENCH_METHODS = ("score", "popularity", "random")
-#: Vectors that one similarity block holds, and tasks over which a branch's blocks are dealt at least.
-BLOCK, SPREAD = 1024, 8
 BRANCH = ["design", "policy", "seed"]
 
 
@@ -45,47 +40,6 @@ def popularity(candidates: DataFrame, training: DataFrame, keys: Sequence[str] =
     return joined.withColumn("value", total / (F.size("species") * F.col("__t"))).drop("__n", "__t")
 
 
-def _blocks(rows: DataFrame, keys: list[str], name: str, item) -> DataFrame:
-    """Rows of each branch dealt by hash into lists of about BLOCK items."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("__of"))
-    dealt = rows.join(sizes, keys).withColumn("__block", F.pmod(F.xxhash64("composition"), F.col("__of")))
-    return dealt.groupBy(*keys, "__block").agg(F.collect_list(item).alias(name)).drop("__block")
-
-
-def max_similarity(candidates: DataFrame, training: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, composition, value): the largest cosine to any training composition of the branch.
-
-    Both sides are packed into blocks of bounded size. Each block of candidates meets each training block of
-    its branch, a dense product gives every candidate's largest value in it, and partial maxima are combined before
-    the shuffle: the stated all-pairs work, but no pair is ever a row.
-    """
-    keys = list(keys)
-    mine = _blocks(candidates, keys, "mine", F.struct("composition", "terms"))
-    mine = mine.withColumn("__task", F.pmod(F.xxhash64(F.col("mine")[0]["composition"]), F.lit(SPREAD).cast("long")))
-    them = _blocks(training, keys, "them", F.col("terms")).withColumn("__task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
-    rows = mine.join(them, [*keys, "__task"])
-    symbols = pa.array(SYMBOLS)
-
-    def dense(terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((len(terms), len(SYMBOLS)))
-        symbol, amount = terms.flatten().flatten()
-        out[np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy()), pc.index_in(symbol, symbols).to_numpy()] = amount.to_numpy()
-        return out, np.sqrt((out * out).sum(axis=1))
-
-    def run(batches):
-        for batch in batches:
-            for n in range(len(batch)):
-                name, terms = batch.column(len(keys))[n].values.flatten()
-                a, long_a = dense(terms)
-                b, long_b = dense(batch.column(len(keys) + 1)[n].values)
-                best = np.clip((a @ b.T) / (long_a[:, None] * long_b), 0.0, 1.0).max(axis=1)
-                same = [pa.array([batch.column(i)[n].as_py()] * len(name), batch.schema.types[i]) for i in range(len(keys))]
-                yield pa.record_batch([*same, name, pa.array(best)], [*keys, "composition", "value"])
-
-    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "composition string", "value double"])
-    return rows.select(*keys, "mine", "them").mapInArrow(run, schema).groupBy(*keys, "composition").agg(F.max("value").alias("value"))
-
-
 def split_sides(split: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates and training of a split with formula columns; formulas are parsed once, not once a branch. The rows are written once for both."""
     parsed = parse_each(split.select("composition").distinct()).select("composition", "terms", "species")
@@ -109,7 +63,7 @@ def pu_rank(split: DataFrame, methods: Sequence[str] = PU_METHODS, tie_seed: int
     if "popularity" in methods:
         parts.append(popularity(candidates, training, BRANCH).select(*BRANCH, F.lit("popularity").alias("method"), "composition", F.col("value").alias("score"), F.lit(None).cast("string").alias("random_key")))
     if "similarity" in methods:
-        parts.append(max_similarity(candidates, training, BRANCH).select(*BRANCH, F.lit("similarity").alias("method"), "composition", F.col("value").alias("score"), F.lit(None).cast("string").alias("random_key")))
+        parts.append(nearest(candidates, training, BRANCH).select(*BRANCH, F.lit("similarity").alias("method"), "composition", F.col("value").alias("score"), F.lit(None).cast("string").alias("random_key")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

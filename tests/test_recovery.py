@@ -1,16 +1,19 @@
 """Audit, splits, rankings, metrics, the pair model, and every registered query against its oracle."""
 
 import math
+import random
 from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from ferrule.functions import hashing
-from ferrule.operators import audit, metrics, pairmodel, rankers, splits
+from ferrule.functions.elements import SYMBOLS
+from ferrule.operators import audit, metrics, nearest, pairmodel, rankers, splits
 from ferrule.plans import experiments
 from ferrule.queries import ORACLES, QUERIES
 
@@ -51,18 +54,68 @@ def _split(spark, training, candidates, heldout=()):
     return spark.createDataFrame(rows, "design string, policy string, seed long, composition string, system string, mixed boolean, role string, heldout boolean")
 
 
-def test_similarity_values_and_blocks(spark):
+def test_similarity_values(spark):
     split = _split(spark, ["Li1Na1O3", "Li3Na1O1"], ["Li1Na3O1", "Li3Na1O3", "Fe1K1O2"])
     value = {r["composition"]: r["score"] for r in rankers.pu_rank(split, ("similarity",)).collect()}
     slow = {}
     for c, v in {"Li1Na3O1": (1, 3, 1), "Li3Na1O3": (3, 1, 3)}.items():
         slow[c] = max(sum(a * b for a, b in zip(v, t, strict=True)) / (math.sqrt(sum(a * a for a in v)) * math.sqrt(11.0)) for t in ((1, 1, 3), (3, 1, 1)))
     assert value["Li1Na3O1"] == slow["Li1Na3O1"] and value["Li3Na1O3"] == slow["Li3Na1O3"]
-    old, rankers.BLOCK = rankers.BLOCK, 1
-    try:
-        assert {r["composition"]: r["score"] for r in rankers.pu_rank(split, ("similarity",)).collect()} == value
-    finally:
-        rankers.BLOCK = old
+
+
+def _plain_cosine(a, b):
+    shared = sum(n * dict(b).get(s, 0) for s, n in a)
+    return min(1.0, shared / (math.sqrt(sum(n * n for _, n in a)) * math.sqrt(sum(n * n for _, n in b))))
+
+
+def _terms(r, n, least=1):
+    symbols = [*SYMBOLS[:20], "O", "O", "O"]
+    return [tuple(sorted({r.choice(symbols): r.choice([1, 1, 2, 3, 7, 10**6]) for _ in range(r.randint(least, 5))}.items())) for _ in range(n)]
+
+
+def _arrow(rows):
+    return pa.array([[{"symbol": s, "amount": n} for s, n in t] for t in rows], pa.list_(pa.struct([("symbol", pa.string()), ("amount", pa.int64())])))
+
+
+@pytest.mark.parametrize(("blocks", "first"), [(1, 16), (7, 1), (40, 3)])
+def test_postings_find_the_largest_cosine(monkeypatch, blocks, first):
+    r = random.Random(blocks)
+    mine, them = _terms(r, 60), _terms(r, 400)
+    monkeypatch.setattr(nearest, "FIRST", first)
+    monkeypatch.setattr(nearest, "INDEXED", len(them) // blocks)
+    monkeypatch.setattr(nearest, "AT_ONCE", 64)
+    search = nearest.Search()
+    search.add(pa.record_batch([_arrow(mine)], ["terms"]), False)
+    for t in range(0, len(them), 10):
+        search.add(pa.record_batch([_arrow(them[t : t + 10])], ["terms"]), True)
+    rows = [r for b in search.result(["terms"]) for r in b.to_pylist()]
+    assert [x["value"] for x in rows] == [max(_plain_cosine(a, b) for b in them) for a in mine]
+    assert all(x["pool"] == len(them) for x in rows)
+
+
+def test_no_more_than_bounds_allow_is_looked_at():
+    """Where a candidate has a close neighbour, the lists are left early."""
+    r = random.Random(1)
+    them = _terms(r, 20_000, 3)
+    mine = [tuple((s, n * 50 + 1) for s, n in t) for t in them[:200]]
+    search = nearest.Search()
+    search.add(pa.record_batch([_arrow(mine)], ["terms"]), False)
+    search.add(pa.record_batch([_arrow(them)], ["terms"]), True)
+    rows = [x for b in search.result(["terms"]) for x in b.to_pylist()]
+    looked = sum(x["looked"] for x in rows) / sum(x["pool"] for x in rows)
+    print(f"looked at {looked:.4f} of all pairs")
+    assert looked < 0.2 and [x["value"] for x in rows[:20]] == [max(_plain_cosine(a, b) for b in them) for a in mine[:20]]
+
+
+def test_groups_of_candidates_meet_all_training(spark):
+    r = random.Random(2)
+    kind = "seed long, composition string, terms array<struct<symbol: string, amount: bigint>>"
+    mine = [(seed, f"c{i}", [{"symbol": s, "amount": n} for s, n in t]) for seed in (0, 1, 2) for i, t in enumerate(_terms(r, 30))]
+    them = [(seed, f"t{i}", [{"symbol": s, "amount": n} for s, n in t]) for seed in (0, 1, 3) for i, t in enumerate(_terms(r, 50))]
+    found = nearest.nearest(spark.createDataFrame(mine, kind), spark.createDataFrame(them, kind), ["seed"], group=4).collect()
+    flat = lambda t: [(x["symbol"], x["amount"]) for x in t]
+    want = {(s, c): max(_plain_cosine(flat(t), flat(u)) for z, _, u in them if z == s) for s, c, t in mine if s < 2}
+    assert {(x["seed"], x["composition"]): x["value"] for x in found} == want and {x["pool"] for x in found} == {50}
 
 
 def test_popularity_counts_an_element_once_and_unseen_as_zero(spark):
