@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions.formula import with_composition
 from .operators import audit, metrics, query, rankers, splits, validate, verify
 from .plans import experiments
-from .sources import jsonl, scores, sinks, tsv
+from .sources import jsonl, scores, sinks, sqlite_sink, tsv
 
 
 def session() -> SparkSession:
@@ -113,10 +113,11 @@ def run(args: argparse.Namespace, to=None) -> int:
         for r in found.orderBy("rank").toLocalIterator():
             say("%s   %.5f" % (r["formula"], r["score"]) + ("   %.5f" % r["ranking_value"] if args.reference else ""))
     elif args.command == "import":
+        write = sqlite_sink.import_sqlite if args.database.endswith((".sqlite", ".db")) else sinks.import_scores
         if args.input.endswith(".tsv"):
-            say(sinks.import_tsv(spark, args.input, args.database, args.source, args.duplicates))
+            say(sinks.import_tsv(spark, args.input, args.database, args.source, args.duplicates, write))
         else:
-            say(sinks.import_scores(load(spark, args.input), args.database, args.source, args.duplicates))
+            say(write(load(spark, args.input), args.database, args.source, args.duplicates))
     elif args.command == "validate":
         if args.database.endswith((".sqlite", ".db")):
             scores.quick_check(args.database)

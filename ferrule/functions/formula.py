@@ -110,7 +110,8 @@ def with_composition(df: DataFrame, column: str = "composition") -> DataFrame:
     """
     if df.isStreaming:
         return parse_each(df, column)
-    parsed = parse_each(df.select(F.col(column).alias("__text")).where("__text IS NOT NULL").distinct(), "__text")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not made smaller: texts are short, but slow to parse
+    parsed = parse_each(df.select(F.col(column).alias("__text")).where("__text IS NOT NULL").distinct().repartition(tasks), "__text")
     joined = df.join(parsed, F.col(column) == F.col("__text"), "left").drop("__text")
     return joined.withColumn("formula_error", F.when(F.col(column).isNull(), "invalid_record").otherwise(F.col("formula_error")))
 

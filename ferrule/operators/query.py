@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from abc import ABC, abstractmethod
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -102,9 +102,13 @@ def ranking_values(df: DataFrame, method: RankingMethod) -> DataFrame:
     return df.withColumn("ranking_value", method.value(F.col("formula"), F.col("terms"), F.col("score")).cast("double"))
 
 
-def rank_compositions(df: DataFrame, method: RankingMethod | None = None, check: bool = True) -> DataFrame:
-    """Rows by value, then stored score, then formula; duplicates stay. Adds ranking_value and rank."""
-    valued = Workspace(df.sparkSession, "ranking").keep(ranking_values(df, method or ScoreRanking()), "values")
+def rank_compositions(df: DataFrame, method: RankingMethod | None = None, check: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows by value, then stored score, then formula; duplicates stay. Adds ranking_value and rank.
+
+    ``columns``, with formula and score among them, are what the ranking keeps: the order is written, so others cost.
+    """
+    valued = ranking_values(df, method or ScoreRanking())
+    valued = Workspace(df.sparkSession, "ranking").keep(valued.select(*columns, "ranking_value") if columns else valued, "values")
     if check:
         require_valid(valued.withColumn("__bad", score_error(F.col("ranking_value"))), "__bad")
     return numbered(valued, [F.desc("ranking_value"), F.desc("score"), F.asc("formula")])

@@ -38,6 +38,13 @@ class Workspace:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def file(self, name: str) -> str:
+        """A path for a file that is no Spark table; the shared folder must then be a mounted one."""
+        where = self._system(self.path(name))[1].toUri()
+        if where.getScheme() not in (None, "file"):
+            raise ValueError(f"{self.root} is no folder that all machines mount")
+        return where.getPath()
+
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"

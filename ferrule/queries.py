@@ -11,6 +11,8 @@ from .functions import formula as fm
 from .operators import analysis, audit, metrics, pairmodel, query, rankers, splits, validate
 from .plans import oracles as sql
 from .plans.derived import AUDITED, CLEAN, LEGACY, SCORED, canonical, clean, groups, legacy, records, scored
+from .plans.workspace import Workspace
+from .sources import scores, sinks, sqlite_sink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,7 +120,7 @@ def query_strict(spark, sf):
 
 @registered(f"WITH {CLEAN} SELECT formula, score, row_number() OVER (ORDER BY score DESC, formula) AS rank FROM clean")
 def rank_score(spark, sf):
-    return query.rank_compositions(clean(spark, sf), check=False).select("formula", "score", "rank")
+    return query.rank_compositions(clean(spark, sf), check=False, columns=["formula", "score"]).select("formula", "score", "rank")
 
 
 @registered(
@@ -130,7 +132,7 @@ def rank_score(spark, sf):
 )
 def rank_similarity(spark, sf):
     rows = query.matching(scored(spark, sf), query.QueryFilters.of(threshold=0.5))
-    return query.rank_compositions(rows, query.SimilarityRanking(REFERENCE), check=False).select("formula", "score", "ranking_value", "rank")
+    return query.rank_compositions(rows, query.SimilarityRanking(REFERENCE), check=False, columns=["formula", "score"]).select("formula", "score", "ranking_value", "rank")
 
 
 class PerElement(query.RankingMethod):
@@ -143,7 +145,7 @@ class PerElement(query.RankingMethod):
 @registered(f"WITH {CLEAN}, w AS (SELECT formula, score, score / nary AS ranking_value FROM clean WHERE score >= 0.5) SELECT *, row_number() OVER (ORDER BY ranking_value DESC, score DESC, formula) AS rank FROM w")
 def rank_custom(spark, sf):
     rows = query.matching(scored(spark, sf), query.QueryFilters.of(threshold=0.5))
-    return query.rank_compositions(rows, PerElement(), check=False).select("formula", "score", "ranking_value", "rank")
+    return query.rank_compositions(rows, PerElement(), check=False, columns=["formula", "score"]).select("formula", "score", "ranking_value", "rank")
 
 
 @registered(f"WITH {CLEAN} SELECT tab, count(*) AS n, min(score) AS least, max(score) AS most FROM clean WHERE tab IN (2, 4) GROUP BY tab")
@@ -151,6 +153,25 @@ def scan_partition_by_arity(spark, sf):
     return clean(spark, sf).where("tab IN (2, 4)").groupBy("tab").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
 
 
+@registered(f"WITH {CLEAN} SELECT formula AS composition, score FROM clean WHERE tab = 3 AND score > 0.3 AND score <= 0.9")
+def scan_imported_sqlite(spark, sf):
+    """Import the ternary rows into a SQLite file, then leave the range of scores to it."""
+    row = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("source_row")
+    path = Workspace(spark, "sqlite").file("ternary.db")
+    sqlite_sink.import_sqlite(clean(spark, sf).where("tab = 3").select("composition", "score", row), path, "lineitem", "keep")
+    return scores.read_scores(spark, path, where=[("score", ">", 0.3), ("score", "<=", 0.9)])
+
+
+@registered(
+    f"""WITH {CLEAN}, lines AS (SELECT formula || chr(9) || CASE WHEN score >= 0.0001 AND score < 1000000 THEN score::VARCHAR END || chr(10) AS line, formula, score, l_orderkey * 8 + l_linenumber AS place FROM clean)
+    SELECT count(*) AS n, sha256(string_agg(line, '' ORDER BY place, formula, score)) AS records_sha256 FROM lines"""
+)
+def import_digest(spark, sf):
+    """The digest of all imported rows in order of their source rows."""
+    rows = clean(spark, sf).select(F.col("formula").alias("composition"), "score", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("source_row"))
+    return sinks.records_digests(rows)
+
+
 # Validation and import
 
 CHECKED = f"""{SCORED}, checked AS (SELECT *, CASE WHEN composition IS NULL THEN 'invalid_record' WHEN score IS NULL THEN 'invalid_score'

@@ -9,14 +9,16 @@ import shutil
 import uuid
 from collections.abc import Iterable, Mapping
 from contextlib import contextmanager
+from decimal import Decimal
 from itertools import chain
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formula import Composition, with_composition
-from ..operators.numbering import numbered
 from ..operators.query import InvalidRecords, require_valid, validated
 from ..operators.validate import imported
 from ..plans.workspace import Workspace
@@ -24,8 +26,9 @@ from .jsonl import read_jsonl
 from .lines import numbered_lines
 from .tsv import read_scored
 
-#: Rows that are hashed as one text.
-DIGEST_ROWS = 1 << 16
+#: Lines of a block of text that is hashed at once, and bytes of blocks that a task hands on together.
+BLOCK_LINES, HELD_BYTES = 256, 4 << 20
+BLOCKS = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("n", pa.int64()), ("block", pa.binary())])
 
 
 @contextmanager
@@ -127,23 +130,52 @@ def new_folder(spark: SparkSession, path: str):
         system.delete(making, True)
 
 
+def score_text(x: float) -> str:
+    """The fewest digits that read back: plain from 0.0001 up to a million, and beyond as digits, e and the power without sign or zeros to fill."""
+    if x == 0 or 1e-4 <= abs(x) < 1e6:
+        return repr(x)
+    sign, digits, _ = (number := Decimal(repr(x))).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    return f"{'-' * sign}{text[0]}.{text[1:] or '0'}e{number.adjusted()}"
+
+
 def records_digest(rows: DataFrame) -> str:
-    """SHA-256 of formula, tab, score and line end of every row by source_row.
+    return records_digests(rows).first()["records_sha256"]
+
+
+def records_digests(rows: DataFrame) -> DataFrame:
+    """(n, records_sha256) of one row: SHA-256 of formula, tab, score and line end of every row in order of source_row, the same at any size.
 
-    Blocks of DIGEST_ROWS rows are hashed where they lie, then the blocks' hashes in the same way until one is left;
-    up to DIGEST_ROWS rows that is the plain hash of the text.
+    Tasks sort their range of rows and make blocks of its text. A digest is one chain of states, so one task reads the
+    blocks in their order; it holds one batch of them, and nothing passes the driver but the result.
     """
-    text = F.concat_ws("\t", "composition", F.col("score").cast("string"))
-    now = numbered(rows.select("source_row", F.concat(text, F.lit("\n")).alias("text")), [F.asc("source_row"), F.asc("text")], (), "at")
-    while True:
-        block = F.floor((F.col("at") - 1) / DIGEST_ROWS).alias("block")
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
-        hashed = now.groupBy(block).agg(F.sha2(joined, 256).alias("text"))
-        hashed = Workspace(rows.sparkSession, "digest").keep(hashed.select((F.col("block") + 1).alias("at"), "text"), "blocks")
-        if hashed.count() <= 1:
-            found = hashed.first()
-            return found["text"] if found else hashlib.sha256(b"").hexdigest()
-        now = hashed
+    def blocks(batches):
+        part, place, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            texts = [f"{c}\t{score_text(s)}\n" for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            for at in range(0, len(texts), BLOCK_LINES):
+                some = "".join(texts[at : at + BLOCK_LINES]).encode()
+                held.append((part, place, len(texts[at : at + BLOCK_LINES]), some))
+                place, size = place + 1, size + len(some)
+                if size >= HELD_BYTES:
+                    yield pa.RecordBatch.from_pylist([dict(zip(BLOCKS.names, x, strict=True)) for x in held], BLOCKS)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(BLOCKS.names, x, strict=True)) for x in held], BLOCKS)
+
+    def chain_up(batches):
+        digest, n = hashlib.sha256(), 0
+        for batch in batches:
+            n += sum(batch.column(0).to_pylist())
+            for block in batch.column(1):
+                digest.update(block.as_buffer())
+        yield pa.record_batch([pa.array([n]), pa.array([digest.hexdigest()])], ["n", "records_sha256"])
+
+    order = ["source_row", "composition", "score"]
+    dealt = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    written = Workspace(rows.sparkSession, "digest").keep(dealt.select("composition", F.col("score").cast("double").alias("score")).mapInArrow(blocks, "part int, place long, n long, block binary"), "blocks")
+    chained = written.repartition(1).sortWithinPartitions("part", "place").select("n", "block").mapInArrow(chain_up, "n long, records_sha256 string")
+    return chained.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.max("records_sha256"), F.lit(hashlib.sha256(b"").hexdigest())).alias("records_sha256"))
 
 
 def import_scores(table: DataFrame, path: str, source: str, policy: str = "error", row: str = "source_row", further: Mapping[str, str] | None = None) -> dict:
@@ -163,11 +195,11 @@ def import_scores(table: DataFrame, path: str, source: str, policy: str = "error
     return metadata
 
 
-def import_tsv(spark: SparkSession, path: str, target: str, source: str, policy: str = "error") -> dict:
+def import_tsv(spark: SparkSession, path: str, target: str, source: str, policy: str = "error", write=import_scores) -> dict:
     """Import a scored TSV; source_sha256 is the hash of the file's bytes."""
     with open(path, "rb") as f:
         digest = hashlib.file_digest(f, "sha256").hexdigest()
-    return import_scores(read_scored(spark, path), target, source, policy, further={"source_sha256": digest})
+    return write(read_scored(spark, path), target, source, policy, further={"source_sha256": digest})
 
 
 def import_records(spark: SparkSession, records: Iterable, path: str, source: str, policy: str = "error") -> dict:

@@ -117,7 +117,9 @@ def test_custom_ranking_must_be_finite(table):
 
 def test_sqlite_standard_and_legacy(spark, tmp_path):
     path = str(tmp_path / "a%b#.db")
-    scores.write_scores([(c, s, c, i) for i, (c, s) in enumerate(TABLE)], path)
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE compositions (composition TEXT NOT NULL, score REAL NOT NULL)")
+        db.executemany("INSERT INTO compositions VALUES (?, ?)", TABLE)
     assert scores.database_info(path) == {"schema": "standard", "tables": [("compositions", None, False)]}
     assert sorted(map(tuple, scores.read_scores(spark, path).collect())) == sorted(TABLE)
     legacy = str(tmp_path / "legacy.sqlite")
