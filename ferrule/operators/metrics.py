@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import gcd
+from ..plans.workspace import Workspace
 from .numbering import running_sum
 from .rankers import BRANCH
+from .selection import nearest_ranks, ordered_sum
 from .splits import BUDGETS, POLICIES, integers, policy_groups, selected_systems, universe
 
 
+#: Shares of a group's values that diagnostics report by name.
+QUANTILES = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+
+
 def with_budgets(df: DataFrame, budgets: Sequence[int]) -> DataFrame:
     return df.withColumn("budget", F.explode(F.array(*[F.lit(b).cast("long") for b in integers(budgets, "budgets", 1)])))
 
@@ -120,17 +126,13 @@ def populations(split: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(ordered: Column, p: float) -> Column:
-    """The value at max(1, ceil(p n)) of a sorted array."""
-    return F.element_at(ordered, F.greatest(F.lit(1), F.ceil(F.lit(p) * F.size(ordered))).cast("int"))
-
-
 def diagnostics(values: DataFrame, keys: Sequence[str], value: str = "value", by: str = "composition") -> DataFrame:
     """n, mean (summed in order of ``by``), min, p10, median, p90, max and the shares of at least 0.9 and 0.99."""
-    rows = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, value))).alias("__rows"), F.array_sort(F.collect_list(value)).alias("__v"), F.count("*").alias("n"))
-    total = F.aggregate("__rows", F.lit(0.0), lambda s, r: s + r[value])
-    share = lambda t: F.size(F.filter("__v", lambda x: x >= t)) / F.col("n")
-    return rows.select(
-        *keys, "n", (total / F.col("n")).alias("mean"), F.element_at("__v", 1).alias("min"), nearest_rank(F.col("__v"), 0.1).alias("p10"), nearest_rank(F.col("__v"), 0.5).alias("median"),
-        nearest_rank(F.col("__v"), 0.9).alias("p90"), F.element_at("__v", -1).alias("max"), share(0.9).alias("fraction_ge_09"), share(0.99).alias("fraction_ge_099"),
-    )
+    keys = list(keys)
+    rows = Workspace(values.sparkSession, "diagnostics").keep(values.select(*keys, by, value), "values")
+    at_least = lambda t: (F.count_if(F.col(value) >= t) / F.count("*")).alias(f"fraction_ge_{str(t).replace('.', '')}")
+    flat = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), at_least(0.9), at_least(0.99))
+    found = nearest_ranks(rows, keys, value, list(QUANTILES.values()))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("share") == p, F.col(value))).alias(name) for name, p in QUANTILES.items()])
+    out = flat.join(ordered_sum(rows, keys, value, by), keys).join(wide, keys)
+    return out.select(*keys, "n", (F.col("total") / F.col("n")).alias("mean"), "min", *QUANTILES, "max", "fraction_ge_09", "fraction_ge_099")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ferrule.functions import hashing
 from ferrule.functions.elements import SYMBOLS
-from ferrule.operators import audit, metrics, nearest, pairmodel, rankers, splits
+from ferrule.operators import audit, metrics, nearest, pairmodel, rankers, selection, splits
 from ferrule.plans import experiments
 from ferrule.queries import ORACLES, QUERIES
 
@@ -142,6 +142,27 @@ def test_nearest_rank_and_concentration(spark):
     assert tuple(metrics.concentration(systems, ["k"]).first())[1:] == (0.3, 0.8)
 
 
+@pytest.mark.parametrize("bins", [2, 4096])
+def test_selection_matches_sorted_values(spark, bins):
+    r = random.Random(8)
+    groups = {
+        "one": [5.0], "ties": [0.5] * 40 + [0.25], "spread": [r.uniform(-1e300, 1e300) for _ in range(60)], "close": [1 + k * 2.0**-52 for k in range(50)], "tiny": [r.choice([0.0, 5e-324, 1e-310, -1e-320, 1.0]) for _ in range(70)],
+        "edges": [1.7e308, -1.7e308, 0.0], None: [r.random() for _ in range(200)],
+    }
+    rows = [(k, i, v) for k, values in groups.items() for i, v in enumerate(values)]
+    r.shuffle(rows)
+    table = spark.createDataFrame(rows, "k string, composition long, v double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = {(x["k"], x["share"]): (x["n"], x["v"]) for x in selection.nearest_ranks(table, ["k"], "v", shares, bins).collect()}
+    assert found == {(k, p): (len(v), sorted(v)[max(1, math.ceil(p * len(v))) - 1]) for k, v in groups.items() for p in shares}
+    assert selection.nearest_ranks(table.limit(0), ["k"], "v", shares).collect() == []
+    sums = {x["k"]: x["total"] for x in selection.ordered_sum(table, ["k"], "v", "composition").collect()}
+    plain = {}
+    for k, _, v in sorted(rows, key=lambda x: x[1]):
+        plain[k] = plain.get(k, 0.0) + v
+    assert sums == plain
+
+
 def test_pair_model_gradient_descent():
     r = np.random.RandomState(0)
     n = len(pairmodel.AXIS)
