@@ -136,7 +136,7 @@ def run(args: argparse.Namespace, to=None) -> int:
         rankers.check_bench(candidates, training, args.budget)
         ranking = rankers.bench_rank(candidates, training, args.methods, args.seeds)
         measured = metrics.bench_metrics(ranking, candidates, training, args.budget)
-        sinks.write_report({"candidates": ranking.orderBy("method", "seed", "rank"), "metrics": measured.orderBy("method", "seed", "budget")}, args.output, {"source": args.source})
+        sinks.write_report({"candidates": (ranking, ["method", "seed", "rank"]), "metrics": (measured, ["method", "seed", "budget"])}, args.output, {"source": args.source})
     elif args.command == "audit":
         documents = jsonl.read_jsonl(spark, args.snapshot)
         if args.metadata:
@@ -146,7 +146,7 @@ def run(args: argparse.Namespace, to=None) -> int:
         rows = audit.with_reason(documents.drop("line"))
         grouped = audit.groups(rows)
         summary = audit.summary(rows, grouped)
-        sinks.write_report({"compositions": audit.as_text(grouped).orderBy("composition"), "excluded": audit.excluded(rows).orderBy("material_id"), "summary": summary}, args.output, {"schema_version": 1})
+        sinks.write_report({"compositions": (audit.as_text(grouped), ["composition"]), "excluded": (audit.excluded(rows), ["material_id"]), "summary": (summary, [])}, args.output, {"schema_version": 1})
     elif args.command == "snapshot":
         say(sinks.write_snapshot(spark, args.documents, args.output, args.database_version))
     else:

@@ -92,4 +92,5 @@ def study(groups: DataFrame, name: str, seeds: Sequence[int] = splits.SEEDS, bud
 
 
 def write_experiment(tables: Mapping[str, DataFrame], path: str, config: Mapping) -> None:
-    write_report({k: v.orderBy(*[c for c in v.columns if v.schema[c].dataType.simpleString() not in ("double",)]) for k, v in tables.items() if k != "split"}, path, config)
+    order = lambda df: [c for c in df.columns if df.schema[c].dataType.simpleString() != "double"]
+    write_report({k: (v, order(v)) for k, v in tables.items() if k != "split"}, path, config)

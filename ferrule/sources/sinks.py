@@ -7,7 +7,7 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from contextlib import contextmanager
 from decimal import Decimal
 from itertools import chain
@@ -24,6 +24,7 @@ from ..operators.validate import imported
 from ..plans.workspace import Workspace
 from .jsonl import read_jsonl
 from .lines import numbered_lines
+from .texts import line, write_texts
 from .tsv import read_scored
 
 #: Lines of a block of text that is hashed at once, and bytes of blocks that a task hands on together.
@@ -51,28 +52,14 @@ def new_directory(path: str):
         raise
 
 
-def cell(value) -> str:
-    """Text of one value: blank for null, true or false, shortest text that reads back for floats."""
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, (list, tuple)):
-        return ";".join(map(cell, value))
-    text = repr(value) if isinstance(value, float) else str(value)
-    if any(c in text for c in "\t\r\n"):
-        raise ValueError(f"cell with a tab or line end: {text!r}")
-    return text
-
-
 def write_tsv(rows: Iterable, header: list[str], path: str | Path) -> str:
-    """Rows (a small report, or DataFrame.toLocalIterator()) as text with a header; returns the SHA-256."""
+    """A small report's rows as text with a header; returns the SHA-256. Tables go through write_texts."""
     digest = hashlib.sha256()
     with open(path, "xb") as to:
         for row in chain([header], rows):
-            line = ("\t".join(map(cell, row)) + "\n").encode()
-            digest.update(line)
-            to.write(line)
+            text = line(row).encode()
+            digest.update(text)
+            to.write(text)
     return digest.hexdigest()
 
 
@@ -225,41 +212,34 @@ def write_by_arity(table: DataFrame, path: str) -> None:
 
 def write_bundle(split: DataFrame, path: str, manifest: Mapping) -> None:
     """A split as text: per seed its training, candidates, heldout and labels, and a root manifest with the hash of each file."""
+    seeds = sorted(r["seed"] for r in split.select("seed").distinct().collect())
+    label = F.when(F.col("heldout"), "positive").otherwise("unlabelled")
+    parts = {
+        "inputs/training.tsv": (split.where("role = 'training'"), ["composition"]),
+        "inputs/candidates.tsv": (split.where("role = 'candidate'"), ["composition"]),
+        "evaluation/heldout.tsv": (split.where("heldout"), ["composition"]),
+        "evaluation/labels.tsv": (split.where("role = 'candidate'").withColumn("label", label), ["composition", "label"]),
+    }
     with new_directory(path) as root:
-        for (seed,) in sorted(map(tuple, split.select("seed").distinct().collect())):
-            rows = split.where(F.col("seed") == seed).orderBy("composition")
-            for folder in ("inputs", "evaluation"):
-                (root / f"split-{seed:02d}" / folder).mkdir(parents=True)
-            place = root / f"split-{seed:02d}"
-            parts = {
-                "inputs/training.tsv": rows.where("role = 'training'").select("composition"),
-                "inputs/candidates.tsv": rows.where("role = 'candidate'").select("composition"),
-                "evaluation/heldout.tsv": rows.where("heldout").select("composition"),
-                "evaluation/labels.tsv": rows.where("role = 'candidate'").select("composition", F.when(F.col("heldout"), "positive").otherwise("unlabelled").alias("label")),
-            }
-            for name, df in parts.items():
-                write_tsv((tuple(r) for r in df.toLocalIterator()), df.columns, place / name)
-        write_toml({**manifest, "files": inventory(root)}, root / "manifest.toml")
+        files = {}
+        for name, (rows, columns) in parts.items():
+            where = F.concat(F.format_string("split-%02d/", "seed"), F.lit(name))
+            files |= write_texts(rows, root, where, ["composition"], columns, [f"split-{s:02d}/{name}" for s in seeds])
+        write_toml({**manifest, "files": {k: digest for k, (_, digest) in files.items()}}, root / "manifest.toml")
 
 
 def write_snapshot(spark: SparkSession, documents: str, path: str, database_version: str) -> dict:
     """A synthetic snapshot from JSON lines: normalised records and documents in order of their ids, and metadata with count and hashes."""
     if not database_version.strip():
         raise ValueError("the database version must be given")
-    rows = read_jsonl(spark, documents).join(numbered_lines(spark, documents).select((F.col("line") + 1).alias("line"), "text"), "line").orderBy("material_id")
+    rows = read_jsonl(spark, documents).join(numbered_lines(spark, documents).select((F.col("line") + 1).alias("line"), F.rtrim(F.col("text"), F.lit("\r")).alias("text")), "line")
     columns = ["material_id", "composition", "theoretical", "source_ids", "normalization_issue"]
     with new_directory(path) as root:
-        records = write_tsv((tuple(r) for r in rows.select(columns).toLocalIterator()), columns, root / "records.tsv")
-        raw, n = hashlib.sha256(), 0
-        with open(root / "records.jsonl", "xb") as to:
-            for r in rows.select("text").toLocalIterator():
-                line = (r["text"].rstrip("\r") + "\n").encode()
-                raw.update(line)
-                to.write(line)
-                n += 1
+        _, table = write_texts(rows, root, "records.tsv", ["material_id"], columns)["records.tsv"]
+        n, raw = write_texts(rows, root, "records.jsonl", ["material_id"], ["text"], header=False)["records.jsonl"]
         if not n:
             raise InvalidRecords("a snapshot has at least one record")
-        metadata = {"schema_version": 2, "database_version": database_version, "is_synthetic": True, "redistribution_status": "synthetic fixture", "record_count": n, "records_sha256": raw.hexdigest(), "table_sha256": records}
+        metadata = {"schema_version": 2, "database_version": database_version, "is_synthetic": True, "redistribution_status": "synthetic fixture", "record_count": n, "records_sha256": raw, "table_sha256": table}
         write_toml(metadata, root / "snapshot.toml")
     return metadata
 
@@ -271,9 +251,10 @@ def write_json(values, path: str | Path) -> None:
         to.write("\n")
 
 
-def write_report(tables: Mapping[str, DataFrame], path: str, config: Mapping) -> None:
-    """Named result tables as TSV in a new directory, with config.toml holding the hash of each file."""
+def write_report(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], path: str, config: Mapping) -> None:
+    """Named result tables, each with the columns that order it, as TSV in a new directory, with config.toml holding the hash of each file."""
     with new_directory(path) as root:
-        for name, df in tables.items():
-            write_tsv((tuple(r) for r in df.toLocalIterator()), df.columns, root / f"{name}.tsv")
-        write_toml({**config, "files": inventory(root)}, root / "config.toml")
+        files = {}
+        for name, (df, order) in tables.items():
+            files |= write_texts(df, root, f"{name}.tsv", order)
+        write_toml({**config, "files": {k: digest for k, (_, digest) in files.items()}}, root / "config.toml")
