@@ -33,6 +33,11 @@ def method_summary(metrics: DataFrame, keys: Sequence[str] = ("design", "policy"
     return metrics.groupBy(*keys).agg(*[F.avg(m).alias(f"mean_{m}") for m in MEASURES])
 
 
+def depth_summary(depths: DataFrame, keys: Sequence[str] = ("design", "policy", "method", "budget")) -> DataFrame:
+    """The least and greatest original depth over seeds."""
+    return depths.groupBy(*keys).agg(F.min("original_depth").alias("least_depth"), F.max("original_depth").alias("greatest_depth"))
+
+
 def change_from(pairs: DataFrame, column: str, base: str) -> DataFrame:
     """difference less that of the branch whose ``column`` (policy or design) is ``base``."""
     keys = [c for c in ("design", "policy", "seed", "budget") if c in pairs.columns and c != column]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, metrics, pairmodel, rankers, splits, verify
 from ..sources.sinks import write_report
+from ..sources.texts import write_texts
 
 METHODS = (*rankers.PU_METHODS, "pair_model")
 
@@ -20,7 +22,7 @@ def rank_all(split: DataFrame, methods: Sequence[str] = rankers.PU_METHODS) -> D
     if "pair_model" in methods:
         fitted = pairmodel.rank_candidates(split).withColumn("random_key", F.lit(None).cast("string")).drop("coverage", "observed_training_pair")
         rows = fitted if rows is None else rows.unionByName(fitted)
-    return rankers.labelled(rows, split)
+    return rankers.labelled(rows, split).select(*rankers.BRANCH, "method", "rank", "composition", "score", "random_key", "tie_key", "heldout", "observed_label")
 
 
 def experiment(
@@ -52,15 +54,41 @@ def experiment(
     return out
 
 
-def evaluation_only(groups: DataFrame, seeds: Sequence[int] = splits.SEEDS, budgets: Sequence[int] = splits.BUDGETS, methods: Sequence[str] = rankers.PU_METHODS) -> dict[str, DataFrame]:
-    """Rankings trained under original labels, evaluated under every policy: candidates are filtered and numbered anew."""
+#: Columns of a saved ranking; its seed and method are in its path.
+SAVED = ["rank", "composition", "score", "random_key", "tie_key", "observed_label"]
+
+
+def write_rankings(ranking: DataFrame, path: str | Path) -> dict[str, tuple[int, str]]:
+    """Labelled rankings of one design and policy as split-NN/method.tsv below a folder; returns each file's rows and hash."""
+    return write_texts(ranking, path, F.format_string("split-%02d/%s.tsv", "seed", "method"), ["rank"], SAVED)
+
+
+def read_rankings(spark: SparkSession, path: str) -> DataFrame:
+    """All saved rankings below a folder in one scan; seed and method come from the paths, blank cells are null, other headers raise."""
+    kinds = {"rank": "bigint", "score": "double"}
+    rows = spark.read.csv(f"{path}/split-*/*.tsv", ", ".join(f"{c} {kinds.get(c, 'string')}" for c in SAVED), sep="\t", header=True, enforceSchema=False, quote="", mode="FAILFAST")
+    place = F.col("_metadata.file_path")
+    seed = F.regexp_extract(place, r"split-([0-9]+)/[^/]*$", 1).cast("long")
+    rows = rows.select(F.lit("composition").alias("design"), F.lit("original").alias("policy"), seed.alias("seed"), F.regexp_extract(place, r"([^/]*)\.tsv$", 1).alias("method"), *SAVED)
+    return rows
+
+
+def evaluation_only(
+    groups: DataFrame, seeds: Sequence[int] = splits.SEEDS, budgets: Sequence[int] = splits.BUDGETS, methods: Sequence[str] = rankers.PU_METHODS, saved: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Rankings trained under original labels, evaluated under every policy: candidates are filtered and numbered anew.
+
+    With ``saved`` rankings (read_rankings) nothing is ranked again. depths says how deep the original ranking was read
+    to fill each budget, depth_summary the least and greatest depth over the seeds.
+    """
     base = splits.composition_splits(groups, seeds, ("original",))
     seen = splits.evaluation_only(base)
-    ranked = rankers.pu_rank(base, methods).drop("policy")
+    ranked = (rankers.pu_rank(base, methods) if saved is None else saved.where(F.col("seed").isin(*seeds) & F.col("method").isin(*methods)).drop("observed_label")).drop("policy")
     each = ranked.withColumn("policy", F.explode(F.array(*[F.lit(p) for p in splits.POLICIES])))
     kept = rankers.filtered(each, seen.where("role = 'candidate'"), rankers.BRANCH)
     ranking = rankers.labelled(kept, seen)
-    return {"split": seen, "ranking": ranking, "metrics": metrics.pu_metrics(ranking, budgets)}
+    depths = ranking.where(F.col("rank").isin(*budgets)).select(*rankers.BRANCH, "method", F.col("rank").alias("budget"), F.col("original_rank").alias("original_depth"))
+    return {"split": seen, "ranking": ranking, "metrics": metrics.pu_metrics(ranking, budgets), "depths": depths, "depth_summary": analysis.depth_summary(depths)}
 
 
 #: Designs, policies and methods of the three studies that compare branches.

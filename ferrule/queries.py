@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import formula as fm
 from .operators import analysis, audit, metrics, pairmodel, query, rankers, splits, validate
+from .plans import experiments
 from .plans import oracles as sql
 from .plans.derived import AUDITED, CLEAN, LEGACY, SCORED, canonical, clean, groups, legacy, records, scored
 from .plans.workspace import Workspace
@@ -565,6 +566,28 @@ def depth_at_budget(spark, sf):
     return filtered_rerank(spark, sf).where(F.col("rank").isin(*BUDGETS)).select("seed", F.col("original_rank").alias("original_depth"), F.col("rank").alias("budget"))
 
 
+SAVED = f"""{sql.pu(20)}, eranked AS (SELECT r.design, p.policy, r.seed, r.method, r.composition, r.heldout AND (p.policy = 'original' OR NOT r.mixed) AS heldout, r.rank AS original_rank,
+    row_number() OVER (PARTITION BY p.policy, r.seed, r.method ORDER BY r.rank) AS rank FROM ranked r, policies p WHERE NOT (p.policy = 'exclude_mixed' AND r.mixed))"""
+SAVED_METHODS = ("random", "popularity")
+
+
+def _saved(spark, sf):
+    """Rankings written as a bundle's files and evaluated from there, under every policy."""
+    split, path = _split(spark, sf), Workspace(spark, "rankings").file("rankings")
+    experiments.write_rankings(rankers.labelled(rankers.pu_rank(split, SAVED_METHODS), split), path)
+    return experiments.evaluation_only(groups(spark, sf), SEEDS, BUDGETS, SAVED_METHODS, experiments.read_rankings(spark, path))
+
+
+@registered(f"WITH {SAVED}, {sql.metrics(BUDGETS).replace('ranked', 'eranked')} SELECT * FROM metrics WHERE method <> 'similarity'")
+def saved_ranking_metrics(spark, sf):
+    return _saved(spark, sf)["metrics"]
+
+
+@registered(f"WITH {SAVED} SELECT design, policy, method, rank AS budget, min(original_rank) AS least_depth, max(original_rank) AS greatest_depth FROM eranked WHERE method <> 'similarity' AND rank IN ({', '.join(map(str, BUDGETS))}) GROUP BY ALL")
+def saved_ranking_depths(spark, sf):
+    return _saved(spark, sf)["depth_summary"]
+
+
 DESIGNS = f"{sql.pu(20, source='(SELECT * FROM csplit UNION ALL SELECT * FROM ssplit)')}, {sql.metrics((20, 50))}, {sql.PAIRED}"
 
 
