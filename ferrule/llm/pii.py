@@ -6,6 +6,11 @@ are certainly outside, and cut the chain. A node's own potential is log-linear i
 apart, share a skip potential. Base spans and assigned secrets are observed. Loopy message passing gives each
 remaining node its marginal, and what is one kind with enough probability is a further span.
 
+Exact repeats are one node, with the mean of their potentials, so they have one label and their number changes
+nothing. A node can only have a kind that there is evidence of: a repeated or similar token is observed as that
+kind, or the token passes the kind's own check (a card's checksum, an address' parts, an assignment to a secret's name);
+a short part beside such a repeat, if it is a part of the observed span too, counts as a repeat. Without evidence nothing is found, however often a token repeats.
+
 The field is fitted by penalised pseudo-likelihood: each label in turn is hidden and explained by the token and
 the labels around it, and once by those labels alone, as the patterns would leave nothing to explain. Spark adds up the cases of all documents in a bounded table of cells; labels weigh alike,
 however many outside tokens the corpus has. Unmatched tokens that repeat or resemble a matched one are not
@@ -41,8 +46,10 @@ EVIDENCE, RIDGE, SAME = 1000.0, 0.1, 6.0
 NEWTON_STEPS = 40
 #: Own log odds of a kind over outside are kept within these, so that one certain repeat decides.
 AGAINST, FOR = 2.5, 4.0
-ROUNDS, DAMP = 12, 0.5
-THRESHOLD = 0.95
+#: Rounds of messages at most, the share of the last message that stays, and the change of a message that counts as settled.
+ROUNDS, DAMP, SETTLED = 500, 0.5, 1e-4
+#: A kind is found where it is likelier than anything else together; evidence is asked for besides.
+THRESHOLD = 0.5
 #: Characters between tokens that still make them neighbours, and letters and digits that make repeats meaningful.
 NEAR, ALIKE = 2, 7
 #: Characters of a secret at least, and how far before it its name is looked for.
@@ -132,7 +139,7 @@ class Nodes:
     """
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
-        self.spans, self.cells, keys, labels = [], [], [], []
+        self.spans, self.cells, keys, labels, words = [], [], [], [], []
         for m in ACTIVE.finditer(text):
             word = m[0]
             begin = m.start() + len(word) - len(word.lstrip(TRIM))
@@ -142,6 +149,7 @@ class Nodes:
                 self.spans.append((begin, begin + len(word)))
                 self.cells.append(describe(word, secret))
                 keys.append(alike(word))
+                words.append(word)
                 labels.append(SECRET if secret else -1)
         at = 0
         for begin, kind, end in base:
@@ -162,16 +170,46 @@ class Nodes:
                     skip[last[key], i] = None
                 last[key] = i
         self.skip = list(skip)
+        self._merge([m.lower() for m in words], keys, labels)
         first = {key: i for i, mine in reversed(list(enumerate(keys))) if labels[i] >= 0 for key in mine}
         self.hidden = np.array([labels[i] < 0 and any(k in first for k in mine) for i, mine in enumerate(keys)], bool)
 
 
-TABLE = "doc_id long, base array<int>, spans array<int>, cells array<int>, seen array<int>, hidden array<boolean>, chain array<int>, skip array<int>"
+    def _merge(self, words: list[str], keys: list[list[str]], labels: list[int]) -> None:
+        """The merged node of each token, and skip edges of merged nodes: to the first observed one of each label that shares a key, and to the one before."""
+        known: dict[tuple, int] = {}
+        self.merged, sharing = [], {}
+        for i, (word, mine, label) in enumerate(zip(words, keys, labels, strict=True)):
+            node = known.setdefault((word, label) if mine else (i,), len(known))
+            self.merged.append(node)
+            for key in mine:
+                sharing.setdefault(key, {})[node] = label
+        links = {}
+        for members in sharing.values():
+            first: dict[int, int] = {}
+            for node, label in members.items():
+                first.setdefault(label, node)
+            first.pop(-1, None)
+            before = None
+            for node in members:
+                for other in (*first.values(), before):
+                    if other is not None and other != node:
+                        links[min(other, node), max(other, node)] = None
+                before = node
+        short = {w: self.merged[i] for i, (w, mine, label) in enumerate(zip(words, keys, labels, strict=True)) if label > 0 and not mine}
+        for edge in self.chain:
+            for i, j in (edge, edge[::-1]):
+                if labels[i] < 0 and not keys[i] and words[i] in short and labels[j] < 0 and keys[j]:
+                    links[short[words[i]], self.merged[i]] = None
+        self.links = list(links)
+
+
+TABLE = "doc_id long, base array<int>, spans array<int>, cells array<int>, seen array<int>, hidden array<boolean>, chain array<int>, skip array<int>, merged array<int>, links array<int>"
 
 
 def node_table(docs: DataFrame) -> DataFrame:
     """TABLE: base spans and field of every row of (doc_id, text); texts are not read again."""
-    types = [pa.int64()] + [pa.list_(pa.int32())] * 4 + [pa.list_(pa.bool_())] + [pa.list_(pa.int32())] * 2
+    types = [pa.int64()] + [pa.list_(pa.int32())] * 4 + [pa.list_(pa.bool_())] + [pa.list_(pa.int32())] * 4
     names = [c.split()[0] for c in TABLE.split(", ")]
 
     def run(batches):
@@ -180,9 +218,9 @@ def node_table(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base = base_spans(text) if text else []
                 nodes = Nodes(text or "", base)
-                flat = [list(chain.from_iterable(x)) for x in (base, nodes.spans, nodes.chain, nodes.skip)]
-                rows.append((doc, flat[0], flat[1], nodes.cells, nodes.seen.tolist(), nodes.hidden.tolist(), flat[2], flat[3]))
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, types, strict=True)], names)
+                flat = [list(chain.from_iterable(x)) for x in (base, nodes.spans, nodes.chain, nodes.skip, nodes.links)]
+                rows.append((doc, flat[0], flat[1], nodes.cells, nodes.seen.tolist(), nodes.hidden.tolist(), flat[2], flat[3], nodes.merged, flat[4]))
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)], names)
 
     return docs.mapInArrow(run, TABLE)
 
@@ -300,16 +338,20 @@ def fit(counted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return odds, along, (across + across.T) / 2 + theta[-1] * np.diag(np.arange(LABELS) > 0)
 
 
-def marginals(cells: np.ndarray, seen: np.ndarray, near: np.ndarray, far: np.ndarray, model) -> np.ndarray:
-    """Label probabilities of each node by loopy belief propagation; observed nodes are certain."""
-    own, along, across = model
-    local = own[cells].copy()
+def settle(local: np.ndarray, seen: np.ndarray, near: np.ndarray, far: np.ndarray, model, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Label probabilities of each node by loopy belief propagation, and the last change of a message, above SETTLED where ROUNDS ended it.
+
+    Observed nodes are certain. ``weights`` scale the chain potentials of near edges.
+    """
+    _, along, across = model
+    local = local.copy()
     known = np.flatnonzero(seen >= 0)
     local[known] = -60.0
     local[known, seen[known]] = 0.0
-    pair = np.concatenate([near, far])
+    pair, moved = np.concatenate([near, far]), 0.0
     if len(pair):
-        tables = np.concatenate([np.repeat(along[None], len(near), 0), np.repeat(across[None], len(far), 0)])
+        strength = np.ones(len(near)) if weights is None else weights
+        tables = np.concatenate([along[None] * strength[:, None, None], np.repeat(across[None], len(far), 0)])
         source, target = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([pair[:, 1], pair[:, 0]])
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(pair)) + len(pair), np.arange(len(pair))])
@@ -320,31 +362,86 @@ def marginals(cells: np.ndarray, seen: np.ndarray, near: np.ndarray, far: np.nda
             out = belief[source] - sent[back]
             new = np.logaddexp.reduce(out[:, :, None] + tables, axis=1)
             new -= new.max(axis=1, keepdims=True)
-            moved = np.abs(new - sent).max()
+            moved = float(np.abs(new - sent).max())
             sent = DAMP * sent + (1 - DAMP) * new
-            if moved < 1e-4:
+            if moved < SETTLED:
                 break
         np.add.at(local, target, sent)
     local = np.exp(local - local.max(axis=1, keepdims=True))
-    return local / local.sum(axis=1, keepdims=True)
+    return local / local.sum(axis=1, keepdims=True), moved
+
+
+def marginals(cells: np.ndarray, seen: np.ndarray, near: np.ndarray, far: np.ndarray, model) -> np.ndarray:
+    return settle(model[0][cells], seen, near, far, model)[0]
 
 
-def further_spans(spans: np.ndarray, cells: np.ndarray, seen: np.ndarray, near: np.ndarray, far: np.ndarray, model, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """(start, label - 1, end) of what the field adds: unobserved nodes of one likely label; the parts of a phone number are one span."""
+def _values(cells: np.ndarray) -> list[np.ndarray]:
+    """The value of each attribute."""
+    out = []
+    for size in reversed(ATTRIBUTES):
+        out.insert(0, cells % size)
+        cells = cells // size
+    return out
+
+
+def evidence(cells: np.ndarray, seen: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """node x label: may it have the label? Outside always; a kind by what is observed across skip edges, or by the token's own check."""
+    root = np.arange(len(cells))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in far.tolist():
+        root[find(b)] = find(a)
+    root = np.array([find(i) for i in range(len(cells))], np.int64)
+    may = np.zeros((len(cells), LABELS), bool)
+    observed = np.flatnonzero(seen > 0)
+    may[root[observed], seen[observed]] = True
+    may = may[root]
+    checksum, address, assigned = (_values(cells)[k] for k in (4, 5, 8))
+    may[:, KINDS.index("card") + 1] |= checksum.astype(bool)
+    may[:, KINDS.index("ip") + 1] |= address.astype(bool)
+    may[:, SECRET] |= assigned.astype(bool)
+    may[:, 0] = True
+    return may
+
+
+def merged_marginals(cells: np.ndarray, seen: np.ndarray, near: np.ndarray, merged: np.ndarray, links: np.ndarray, model) -> tuple[np.ndarray, float]:
+    """Label probabilities of each token, those of its merged node, and the change that was left when messages ended."""
+    n = int(merged.max()) + 1
+    size = np.bincount(merged, minlength=n)
+    local = np.zeros((n, LABELS))
+    np.add.at(local, merged, model[0][cells])
+    first = np.unique(merged, return_index=True)[1]
+    edges = merged[near]
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    pairs, counts = np.unique(edges, axis=0, return_counts=True) if len(edges) else (edges, np.zeros(0))
+    weights = counts / np.maximum(size[pairs[:, 0]], size[pairs[:, 1]])
+    local = np.where(evidence(cells[first], seen[first], links), local / size[:, None], -60.0)
+    odds, left = settle(local, seen[first], pairs, links, model, weights)
+    return odds[merged], left
+
+
+def further_spans(spans: np.ndarray, cells: np.ndarray, seen: np.ndarray, near: np.ndarray, merged: np.ndarray, links: np.ndarray, model, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], float]:
+    """(start, label - 1, end) of what the field adds, and the change left: unobserved nodes of one likely label; the parts of a phone number are one span."""
     if not (seen < 0).any():
-        return []
-    odds = marginals(cells, seen, near, far, model)
+        return [], 0.0
+    odds, left = merged_marginals(cells, seen, near, merged, links, model)
     best = odds.argmax(axis=1)
     likely = (seen < 0) & (best > 0) & (odds[np.arange(len(best)), best] >= threshold)
     joined, out, before = set(near[:, 1].tolist()), [], -1
+    short = _values(cells)[0] <= 2  # digits: a part of a number, not all of one
     for i in np.flatnonzero(likely).tolist():
         kind = int(best[i]) - 1
-        if kind == KINDS.index("phone") and i - 1 == before and i in joined and out[-1][1] == kind:
+        if kind == KINDS.index("phone") and i - 1 == before and i in joined and out[-1][1] == kind and (short[i] or short[i - 1]):
             out[-1] = (out[-1][0], kind, int(spans[i, 1]))
         else:
             out.append((int(spans[i, 0]), kind, int(spans[i, 1])))
         before = i
-    return out
+    return out, left
 
 
 def _joined(spans) -> str:
@@ -353,7 +450,8 @@ def _joined(spans) -> str:
 
 def personal_data(docs: DataFrame, train_on: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), and for every row n_added (spans that
-    the field adds), n_secret (secrets, assigned to a name or found by the field; not among the spans) and n_found (all).
+    the field adds), n_secret (secrets, assigned to a name or found by the field; not among the spans), n_found (all), and
+    unsettled (the last change of a message where ROUNDS ended the field before it settled, else 0).
 
     Null and empty texts have no spans. Repeated rows are searched one by one, a null doc_id stays null; other columns
     are ignored; an empty table gives no rows. Spans of different kinds may overlap; the field never adds to an
@@ -364,25 +462,25 @@ def personal_data(docs: DataFrame, train_on: DataFrame | None = None, threshold:
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     nodes = work.keep(node_table(docs.select(columns)), "nodes")
     model = docs.sparkSession.sparkContext.broadcast(fit(cases(nodes if train_on is None else work.keep(node_table(train_on.select(columns)), "training"))))
-    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_secret", "n_found"]
-    types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 3
+    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_secret", "n_found", "unsettled"]
+    types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 3 + [pa.float64()]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, flat, spans, cells, seen, near, far in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for doc, flat, spans, cells, seen, near, merged, links in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 base = list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
                 seen = np.array(seen, np.int64)
-                more = further_spans(_pairs(spans), np.array(cells, np.int64), seen, _pairs(near), _pairs(far), model.value, threshold)
+                more, left = further_spans(_pairs(spans), np.array(cells, np.int64), seen, _pairs(near), np.array(merged, np.int64), _pairs(links), model.value, threshold)
                 added = [x for x in more if x[1] < len(KINDS)]
                 secrets = int((seen == SECRET).sum()) + len(more) - len(added)
                 kinds = [k for _, k, _ in base]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                rows.append((doc, *[kinds.count(k) for k in range(len(KINDS))], digest, _joined(sorted(base + added)), len(added), secrets, len(base) + len(more) + int((seen == SECRET).sum())))
+                rows.append((doc, *[kinds.count(k) for k in range(len(KINDS))], digest, _joined(sorted(base + added)), len(added), secrets, len(base) + len(more) + int((seen == SECRET).sum()), left if left >= SETTLED else 0.0))
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), types, strict=True)], names)
 
-    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, types, strict=True))
-    return nodes.select("doc_id", "base", "spans", "cells", "seen", "chain", "skip").mapInArrow(run, schema)
+    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'double' if t == pa.float64() else 'long'}" for n, t in zip(names, types, strict=True))
+    return nodes.select("doc_id", "base", "spans", "cells", "seen", "chain", "merged", "links").mapInArrow(run, schema)
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
