@@ -1,19 +1,22 @@
 """Operator 7: line deduplication by pairwise alignment.
 
-Lines are hashed, and what documents share is found through lists of hashes that are as rare as needed: the shortest runs of lines that reach MIN_CHARS characters, from each line on and up to
+Lines are named by 128-bit hashes, and what documents share is found through lists of hashes that are as rare as needed: the shortest runs of lines that reach MIN_CHARS characters, from each line on and up to
 each line, are posted under their hashes: no shorter common block is ever deleted, and every line of a longer
 one lies in such a run of it. Each document is first paired with the holder before it in every list; lists
 longer than LIST_PART are cut into parts by a hash, whose first holders pair with the list's first. Pairs are
 aligned by patience diff over line hashes, and aligned common blocks of at least MIN_CHARS characters go from
 the later document. A run of which lines remain then meets further earlier holders in rounds, FIRST_ROUND of
 them and GROWTH times as many in each next round, until it is gone or all were met: the result is that of all
-pairs that share a run (a blank line at a block's end goes if a pair that was met takes it). Texts are read
-only to write the result.
+pairs that share a run. Blank lines go with the lines around them. Texts are read only to write the result.
+
+No pair is aligned twice. A run stays past its first round only where an alignment crosses it, that is where the two
+texts have their common lines in another order; such a run alone meets all its holders.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,11 +30,18 @@ MIN_CHARS = 40
 LIST_PART = 256
 FIRST_ROUND, GROWTH = 4, 8
 
-Lines = list[int]
+Lines = list[bytes]
+SPACES = " \t\n\x0b\x0c\r"
+#: Name of a blank line.
+BLANK = md5(b"").digest()
 
 
 def patience(a: Lines, b: Lines) -> list[tuple[int, int]]:
-    """Aligned positions of two line lists: equal ends first, then lines unique in both, and so on between them."""
+    """Aligned positions of two line lists: equal ends first, then lines unique in both, and so on between them.
+
+    Where no line is unique in both, occurrences are counted, and the first of a line goes with the first, the second
+    with the second: between two aligned lines no line but a blank one is left that both sides have.
+    """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -43,7 +53,7 @@ def patience(a: Lines, b: Lines) -> list[tuple[int, int]]:
             out.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
-        anchors = _ascending(_unique_in_both(a, a0, a1, b, b0, b1))
+        anchors = _ascending(_unique_in_both(a, a0, a1, b, b0, b1)) or _ascending(_counted_in_both(a, a0, a1, b, b0, b1))
         if not anchors:
             continue
         for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)], strict=True):
@@ -54,7 +64,7 @@ def patience(a: Lines, b: Lines) -> list[tuple[int, int]]:
 
 def _unique_in_both(a: Lines, a0: int, a1: int, b: Lines, b0: int, b1: int) -> list[tuple[int, int]]:
     def once(lines, lo, hi):
-        at: dict[int, int] = {}
+        at: dict[bytes, int] = {}
         for i in range(lo, hi):
             at[lines[i]] = -1 if lines[i] in at else i
         return at
@@ -63,6 +73,20 @@ def _unique_in_both(a: Lines, a0: int, a1: int, b: Lines, b0: int, b1: int) -> l
     return [(i, second[x]) for x, i in first.items() if i >= 0 and second.get(x, -1) >= 0]
 
 
+def _counted_in_both(a: Lines, a0: int, a1: int, b: Lines, b0: int, b1: int) -> list[tuple[int, int]]:
+    def counted(lines, lo, hi):
+        seen: dict[bytes, int] = {}
+        out = {}
+        for i in range(lo, hi):
+            if lines[i] != BLANK:
+                seen[lines[i]] = seen.get(lines[i], 0) + 1
+                out[lines[i], seen[lines[i]]] = i
+        return out
+
+    second = counted(b, b0, b1)
+    return [(i, second[x]) for x, i in counted(a, a0, a1).items() if x in second]
+
+
 def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest chain of pairs that ascend on both sides; the pairs come ascending on the first."""
     ends: list[int] = []
@@ -81,29 +105,42 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(earlier: Lines, later: Lines, chars: list[int], min_chars: int = MIN_CHARS) -> list[int]:
-    """Positions in ``later`` of the aligned blocks that reach min_chars."""
+    """Positions in ``later`` of the lines, but blank ones, of the aligned blocks that reach min_chars."""
     out, block = [], []
     for i, j in [*patience(earlier, later), (-9, -9)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             at = [q for _, q in block]
             if sum(chars[q] for q in at) >= min_chars:
-                out += at
+                out += [q for q in at if chars[q]]
             block = []
         block.append((i, j))
     return out
 
 
+def with_blanks(gone: set[int], filled: list) -> set[int]:
+    """The lines that go, and the blank ones between them: those that have a line that goes, or the text's end, on both sides."""
+    out, between, open_ = set(gone), [], bool(gone)
+    for i, has in enumerate(filled):
+        if not has:
+            between.append(i)
+            continue
+        if open_ and i in gone:
+            out.update(between)
+        between, open_ = [], i in gone
+    return out | set(between) if open_ else out
+
+
 def _key(docs: DataFrame):
     """Rows with the same doc_id and text are one document; ids come before text hashes, a null id before all."""
     return F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(docs["text"]).alias("hash"))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(key, lines, chars): hashes and lengths of each distinct document's trimmed lines."""
+    """(key, lines, chars): 128-bit hashes and lengths of each distinct document's trimmed lines."""
     lines = F.split(F.col("text"), "\n")
     trimmed = F.transform(lines, lambda x: F.regexp_replace(x, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""))
     made = docs.where("text IS NOT NULL").select(_key(docs).alias("key"), trimmed.alias("t"))
-    made = made.select("key", F.transform("t", lambda x: F.xxhash64(x)).alias("lines"), F.transform("t", lambda x: F.length(x)).alias("chars"))
+    made = made.select("key", F.transform("t", lambda x: F.unhex(F.md5(x))).alias("lines"), F.transform("t", lambda x: F.length(x)).alias("chars"))
     return made.groupBy("key").agg(F.first("lines").alias("lines"), F.first("chars").alias("chars"))
 
 
@@ -136,15 +173,14 @@ def postings(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(run, key): the hashes of the document's runs; of a table with a column ``gone`` only those with a line that remains."""
 
     def run(batches):
-        import numpy as np
         import xxhash
 
         for batch in batches:
             keys, held = [], []
             gone = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
             for n, (lines, chars, away) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), gone, strict=True)):
-                raw, away = np.array(lines, "<i8").tobytes(), set(away or ())
-                found = {xxhash.xxh64_intdigest(raw[8 * i : 8 * j]) - (1 << 63) for i, j in runs(chars, min_chars) if not away or any(chars[q] and q not in away for q in range(i, j))}
+                raw, away = b"".join(lines), set(away or ())
+                found = {xxhash.xxh64_intdigest(raw[16 * i : 16 * j]) - (1 << 63) for i, j in runs(chars, min_chars) if not away or any(chars[q] and q not in away for q in range(i, j))}
                 keys += [n] * len(found)
                 held += found
             yield pa.record_batch([pa.array(held, pa.int64()), batch.column(0).take(pa.array(keys, pa.int64()))], ["run", "key"])
@@ -218,7 +254,7 @@ def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, list_part: int =
     """The columns of ``docs``, text without the deleted lines, and as the last two columns its lines before and the lines deleted.
 
     Later means a larger doc_id (a null one is the least), then a larger hash of the text; rows that agree in
-    both are one document and lose the same lines. Blank lines align but never start a run. Null texts stay null.
+    both are one document and lose the same lines. Blank lines go if the lines, or the text's end, on both sides do. Null texts stay null.
     """
     bounded_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "lines")
@@ -233,12 +269,13 @@ def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, list_part: int =
             texts, before, lost = [], [], []
             for text, dropped in zip(batch.column(at).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
+                away = ()
                 if dropped:
-                    away = set(dropped)
+                    away = with_blanks(set(dropped), [x.strip(SPACES) for x in lines])
                     text = "\n".join([x for i, x in enumerate(lines) if i not in away])
                 texts.append(text)
                 before.append(len(lines))
-                lost.append(len(dropped or ()))
+                lost.append(len(away))
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
             yield pa.record_batch([*columns, pa.array(before, pa.int64()), pa.array(lost, pa.int64())], [*batch.schema.names[:-1], *counts])

@@ -476,6 +476,10 @@ def test_empty_tables(spark):
     assert [df.count() for df in made] == [0] * len(made)
 
 
+def names_of(lines):
+    return [hashlib.md5(x.encode()).digest() for x in lines]
+
+
 @pytest.mark.parametrize("least", [150, None])
 def test_line_dedup_agrees_with_all_pairs(spark, least):
     least = least or linededup.MIN_CHARS
@@ -487,12 +491,42 @@ def test_line_dedup_agrees_with_all_pairs(spark, least):
     for group in groups:
         want = []
         for n, lines in enumerate(group):
-            gone = {q for before in group[:n] for q in linededup.common_blocks(before, lines, list(map(len, lines)), least)}
+            gone = {q for before in group[:n] for q in linededup.common_blocks(names_of(before), names_of(lines), list(map(len, lines)), least)}
+            gone = linededup.with_blanks(gone, lines)
             want.append("\n".join(t for i, t in enumerate(lines) if i not in gone))
         got = linededup.line_dedup(table(spark, ["\n".join(g) for g in group]), least).orderBy("doc_id").collect()
         assert [g["text"] for g in got] == want
 
 
+@pytest.mark.parametrize("times", [1, 2, 5])
+def test_a_line_repeated_within_documents_goes_with_few_alignments(spark, times):
+    """No line is unique in both texts; the first alignments take the line all the same, and no document meets all before it."""
+    line = "Subscribe to our newsletter for weekly product updates, or"
+    texts = ["\n".join(x for k in range(times) for x in (prose(1000 + 7 * i + k, 3), line)) + "\nend" for i in range(120)]
+    work = Workspace(spark, "repeated")
+    lines = work.keep(linededup.line_table(table(spark, texts).select("doc_id", "text")), "lines")
+    posted = work.keep(linededup.postings(lines), "postings")
+    met = linededup.pairs(linededup.shared(posted, work)).count()
+    assert met <= 2 * posted.count()
+    rows = {r["doc_id"]: r for r in linededup.line_dedup(table(spark, texts)).collect()}
+    assert rows[0]["n_removed"] == 0 and all(rows[i]["n_removed"] >= times and line not in rows[i]["text"] for i in range(1, 120))
+
+
+def test_blank_lines_go_with_the_lines_around_them():
+    lines = ["", "a", "", "", "b", "", "c", "", "d", ""]
+    assert linededup.with_blanks(set(), lines) == set()
+    assert linededup.with_blanks({1, 4}, lines) == {0, 1, 2, 3, 4}
+    assert linededup.with_blanks({6}, lines) == {6} and linededup.with_blanks({8}, lines) == {8, 9}
+    assert linededup.with_blanks({1, 4, 6, 8}, lines) == set(range(10))
+
+
+def test_counted_lines_are_aligned():
+    a, b = list("pxqxryz"), list("mxnxoxz")
+    assert linededup.patience(a, b) == [(1, 1), (3, 3), (6, 6)]
+    blank = linededup.BLANK
+    assert linededup.patience([blank, blank, b"l", b"l", b"p"], [b"l", b"l", blank, blank, b"q"]) == [(2, 0), (3, 1)]
+
+
 def test_line_dedup_takes_single_sentences(spark):
     sentence = "All of this site's pages may be copied freely."
     texts = [f"{prose(400 + i, 9)}\n{sentence}\nnext\n{prose(500 + i, 9)}" for i in range(6)]
@@ -506,7 +540,7 @@ def test_line_dedup_on_given_tables_agrees_with_all_pairs(spark):
     got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(docs).collect()}
     removed = 0
     for later, mine in lines.items():
-        gone = {q for earlier, before in lines.items() if earlier < later and set(before) & set(mine) - {""} for q in linededup.common_blocks(before, mine, list(map(len, mine)))}
+        gone = {q for earlier, before in lines.items() if earlier < later and set(before) & set(mine) - {""} for q in linededup.common_blocks(names_of(before), names_of(mine), list(map(len, mine)))}
         want = Counter(x for q, x in enumerate(mine) if q not in gone and x)
         assert Counter(x.strip(" \t\n\r\x0b\x0c") for x in got[later].split("\n") if x.strip(" \t\n\r\x0b\x0c")) == want, later
         removed += len(gone)

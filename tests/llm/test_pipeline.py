@@ -96,3 +96,15 @@ def test_stages_on_odd_rows(spark):
     assert sum(r["start"] == 0 for r in pieces) == counts[-1] > 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), "").count() == 0, name
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_sets_of_one_short_name_stay_apart(spark, bits):
+    """With names narrowed to a few bits nearly all sets clash, and the result is the same."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choices(words, k=60)) for _ in range(25)]
+    texts += [t.replace(t.split()[30], "changed", 1) for t in texts[:8]] + texts[8:12] + ["", None, "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    wide, narrow = ({x["doc_id"] for x in nearcopies.keep_one(docs, bits=n).collect()} for n in (64, bits))
+    assert wide == narrow and set(range(25)) <= wide and len(wide) < len(texts)
