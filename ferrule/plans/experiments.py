@@ -115,7 +115,9 @@ def study(groups: DataFrame, name: str, seeds: Sequence[int] = splits.SEEDS, bud
     if "pair_model" in methods:
         for base in ("popularity", "similarity"):
             out[f"learned_less_{base}"] = analysis.paired_summary(analysis.paired(out["metrics"], "pair_model", base))
-        out["fits"] = analysis.optimisation_summary(pairmodel.fit_branches(rankers.split_sides(out["split"])[1]))
+        training = rankers.split_sides(out["split"])[1]
+        out["fits"] = analysis.optimisation_summary(pairmodel.fit_branches(training))
+        out |= pairmodel.fit_tables(training)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formula as fm
+from .functions import hashing
 from .operators import analysis, audit, metrics, pairmodel, query, rankers, splits, validate
 from .plans import experiments
 from .plans import oracles as sql
@@ -604,6 +605,33 @@ def change_by_design(spark, sf):
 # The factor model: iterative, so no SQL; tests compare it with a plain loop over all pairs
 
 
+@registered(
+    f"""WITH {PAIRS}, sides AS (SELECT seed, element_a AS e FROM pairs UNION SELECT seed, element_b FROM pairs), ks AS (SELECT unnest(range(1, 5)) AS k),
+    f AS (SELECT seed, e, k, (0.5 + ('0x' || substr(sha256('{hashing.FACTORS}' || chr(10) || '{pairmodel.Settings().seed}' || chr(10) || e || chr(10) || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) / sqrt(40.0::DOUBLE) AS v FROM sides, ks),
+    p AS (SELECT a.seed, a.e AS element_a, b.e AS element_b, sum(a.v * b.v) AS d FROM f a JOIN f b ON a.seed = b.seed AND a.k = b.k AND a.e < b.e GROUP BY ALL),
+    t AS (SELECT seed, element_a, element_b, ln(1.0::DOUBLE + n) / ln(1.0::DOUBLE + sum(n) OVER (PARTITION BY seed)) AS target FROM pairs),
+    l AS (SELECT seed, sum(0.5 * CASE WHEN target IS NULL THEN 0.01 ELSE 1.0 END * (d - coalesce(target, 0)) * (d - coalesce(target, 0))) AS l FROM p LEFT JOIN t USING (seed, element_a, element_b) GROUP BY seed),
+    r AS (SELECT seed, sum(0.5 * 0.01 * v * v) AS r FROM f GROUP BY seed)
+    SELECT 'composition' AS design, 'original' AS policy, seed, round(l + r, 9) AS objective FROM l JOIN r USING (seed)"""
+)
+def pair_factor_start(spark, sf):
+    """The loss of each fit's first point, as its trace has it."""
+    trace = pairmodel.fit_tables(rankers.split_sides(_split(spark, sf))[1])["objective"]
+    return trace.where("iteration = 0").select("design", "policy", "seed", F.round("objective", 9).alias("objective"))
+
+
+@registered(f"WITH {PAIRS} SELECT 'composition' AS design, 'original' AS policy, seed, true AS agrees, true AS falling FROM pairs GROUP BY seed")
+def pair_factor_recheck(spark, sf):
+    """Does each fit's last loss agree with that of its written factors and counts, and did every step lower it?"""
+    rows = pairmodel.recheck_objective(pairmodel.fit_tables(rankers.split_sides(_split(spark, sf))[1]))
+    return rows.select("design", "policy", "seed", (F.abs(F.col("objective") - F.col("again")) <= 1e-9 * F.col("objective")).alias("agrees"), "falling")
+
+
+@registered()
+def pair_factor_trace(spark, sf):
+    return pairmodel.fit_tables(rankers.split_sides(_split(spark, sf))[1])["objective"]
+
+
 @registered()
 def pair_factor_fit(spark, sf):
     return pairmodel.fit_branches(rankers.split_sides(_split(spark, sf))[1])
