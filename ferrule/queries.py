@@ -287,7 +287,7 @@ def split_composition_policies(spark, sf):
     FROM (SELECT * FROM csplit UNION ALL SELECT * FROM ssplit) GROUP BY ALL"""
 )
 def split_counts(spark, sf):
-    g = groups(spark, sf)
+    g = _kept_groups(spark, sf)
     return splits.counts(splits.composition_splits(g).unionByName(splits.system_splits(g)))
 
 
@@ -427,8 +427,13 @@ def pair_targets(spark, sf):
     return pairmodel.pair_targets(counts, ["seed"]).withColumn("target", F.round("target", 9))
 
 
-def _both(spark, sf):
-    g = groups(spark, sf)
+def _kept_groups(spark, sf):
+    """The audited groups, written once for a query that reads them several times."""
+    return Workspace(spark, "groups").keep(groups(spark, sf), "groups")
+
+
+def _both(spark, sf, g=None):
+    g = _kept_groups(spark, sf) if g is None else g
     return splits.composition_splits(g, SEEDS).unionByName(splits.system_splits(g, SEEDS))
 
 
@@ -461,7 +466,8 @@ def concentration(spark, sf):
       JOIN (SELECT * FROM conc WHERE role = 'training') t USING (design, policy, seed) JOIN (SELECT * FROM conc WHERE held) h USING (design, policy, seed)"""
 )
 def population(spark, sf):
-    return metrics.populations(_both(spark, sf), groups(spark, sf))
+    g = _kept_groups(spark, sf)
+    return metrics.populations(Workspace(spark, "population").keep(_both(spark, sf, g), "split"), g)
 
 
 @registered(
