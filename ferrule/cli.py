@@ -10,11 +10,9 @@ from pathlib import Path
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .functions.formula import with_composition
-from .operators import audit, metrics, query, rankers, splits, validate, verify
-from .plans import experiments
+from .operators import audit, query, rankers, splits, validate, verify
+from .plans import benchmark, experiments
 from .sources import jsonl, scores, sinks, sqlite_sink, tsv
 
 
@@ -127,16 +125,7 @@ def run(args: argparse.Namespace, to=None) -> int:
         say(report)
         return 2 if report["invalid_rows"] else 0
     elif args.command == "benchmark":
-        rows = query.validated(tsv.read_candidates(spark, args.input))
-        training = with_composition(tsv.read_tsv(spark, args.training, ["composition"])).withColumn("error", F.col("formula_error"))
-        query.require_valid(rows)
-        query.require_valid(training)
-        pick = lambda df, *c: df.select(F.col("formula").alias("composition"), "species", "system", *c)
-        candidates, training = pick(rows, "score", "outcome"), pick(training)
-        rankers.check_bench(candidates, training, args.budget)
-        ranking = rankers.bench_rank(candidates, training, args.methods, args.seeds)
-        measured = metrics.bench_metrics(ranking, candidates, training, args.budget)
-        sinks.write_report({"candidates": (ranking, ["method", "seed", "rank"]), "metrics": (measured, ["method", "seed", "budget"])}, args.output, {"source": args.source})
+        say(benchmark.run(spark, args.input, args.training, args.output, args.source, args.methods, args.seeds, args.budget))
     elif args.command == "audit":
         documents = jsonl.read_jsonl(spark, args.snapshot)
         if args.metadata:

@@ -40,11 +40,14 @@ def cell(value) -> str:
     return text
 
 
-def line(row: Sequence) -> str:
-    return "\t".join(map(cell, row)) + "\n"
+def line(row: Sequence, sep: str = "\t") -> str:
+    cells = list(map(cell, row))
+    if sep != "\t" and any(sep in c for c in cells):
+        raise ValueError(f"cell with a {sep}: {cells}")
+    return sep.join(cells) + "\n"
 
 
-def write_texts(df: DataFrame, root: str | Path, file: str | Column, order: Sequence[str], columns: Sequence[str] | None = None, files: Sequence[str] = (), header: bool = True) -> dict[str, tuple[int, str]]:
+def write_texts(df: DataFrame, root: str | Path, file: str | Column, order: Sequence[str], columns: Sequence[str] | None = None, files: Sequence[str] = (), header: bool = True, sep: str = "\t") -> dict[str, tuple[int, str]]:
     """Write rows below ``root`` in files named by ``file``, in the given order; returns each file's rows and SHA-256.
 
     ``file`` is a relative path or a column of them, and ``files`` names those that must be there even without rows.
@@ -67,7 +70,7 @@ def write_texts(df: DataFrame, root: str | Path, file: str | Column, order: Sequ
             path, n = staging / uuid.uuid4().hex, 0
             with open(path, "xb") as to:
                 for row in members:
-                    to.write((line(row[1:]) if header else f"{row[1]}\n").encode())
+                    to.write((line(row[1:], sep) if header else f"{row[1]}\n").encode())
                     n += 1
             made.append({"file": name, "part": part, "path": str(path), "n": n})
         yield pa.RecordBatch.from_pylist(made, PARTS)
@@ -78,7 +81,7 @@ def write_texts(df: DataFrame, root: str | Path, file: str | Column, order: Sequ
             parts[name] = []
         for r in dealt.mapInArrow(write_parts, "file string, part int, path string, n long").collect():
             parts[r["file"]].append((r["part"], r["path"], r["n"]))
-        return _strung(df.sparkSession, root, dict(parts), line(columns) if header else "")
+        return _strung(df.sparkSession, root, dict(parts), line(columns, sep) if header else "")
     finally:
         shutil.rmtree(staging, ignore_errors=True)
 
