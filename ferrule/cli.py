@@ -12,8 +12,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import audit, query, rankers, splits, validate, verify
-from .plans import benchmark, experiments
-from .sources import jsonl, scores, sinks, sqlite_sink, tsv
+from .plans import audits, baseline, benchmark, experiments, recheck
+from .sources import scores, sinks, sqlite_sink, tsv
 
 
 def session() -> SparkSession:
@@ -83,6 +83,10 @@ def parser() -> argparse.ArgumentParser:
         y.add_argument(f"--{flag}", required=True)
     y.add_argument("--seeds", nargs="+", type=int, default=list(splits.SEEDS))
     y.add_argument("--budget", nargs="+", type=int, default=list(splits.BUDGETS))
+    r = sub.add_parser("replay")
+    r.add_argument("--groups", required=True)
+    r.add_argument("--run", required=True, help="what the experiment command wrote")
+    sub.add_parser("recheck").add_argument("--run", required=True)
     n = sub.add_parser("snapshot")
     n.add_argument("--documents", required=True, help="JSON lines of records")
     n.add_argument("--output", required=True)
@@ -127,15 +131,9 @@ def run(args: argparse.Namespace, to=None) -> int:
     elif args.command == "benchmark":
         say(benchmark.run(spark, args.input, args.training, args.output, args.source, args.methods, args.seeds, args.budget))
     elif args.command == "audit":
-        documents = jsonl.read_jsonl(spark, args.snapshot)
-        if args.metadata:
-            verify.require_metadata(tomllib.loads(Path(args.metadata).read_text()), documents.count(), args.snapshot)
-        if args.table:
-            verify.require_agreement(tsv.read_tsv(spark, args.table, verify.RECORD), documents)
-        rows = audit.with_reason(documents.drop("line"))
-        grouped = audit.groups(rows)
-        summary = audit.summary(rows, grouped)
-        sinks.write_report({"compositions": (audit.as_text(grouped), ["composition"]), "excluded": (audit.excluded(rows), ["material_id"]), "summary": (summary, [])}, args.output, {"schema_version": 1})
+        say(audits.run(spark, args.snapshot, args.output, args.metadata, args.table))
+    elif args.command == "recheck":
+        say(f"{recheck.recheck(spark, args.run)} checks passed")
     elif args.command == "snapshot":
         say(sinks.write_snapshot(spark, args.documents, args.output, args.database_version))
     else:
@@ -143,6 +141,9 @@ def run(args: argparse.Namespace, to=None) -> int:
         if args.command == "study":
             made = experiments.study(groups, args.name, args.seeds, args.budget)
             experiments.write_experiment(made, args.output, {"study": args.name, "seeds": args.seeds, "budgets": args.budget})
+        elif args.command == "replay":
+            baseline.require_same_experiment(groups, args.run)
+            say("every file is the same")
         elif args.command == "split":
             split = splits.composition_splits(groups, args.seeds, ("original",))
             splits.check_splits(split, args.budget)
@@ -151,7 +152,7 @@ def run(args: argparse.Namespace, to=None) -> int:
             if args.bundle:
                 verify.load_bundle(spark, args.bundle, splits.composition_splits(groups, args.seeds, ("original",)))
             made = experiments.experiment(groups, args.designs, args.policies, args.seeds, args.budget, args.methods)
-            experiments.write_experiment(made, args.output, {"seeds": args.seeds, "budgets": args.budget})
+            experiments.write_experiment(made, args.output, {"designs": args.designs, "policies": args.policies, "methods": args.methods, "seeds": args.seeds, "budgets": args.budget})
     return 0
 
 

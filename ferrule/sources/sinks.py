@@ -24,7 +24,7 @@ from ..operators.validate import imported
 from ..plans.workspace import Workspace
 from .jsonl import read_jsonl
 from .lines import numbered_lines
-from .texts import line, write_texts
+from .texts import cell, line, write_texts  # noqa: F401
 from .tsv import read_scored
 
 #: Lines of a block of text that is hashed at once, and bytes of blocks that a task hands on together.

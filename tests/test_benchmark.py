@@ -1,5 +1,6 @@
-"""The benchmark's report: every file, its hashes, and refusals that leave nothing."""
+"""The benchmark's and the audit's reports: every file, its hashes, and refusals that leave nothing."""
 
+import io
 import json
 import tomllib
 
@@ -30,3 +31,28 @@ def test_report_has_every_file(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("composition\nLi1O1\nMg2O2\n")  # shared with the candidates
     assert cli.main([x.replace("report", "other") for x in args]) == 2 and not (tmp_path / "other").exists()
     assert sorted(p.name for p in tmp_path.iterdir()) == ["c.tsv", "report", "t.tsv"]
+
+
+def test_audit_split_experiment_replay_and_recheck(spark, tmp_path):
+    """From documents to a checked experiment by the commands alone."""
+    symbols = "Li Na K Rb Cs Mg Ca Sr Ba Al".split()
+    docs = [{"material_id": f"mp-{n}", "composition": {a: 1 + n % 3, b: 1, "O": 1 + n % 4}, "theoretical": n % 3 > 0, "database_IDs": {"icsd": [str(n)]}} for n, (a, b) in enumerate((a, b) for a in symbols for b in symbols if a < b)]
+    (tmp_path / "docs.jsonl").write_text("".join(json.dumps(d) + "\n" for d in docs))
+    at = lambda name: str(tmp_path / name)
+    call = lambda *args: cli.main(list(args))
+    assert call("snapshot", "--documents", at("docs.jsonl"), "--output", at("snap"), "--database-version", "test") == 0
+    assert call("audit", "--snapshot", at("snap/records.jsonl"), "--metadata", at("snap/snapshot.toml"), "--table", at("snap/records.tsv"), "--output", at("audit")) == 0
+    assert {p.name for p in (tmp_path / "audit").iterdir()} == {"compositions.tsv", "excluded.tsv", "audit.toml", "audit.md", "snapshot.toml"}
+    summary = tomllib.loads((tmp_path / "audit/audit.toml").read_text())
+    assert summary["total_records"] == len(docs) and summary["positive_compositions"] == 15 and "**Synthetic" in (tmp_path / "audit/audit.md").read_text()
+    for name, digest in summary["files"].items():
+        assert baseline.file_sha256(tmp_path / "audit" / name) == digest
+    groups = ["--groups", at("audit/compositions.tsv")]
+    assert call("split", *groups, "--output", at("bundle"), "--seeds", "0", "1", "--budget", "2") == 0
+    assert call("experiment", *groups, "--bundle", at("bundle"), "--output", at("run"), "--seeds", "0", "1", "--budget", "2") == 0
+    out = io.StringIO()
+    assert cli.run(cli.parser().parse_args(["recheck", "--run", at("run")]), out) == 0 and "checks passed" in out.getvalue()
+    assert call("replay", *groups, "--run", at("run")) == 0
+    text = (tmp_path / "run/metrics.tsv").read_text()
+    (tmp_path / "run/metrics.tsv").write_text(text.replace("original", "Original", 1))
+    assert call("replay", *groups, "--run", at("run")) == 2 and call("recheck", "--run", at("run")) == 2
