@@ -20,13 +20,6 @@ def tri_state(flag):
     return F.coalesce(flag.cast("string"), F.lit("unknown"))
 
 
-def flattened_sources(ids):
-    """source:id entries of a map of lists, distinct, sorted and joined; '.' if there are none."""
-    pairs = F.flatten(F.transform(F.map_entries(ids), lambda e: F.transform(e["value"], lambda x: F.concat(e["key"], F.lit(":"), x))))
-    joined = F.array_join(F.array_sort(F.array_distinct(pairs)), ";")
-    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("."))
-
-
 def with_reason(records: DataFrame) -> DataFrame:
     """Adds the formula columns and ``reason``: normalization_issue, unsupported_formula, outside_oxygen_ternary_scope, or null."""
     rows = with_composition(records)

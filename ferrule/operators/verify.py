@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import formula as fm
 from ..sources.sinks import verify
 from ..sources.tsv import read_tsv
-from .metrics import pu_metrics
 from .numbering import numbered
 from .query import InvalidRecords
 
@@ -81,11 +80,6 @@ def require_invariant(ranking: DataFrame, keys: Sequence[str] = ("design", "seed
         raise InvalidRecords(f"{odd['composition']} has another score or place under another policy")
 
 
-def require_metrics(ranking: DataFrame, measured: DataFrame, budgets: Sequence[int]) -> None:
-    """A saved metrics table must be what its labelled ranking gives."""
-    require_same(measured, pu_metrics(ranking, budgets), "metrics")
-
-
 def load_bundle(spark: SparkSession, path: str, split: DataFrame) -> dict:
     """Read a bundle's manifest, compare every file's hash, and compare its members with a split derived anew; returns the manifest."""
     root = Path(path)
