@@ -117,7 +117,8 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIM
     """One row for each document: doc_id, the measures, base_failed, kept, and the host's shrunk failure rate.
 
     Null and empty texts have no words and fail. Rows of a null host are judged by the base rules alone.
-    Repeated rows are judged one by one. Further columns of ``docs`` are ignored. An empty table gives no rows.
+    Repeated rows are judged one by one, and a null doc_id stays null. Texts of any length are measured whole, one at a
+    time. Further columns of ``docs`` are ignored. An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "quality")
     rows = work.keep(measured(docs.select(F.col("text"), F.col("doc_id"), F.col(host).alias("__host")), ["doc_id", "__host"]), "measures")

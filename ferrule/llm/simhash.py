@@ -114,7 +114,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, long_list: int =
 
     Null or word-free texts have fingerprint zero and are linked like any other. Repeated rows and ids
     come back once for each input row; a null id never wins component_id, which is null only if every id of
-    the component is. Other columns of ``docs`` are ignored, whatever their names. An empty table gives no rows.
+    the component is. Texts of any length are taken whole, CHUNK shingles at a time. Other columns of ``docs`` are ignored,
+    whatever their names. An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "simhash")
     fps = work.keep(fingerprints(docs, id_col, text_col), "fingerprints")
