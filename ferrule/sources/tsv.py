@@ -13,15 +13,19 @@ from .lines import numbered_lines
 NUMBER = r"\A[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 
-def read_tsv(spark: SparkSession, path: str, header: list[str], filled: bool = True, prefix: bool = False) -> DataFrame:
-    """Text columns named by the header, and ``source_row`` from 1.
+def read_tsv(spark: SparkSession, path: str, header: list[str] | None, filled: bool = True, prefix: bool = False) -> DataFrame:
+    """Text columns named by the header, and ``source_row`` from 1. Without a header given, the file's own names the columns, each once.
 
     Every line must have as many cells as the header (at least, with prefix: then only the first columns are
     checked and kept), and with ``filled`` no cell may be empty. CRLF ends are dropped. Any fault raises.
     """
     cells = numbered_lines(spark, path).select(F.col("line").alias("source_row"), F.split("text", "\t", -1).alias("cells"))
     first = cells.where("source_row = 0").first()
-    named = list(first["cells"])[: len(header)] if first and prefix else list(first["cells"]) if first else []
+    named = list(first["cells"])[: len(header)] if first and prefix and header else list(first["cells"]) if first else []
+    if header is None:
+        header = named
+        if not named or "" in named or len({n.lower() for n in (*named, "source_row")}) <= len(named):
+            raise InvalidRecords(f"{named} does not name each column once")
     if named != header:
         raise InvalidRecords(f"header is not {header}")
     body = cells.where("source_row > 0")

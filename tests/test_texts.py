@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule.operators.query import InvalidRecords
 from ferrule.sources import texts
 from ferrule.sources.texts import write_texts
+from ferrule.sources.tsv import read_tsv
 
 
 def test_bytes_are_those_of_a_plain_loop(spark, tmp_path):
@@ -36,3 +38,16 @@ def test_raw_lines_and_bad_cells(spark, tmp_path):
         write_texts(df, tmp_path, "bad.tsv", ["n"], header=False)
     assert [p.name for p in tmp_path.iterdir()] == ["raw.txt"]
     assert write_texts(df.limit(0), tmp_path, "none.tsv", ["n"])["none.tsv"][0] == 0 and (tmp_path / "none.tsv").read_text() == "n\ttext\n"
+
+
+def test_tables_name_their_own_columns(spark, tmp_path):
+    path = tmp_path / "x.tsv"
+    path.write_text("id\tname\n1\ta\n2\t\n")
+    rows = read_tsv(spark, str(path), None, filled=False).orderBy("source_row")
+    assert rows.columns == ["source_row", "id", "name"] and [tuple(r) for r in rows.collect()] == [(1, "1", "a"), (2, "2", "")]
+    with pytest.raises(InvalidRecords, match="row 2"):
+        read_tsv(spark, str(path), None)
+    for head in ("id\tID\n", "id\t\n", "source_row\tid\n", ""):
+        path.write_text(head)
+        with pytest.raises(InvalidRecords):
+            read_tsv(spark, str(path), None)
