@@ -23,24 +23,27 @@ def with_budgets(df: DataFrame, budgets: Sequence[int]) -> DataFrame:
     return df.withColumn("budget", F.explode(F.array(*[F.lit(b).cast("long") for b in integers(budgets, "budgets", 1)])))
 
 
-def pu_metrics(ranked: DataFrame, budgets: Sequence[int] = BUDGETS, keys: Sequence[str] = (*BRANCH, "method")) -> DataFrame:
+def pu_metrics(ranked: DataFrame, budgets: Sequence[int] = BUDGETS, keys: Sequence[str] = (*BRANCH, "method"), strict: bool = True) -> DataFrame:
     """Metrics of a labelled ranking(keys, rank, heldout) at each budget; unlabelled entries are not failures.
 
-    A budget above a branch's pool is an error, never clipped.
+    A budget above a branch's pool, or a branch without held-out rows, is an error, never clipped. If not ``strict``,
+    such a branch has its row at every budget, as SQL gives it: the hits of its whole pool over the budget as asked
+    for, and NaN for what is divided by no held-out rows.
     """
     keys, most = list(keys), max(integers(budgets, "budgets", 1))
     totals = ranked.groupBy(*keys).agg(F.count("*").alias("candidate_count"), F.count_if("heldout").alias("heldout_count"))
-    small = F.when(F.col("candidate_count") < most, F.raise_error(F.lit("a budget is larger than its branch has candidates")).cast("long")).otherwise(F.col("candidate_count"))
+    small = F.when(F.lit(strict) & (F.col("candidate_count") < most), F.raise_error(F.lit("a budget is larger than its branch has candidates")).cast("long")).otherwise(F.col("candidate_count"))
     hits = ranked.select(*keys, "rank", "heldout").where(F.col("rank") <= most)
     at = with_budgets(hits, budgets).where("rank <= budget").groupBy(*keys, "budget").agg(F.count_if("heldout").alias("hits"))
     rows = at.join(totals.withColumn("candidate_count", small), keys)
     k, n, h = F.col("budget"), F.col("candidate_count"), F.col("heldout_count")
     by = gcd(k * h, n)
+    over = lambda x, y: x / y if strict else F.coalesce(F.try_divide(x, y), F.lit(float("nan")))
     return rows.withColumn("__g", by).select(
         *keys, "budget", "hits", "candidate_count", "heldout_count",
         (F.col("hits") / k).alias("observed_label_fraction"),
-        (F.col("hits") / h).alias("heldout_recall"),
-        ((F.col("hits") / k) / (h / n)).alias("observed_label_enrichment"),
+        over(F.col("hits"), h).alias("heldout_recall"),
+        over(F.col("hits") / k, h / n).alias("observed_label_enrichment"),
         ((k * h) / n).alias("random_expected_hits"),
         F.call_function("div", k * h, F.col("__g")).alias("random_expected_hits_numerator"),
         F.call_function("div", n, F.col("__g")).alias("random_expected_hits_denominator"),

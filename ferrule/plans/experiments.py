@@ -74,12 +74,13 @@ def read_rankings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def evaluation_only(
-    groups: DataFrame, seeds: Sequence[int] = splits.SEEDS, budgets: Sequence[int] = splits.BUDGETS, methods: Sequence[str] = rankers.PU_METHODS, saved: DataFrame | None = None
+    groups: DataFrame, seeds: Sequence[int] = splits.SEEDS, budgets: Sequence[int] = splits.BUDGETS, methods: Sequence[str] = rankers.PU_METHODS, saved: DataFrame | None = None,
+    strict: bool = True,
 ) -> dict[str, DataFrame]:
     """Rankings trained under original labels, evaluated under every policy: candidates are filtered and numbered anew.
 
     With ``saved`` rankings (read_rankings) nothing is ranked again. depths says how deep the original ranking was read
-    to fill each budget, depth_summary the least and greatest depth over the seeds.
+    to fill each budget, depth_summary the least and greatest depth over the seeds. ``strict`` is that of pu_metrics.
     """
     base = splits.composition_splits(groups, seeds, ("original",))
     seen = splits.evaluation_only(base)
@@ -88,7 +89,7 @@ def evaluation_only(
     kept = rankers.filtered(each, seen.where("role = 'candidate'"), rankers.BRANCH)
     ranking = rankers.labelled(kept, seen)
     depths = ranking.where(F.col("rank").isin(*budgets)).select(*rankers.BRANCH, "method", F.col("rank").alias("budget"), F.col("original_rank").alias("original_depth"))
-    return {"split": seen, "ranking": ranking, "metrics": metrics.pu_metrics(ranking, budgets), "depths": depths, "depth_summary": analysis.depth_summary(depths)}
+    return {"split": seen, "ranking": ranking, "metrics": metrics.pu_metrics(ranking, budgets, strict=strict), "depths": depths, "depth_summary": analysis.depth_summary(depths)}
 
 
 #: Designs, policies and methods of the three studies that compare branches.

@@ -314,3 +314,18 @@ def test_query_against_its_oracle(spark, name):
     want = sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in cursor.fetchall()), key=repr)
     assert sorted(names) == sorted(columns) and len(got) == len(want)
     assert all(_same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("name", ["pu_metrics", "pu_expected_hits_fraction", "method_summary", "saved_ranking_metrics"])
+@pytest.mark.parametrize("sizes", ["p_size", "(p_size // 20) * 20 + CASE WHEN p_partkey % 400 < 4 THEN 3 ELSE 10 END"])
+def test_budgets_beyond_small_branches(spark, tmp_path, name, sizes):
+    """Larger tables merge records into mixed groups, so that exclude_mixed leaves fewer candidates than a budget, or none held out; SQL has these rows too."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (({sizes})::INTEGER AS p_size) FROM '{SMALLEST}/part.parquet') TO '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    columns, got = _rows(spark, name, str(tmp_path))
+    cursor = con.execute(ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    want = sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in cursor.fetchall()), key=repr)
+    assert sorted(names) == sorted(columns) and len(got) == len(want) > 0
+    assert all(_same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
