@@ -13,6 +13,7 @@ variants: each is posted under itself and its one-bit changes (up to d / 2 of th
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 from math import comb
 
@@ -48,12 +49,17 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: n - words + 1].tolist()
     ends = ends[words - 1 :].tolist()
+    chunks = (np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], "<u8") for at in range(0, len(starts), CHUNK))
+    return majority(chunks, len(starts))
+
+
+def majority(chunks: Iterable[np.ndarray], n: int) -> int:
+    """The 64 bits that more than half of n hashes have."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(starts), CHUNK):
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for hashes in chunks:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
 def _signed(x: int) -> int:
@@ -94,16 +100,17 @@ def links(fps: DataFrame, work: Workspace, max_bits: int = MAX_BITS, long_list:
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not made smaller, as postings are many times the fingerprints
     posted = postings(fps.select("fp").repartition(tasks, "fp").distinct(), gram)
     sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    index = work.keep(posted.join(sizes, "key"), "index")
+    index = work.keep(posted.join(sizes.hint("merge"), "key"), "index")  # no table here is broadcast: the driver would hold it
+    work.release()
 
     short = index.where(F.col("n") <= long_list)
-    met = short.select("key", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")), "key").where("a < b")
+    met = short.select("key", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")).hint("merge"), "key").where("a < b")
     tallied = met.groupBy("a", "b").agg(F.count("*").alias("tally")).where(F.col("tally") >= comb(8 - max_bits, gram))
 
     crowded = index.where(F.col("n") > long_list).select("fp").distinct()
     changes = F.array(*[F.lit(_signed(1 << i)) for i in range(64)], F.lit(0).cast("long"))
     variants = crowded.repartition(tasks, "fp").select("fp", F.explode(changes).alias("change")).select("fp", F.col("fp").bitwiseXOR(F.col("change")).alias("variant"))
-    close = variants.select("variant", F.col("fp").alias("a")).join(variants.select("variant", F.col("fp").alias("b")), "variant").where("a < b")
+    close = variants.select("variant", F.col("fp").alias("a")).join(variants.select("variant", F.col("fp").alias("b")).hint("merge"), "variant").where("a < b")
 
     pairs = tallied.select("a", "b").unionByName(close.select("a", "b"))
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
@@ -121,7 +128,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, long_list: int =
     fps = work.keep(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = work.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = work.keep(components(links(distinct, work, max_bits, long_list), work), "roots")
-    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    work.release()
+    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     least = work.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "least")
     named = work.keep(join_unique(rooted, least, "root", "m", "fp").select("fp", "n", "component_id"), "named")
     return join_unique(fps, named, "fp", "n", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
