@@ -1,8 +1,10 @@
 """Near copies by the Jaccard similarity of five-word shingles, without a miss: the pipeline's form of operator 1.
 
-A SimHash of 64 bits cannot promise a similarity of 0.8 (README gives figures), so here the inverted index holds
-the shingle hashes themselves. It is used as operator 1 uses its index: post, tally, keep the pairs that reach the
-guaranteed minimum, verify.
+Operator 1 goes first: SimHash fingerprints of the shingle sets, its index over positional bytes, its tally by pair
+with the guaranteed minimum, and its count of differing bits. What it links is then verified on the whole sets.
+A SimHash of 64 bits cannot promise a similarity of 0.8 (README gives figures), so a second inverted index, of the
+shingle hashes themselves, finds the near copies that fingerprints leave apart. It is used in the same way: post,
+tally, keep the pairs that reach the guaranteed minimum, verify.
 
 Two sets of similarity 0.8 or more share at least k = ceil(0.8 n) hashes, n being the size of the larger. A set
 posts its least n - k + 1 + x, where x is an eighth of k, so of what two such sets post they share 1 + x of the
@@ -12,8 +14,8 @@ postings the x most shared may be left out of both, and a common one remains: co
 What meets in a list is verified on the whole sets. First every entry meets the list's most central one. Where a
 list's entries are not all in one component, they then meet further ones in rounds, FIRST_ROUND of them and GROWTH
 times as many in each next round, until all of different components have met. Sizes and parities rule out most of
-these pairs as they meet, without doubt: sets that differ in few hashes differ in no more parities. Equal sets are
-one node.
+these pairs as they meet, without doubt: sets that differ in few hashes differ in no more parities. Larger sets have
+more parities, as a few of them all look alike to a large set. Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -26,15 +28,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Workspace, bounded_batches, fresh
 from .components import components
 
 SEED = 42
 WORDS = 5
 FIRST_ROUND, GROWTH = 16, 8
-#: Parities kept of a set: how many hashes, odd or even, have each value of the last bits.
-PARITIES = 256
-WORDS_OF_PARITY = PARITIES // 64
+#: Parities kept of a set: how many hashes, odd or even, have each value of the last bits. Sets of more than WIDE_FROM
+#: hashes have the wide ones too; others have zeros there.
+PARITIES, WIDE_PARITIES, WIDE_FROM = 256, 2048, 300
+NARROW_WORDS = PARITIES // 64
+WORDS_OF_PARITY = NARROW_WORDS + WIDE_PARITIES // 64
 #: Nodes that a task remembers, so as to post a set once.
 HELD_NODES = 1 << 20
 
@@ -65,12 +70,19 @@ def posted(hashes: np.ndarray) -> np.ndarray:
 
 
 def parity(hashes: np.ndarray) -> list[int]:
-    odd = np.bincount(hashes & (PARITIES - 1), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+    def odd(n: int) -> list[int]:
+        return np.packbits((np.bincount(hashes & (n - 1), minlength=n) & 1).astype(np.uint8)).view("<i8").tolist()
+
+    return odd(PARITIES) + (odd(WIDE_PARITIES) if len(hashes) > WIDE_FROM else [0] * (WIDE_PARITIES // 64))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Operator 1's fingerprint, of a set's hashes and as a signed long; zero for an empty set."""
+    return simhash._signed(simhash.majority((hashes[at : at + simhash.CHUNK] for at in range(0, len(hashes), simhash.CHUNK)), len(hashes)))
 
 
 def _nodes(docs: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, hash, node, check, size, parity, posted) of every row; size is the number of shingles, and posted is null where the task has posted the set."""
+    """(doc_id, hash, node, check, size, fp, parity, posted) of every row; size is the number of shingles, and posted is null where the task has posted the set."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -82,9 +94,9 @@ def _nodes(docs: DataFrame, bits: int) -> DataFrame:
                 seen.add(node)
             if len(seen) > HELD_NODES:
                 seen.clear()
-            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)], pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "hash", "node", "check", "size", "parity", "posted"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)], pa.array(map(len, sets), pa.int64()), pa.array(map(fingerprint, sets), pa.int64()), pa.array(map(parity, sets), pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "hash", "node", "check", "size", "fp", "parity", "posted"])
 
-    return docs.mapInArrow(run, "doc_id long, hash long, node long, check long, size long, parity array<long>, posted array<long>")
+    return docs.mapInArrow(run, "doc_id long, hash long, node long, check long, size long, fp long, parity array<long>, posted array<long>")
 
 
 def _spare(size: str) -> Column:
@@ -113,7 +125,7 @@ def _index(made: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
     company = ranked.withColumn("company", F.sum("n").over(Window.partitionBy("node")) / F.col("size"))
     kept = work.keep(company.where(F.col("at") <= F.col("c") - _spare("size")).select("token", "node", "size", "company"), "rarest")
     lists = kept.groupBy("token").agg(F.count("*").alias("n"), F.max_by("node", F.struct("company", "node")).alias("center")).where("n > 1")
-    return work.keep(kept.select("token", "node").join(lists.hint("merge"), "token").join(nodes.hint("merge"), "node"), "index")
+    return work.keep(kept.select("token", "node").join(lists.hint("merge"), "token").join(nodes.drop("fp").hint("merge"), "node"), "index")
 
 
 def _sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -131,9 +143,20 @@ def _sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _near(m: str, n: str, x: str, y: str) -> Column:
-    """Can sets of these sizes and parities (columns x.., y..) be near copies? They may differ by a ninth of both sizes, and every difference flips one parity."""
-    differs = reduce(Column.__add__, [F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(WORDS_OF_PARITY)])
-    return (5 * F.col(m) >= 4 * F.col(n)) & (5 * F.col(n) >= 4 * F.col(m)) & (9 * differs <= F.col(m) + F.col(n))
+    """Can sets of these sizes and parities (columns x.., y..) be near copies? They may differ by a ninth of both sizes, and every difference flips one parity of a kind."""
+    differ = lambda a, b: 9 * reduce(Column.__add__, [F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(a, b)]) <= F.col(m) + F.col(n)
+    small = F.least(m, n) <= WIDE_FROM
+    return (5 * F.col(m) >= 4 * F.col(n)) & (5 * F.col(n) >= 4 * F.col(m)) & differ(0, NARROW_WORDS) & (small | differ(NARROW_WORDS, WORDS_OF_PARITY))
+
+
+def _fingerprint_pairs(nodes: DataFrame, work: Workspace) -> DataFrame:
+    """(a, b) of nodes that operator 1 links: of each fingerprint its least node with its others, and with those of fingerprints within its bits."""
+    prints = work.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    close = simhash.links(prints, work)
+    of = lambda side, name: prints.select(F.col("fp").alias(side), F.col("first").alias(name)).hint("merge")
+    apart = close.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    equal = nodes.join(prints.hint("merge"), "fp").where("node <> first").select("first", "node")
+    return work.keep(apart.union(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "linked")
 
 
 def _named(prefix: str) -> list[Column]:
@@ -158,15 +181,18 @@ def grouped(docs: DataFrame, work: Workspace, first_round: int = FIRST_ROUND, gr
         own = F.when(F.col("first").isNull() | (F.col("check") == F.col("first")), F.col("node")).otherwise(F.xxhash64("node", "check"))
         made = made.join(clashes, "node", "left").withColumn("node", own).drop("first")
     rows = work.keep(made.select("doc_id", "hash", "node"), "rows")
-    nodes = work.keep(made.groupBy("node").agg(F.first("size").alias("size"), *[F.first(F.col("parity")[i]).alias(f"p{i}") for i in range(WORDS_OF_PARITY)]), "sizes")
+    nodes = work.keep(made.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), *[F.first(F.col("parity")[i]).alias(f"p{i}") for i in range(WORDS_OF_PARITY)]), "sizes")
     index = _index(made, nodes, work)
     work.drop(where)
     work.release()
+    linked = _fingerprint_pairs(nodes, work)
+    work.release()
     sets = work.keep(_sets(docs, rows, index.select("node").distinct()), "sets")
     work.release()
     met = index.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"), F.col("size").alias("n"), *_named("y")).distinct()
     met = met.join(nodes.select(F.col("node").alias("a"), F.col("size").alias("m"), *_named("x")).hint("merge"), "a").where(_near("m", "n", "x", "y"))
-    met = work.keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = work.keep(met.unionByName(linked).distinct(), "pairs")  # near copies share postings, so a linked set that the index lacks has none
     links = _similar(met, sets, work)
     roots = components(links, work)
     place = F.pmod(F.xxhash64("node", "token"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")  # an entry's place in its list, by hash

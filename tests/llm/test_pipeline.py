@@ -108,3 +108,40 @@ def test_sets_of_one_short_name_stay_apart(spark, bits):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     wide, narrow = ({x["doc_id"] for x in nearcopies.keep_one(docs, bits=n).collect()} for n in (64, bits))
     assert wide == narrow and set(range(25)) <= wide and len(wide) < len(texts)
+
+
+def test_operator_1_links_near_copies_first(spark, monkeypatch):
+    """The stage goes through operator 1's fingerprints and index, and what those link is verified by similarity."""
+    base = _prose(5, 900).split()
+    texts = [" ".join(base), " ".join([*base[:899], "x"]), " ".join([*base[:450], "y", *base[451:]]), _prose(6, 900), "alone"]
+    fps = [nearcopies.fingerprint(nearcopies.shingles(t)) for t in texts]
+    near = [(a, b) for a in range(5) for b in range(a) if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 2]
+    seen, plain = [], nearcopies._similar
+
+    def similar(pairs, sets, work):
+        seen.append({tuple(x) for x in pairs.collect()})
+        return plain(pairs, sets, work)
+
+    monkeypatch.setattr(nearcopies, "_similar", similar)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    node = [nearcopies.node_of(nearcopies.shingles(t))[0] for t in texts]
+    assert {x["doc_id"] for x in nearcopies.keep_one(docs).collect()} == {0, 3, 4} and near
+    assert {tuple(sorted((node[a], node[b]))) for a, b in near} <= seen[0]
+
+
+def test_large_sets_of_one_pool_are_not_compared_in_pairs(spark, monkeypatch):
+    """Long texts of common passages share most of their postings, yet are no near copies; their parities tell."""
+    r = random.Random(11)
+    pool = [_prose(100 + i, 120) for i in range(20)]
+    texts = [" ".join(r.sample(pool, 10)) for _ in range(60)]
+    seen, plain = [], nearcopies._similar
+
+    def similar(pairs, sets, work):
+        seen.append(pairs.count())
+        return plain(pairs, sets, work)
+
+    monkeypatch.setattr(nearcopies, "_similar", similar)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(nearcopies.shingles(t).tolist()) for t in texts]
+    near = [(a, b) for a in range(60) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert nearcopies.keep_one(docs).count() >= 60 - len(near) and sum(seen) <= 60 + 2 * len(near)
