@@ -27,9 +27,9 @@ from .lines import numbered_lines
 from .texts import cell, line, write_texts  # noqa: F401
 from .tsv import read_scored
 
-#: Lines of a block of text that is hashed at once, and bytes of blocks that a task hands on together.
-BLOCK_LINES, HELD_BYTES = 256, 4 << 20
-BLOCKS = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("n", pa.int64()), ("block", pa.binary())])
+#: Lines of a block of text that is hashed at once, bytes of blocks that a task hands on together, and how blocks are packed.
+BLOCK_LINES, HELD_BYTES, LEVEL = 1024, 4 << 20, 9
+BLOCKS = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("block", pa.binary())])
 
 
 @contextmanager
@@ -133,16 +133,16 @@ def records_digest(rows: DataFrame) -> str:
 def records_digests(rows: DataFrame) -> DataFrame:
     """(n, records_sha256) of one row: SHA-256 of formula, tab, score and line end of every row in order of source_row, the same at any size.
 
-    Tasks sort their range of rows and make blocks of its text. A digest is one chain of states, so one task reads the
-    blocks in their order; it holds one batch of them, and nothing passes the driver but the result.
+    Tasks sort their range of rows and make packed blocks of its text. A digest is one chain of states, so one task
+    reads the blocks in their order; it holds one batch of them, and nothing passes the driver but the result.
     """
     def blocks(batches):
-        part, place, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, place, held, size, codec = TaskContext.get().partitionId(), 0, [], 0, pa.Codec("zstd", compression_level=LEVEL)
         for batch in batches:
             texts = [f"{c}\t{score_text(s)}\n" for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             for at in range(0, len(texts), BLOCK_LINES):
                 some = "".join(texts[at : at + BLOCK_LINES]).encode()
-                held.append((part, place, len(texts[at : at + BLOCK_LINES]), some))
+                held.append((part, place, len(texts[at : at + BLOCK_LINES]), len(some), codec.compress(some, asbytes=True)))
                 place, size = place + 1, size + len(some)
                 if size >= HELD_BYTES:
                     yield pa.RecordBatch.from_pylist([dict(zip(BLOCKS.names, x, strict=True)) for x in held], BLOCKS)
@@ -151,17 +151,17 @@ def records_digests(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(BLOCKS.names, x, strict=True)) for x in held], BLOCKS)
 
     def chain_up(batches):
-        digest, n = hashlib.sha256(), 0
+        digest, n, codec = hashlib.sha256(), 0, pa.Codec("zstd")
         for batch in batches:
             n += sum(batch.column(0).to_pylist())
-            for block in batch.column(1):
-                digest.update(block.as_buffer())
+            for size, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                digest.update(codec.decompress(block.as_buffer(), size))
         yield pa.record_batch([pa.array([n]), pa.array([digest.hexdigest()])], ["n", "records_sha256"])
 
     order = ["source_row", "composition", "score"]
     dealt = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    written = Workspace(rows.sparkSession, "digest").keep(dealt.select("composition", F.col("score").cast("double").alias("score")).mapInArrow(blocks, "part int, place long, n long, block binary"), "blocks")
-    chained = written.repartition(1).sortWithinPartitions("part", "place").select("n", "block").mapInArrow(chain_up, "n long, records_sha256 string")
+    written = Workspace(rows.sparkSession, "digest").keep(dealt.select("composition", F.col("score").cast("double").alias("score")).mapInArrow(blocks, "part int, place long, n long, size long, block binary"), "blocks")
+    chained = written.repartition(1).sortWithinPartitions("part", "place").select("n", "size", "block").mapInArrow(chain_up, "n long, records_sha256 string")
     return chained.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.max("records_sha256"), F.lit(hashlib.sha256(b"").hexdigest())).alias("records_sha256"))
 
 

@@ -245,3 +245,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["query", "-d", str(path), "--rank", "similarity"]) == 2
     path.write_text("composition\tscore\nXx\t0.5\n")
     assert cli.run(cli.parser().parse_args(["validate", "-d", str(path), "--report"]), out) == 2
+
+
+def test_digest_reads_packed_blocks(spark, monkeypatch):
+    """One task must read the whole text of a digest, so it reads it packed."""
+    kept, keep = [], sinks.Workspace.keep
+    monkeypatch.setattr(sinks.Workspace, "keep", lambda self, *a: kept.append(keep(self, *a)) or kept[-1])
+    rows = [(i, f"Li{1 + i % 7}O{1 + i * 31 % 5}", (i * 7919 % 100_003) / 100_000) for i in range(5_000)]
+    text = "".join(f"{c}\t{sinks.score_text(s)}\n" for _, c, s in rows).encode()
+    made = sinks.records_digests(spark.createDataFrame(rows, "source_row long, composition string, score double")).first()
+    assert tuple(made) == (5_000, hashlib.sha256(text).hexdigest())
+    assert 2 * sum(len(r["block"]) for r in kept[0].collect()) < len(text)
